@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import toxicity
+from tessera.llm.decontaminate import contained_items
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import packed
+from tessera.llm.token_files import read_shards, write_shards
+from tessera.llm.tokens import vocabulary
+from tessera.llm.transport_stream import demuxed, muxed
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: DuckDB: the words of a text column.
@@ -15,6 +22,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(write_shards(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP2_SQL = f"""
+WITH s AS (SELECT k, id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh
+      FROM (SELECT 0 AS k, doc_id AS id, {_WORDS} AS ws FROM documents UNION ALL SELECT 1 AS k, item_id AS id, {_WORDS} AS ws FROM benchmark)),
+e AS (SELECT k, id, len(sh) AS n, unnest(sh) AS x FROM s)
+SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(b.n) AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_shared
+FROM e d JOIN e b ON d.x = b.x WHERE d.k = 0 AND b.k = 1 GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(b.n)
+"""
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
+def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demuxed(muxed(_table(spark, sf_dir, "documents"))).drop("stamps", "entries")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -32,5 +65,12 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(root) AS component_i
 FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(sh)
 """
 
-QUERIES = {"op9_minhash_near_dedup": op9_minhash_near_dedup}
-SQL = {"op9_minhash_near_dedup": OP9_SQL}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out()))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_packing, op5_transport_stream, op9_minhash_near_dedup, op10_toxicity)}
+SQL = {"op2_decontamination": OP2_SQL, "op9_minhash_near_dedup": OP9_SQL}

@@ -31,7 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))[_LOWER]  # a byte's value after lower-casing
+#: A byte's value, as it is and after lower-casing.
+RAW = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+_BYTE = RAW[_LOWER]
 _BASE = 0x9E3779B97F4A7C55 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
@@ -75,9 +77,14 @@ def slices(array: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Also every ASCII byte that is neither a letter nor a digit parts words.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[i for i in range(128) if not chr(i).isalnum()]] = True
+
+
+def spans(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the first word of each row (with the total at the end)."""
-    solid = ~_SPACE[data]
+    solid = ~parting[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -90,11 +97,17 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse): (sums[e] - sums[s]) * inverse[s] is the polynomial of bytes s to e."""
     power, inverse = _power_tables(len(data))
     sums = np.empty(len(data) + 1, dtype=U)
     sums[0] = 0
-    np.cumsum(_BYTE[data] * power, out=sums[1:])
+    np.cumsum(values[data] * power, out=sums[1:])
+    return sums, inverse
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums, inverse = prefix_sums(data)
     out = mix((sums[ends] - sums[starts]) * inverse[starts])
     for i in np.flatnonzero(ends - starts > LONG_WORD):
         out[i] = xxhash.xxh64_intdigest(_LOWER[data[starts[i] : ends[i]]].tobytes())
