@@ -1,24 +1,53 @@
-"""The corpus pipeline: documents through toxicity, near-duplicates, benchmark decontamination and packing."""
+"""The corpus pipeline: documents through toxicity, near-duplicates, benchmark decontamination and packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return
+documents' columns. Rows with a null id stay: no decision can name them. Repeated rows share their id's decision.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import toxicity
+from tessera.llm.decontaminate import decontaminated
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import packed
+from tessera.llm.store import stored
+from tessera.llm.tokens import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the labelled ones among them, rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
+    rejected = stored(found.where(f"score >= {toxicity.THRESHOLD}").select("doc_id").distinct(), "toxic")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near-duplicates stays."""
+    gone = near_duplicates(docs, percent=85).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document (the one of least id) of each group of near-duplicates."""
-    kept = near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs, vocabulary("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack)]
+#: No SQL: a fitted model and a tokenizer decide.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs, name)
     return docs
