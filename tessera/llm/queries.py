@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import toxicity
+from tessera.llm import lm, toxicity
 from tessera.llm.chat import rendered
 from tessera.llm.decontaminate import contained_items
 from tessera.llm.licences import PERCENT, TEMPLATES, licence_scan
@@ -104,6 +104,10 @@ FROM t SEMI JOIN kept USING (conv_id) GROUP BY conv_id, segment
 """
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
@@ -128,5 +132,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_packing, op4_licence_scan, op5_transport_stream, op6_url_filter, op7_chat_format, op9_minhash_near_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_packing, op4_licence_scan, op5_transport_stream, op6_url_filter, op7_chat_format, op8_lm_scores, op9_minhash_near_dedup, op10_toxicity)}
 SQL = {"op2_decontamination": OP2_SQL, "op4_licence_scan": OP4_SQL, "op6_url_filter": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_minhash_near_dedup": OP9_SQL}
