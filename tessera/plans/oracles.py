@@ -316,7 +316,7 @@ i05 AS (SELECT id, n AS area, sx / n::DOUBLE AS cx, sy / n::DOUBLE AS cy, x0, y0
 SQL["i05_moments"] = f"{_with(PIXELS, _I05)} SELECT * FROM i05"
 SQL["i08_skew_kurt"] = f"""{_with(PIXELS)}, m AS (SELECT id, count(*) AS n, CAST(sum(g) AS BIGINT) AS s1, CAST(sum(g * g) AS BIGINT) AS s2 FROM px WHERE fg GROUP BY id), d AS (SELECT id, n, s1, s2, g, CAST(n * g - s1 AS HUGEINT) AS d FROM px JOIN m USING (id) WHERE fg),
 t AS (SELECT id, n, s1, s2, sum(d * d * d) AS d3, sum(d * d * d * d) AS d4, quantile_cont(g::DOUBLE, 0.1) AS p10, quantile_cont(g::DOUBLE, 0.9) AS p90, CAST(sum(CASE WHEN d > 0 AND d * d > n * s2 - s1 * s1 THEN 1 ELSE 0 END) AS BIGINT) AS above, sqrt((n * s2 - s1 * s1) / (n * n)::DOUBLE) AS sd, n::DOUBLE AS nd FROM d GROUP BY id, n, s1, s2)
-SELECT id, n, {_mill("(d3::DOUBLE / (nd * nd * nd * nd) / (sd * sd * sd + 1e-8::DOUBLE))")} AS skew_millionths, {_mill("(d4::DOUBLE / (nd * nd * nd * nd * nd) / (sd * sd * sd * sd + 1e-8::DOUBLE) - 3)")} AS kurtosis_millionths, p10, p90, {_mill("(sd / (s1 / n::DOUBLE + 1e-8::DOUBLE))")} AS cv_millionths, above / n::DOUBLE AS bright FROM t"""
+SELECT id, n, {_mill("(d3::DOUBLE / (nd * nd * nd * nd) / (sd * sd * sd + 1e-8::DOUBLE))")} AS skew_millionths, {_mill("(d4::DOUBLE / (nd * nd * nd * nd * nd) / (sd * sd * sd * sd + 1e-8::DOUBLE) - 3)")} AS kurtosis_millionths, {_mill('p10')} AS p10_millionths, {_mill('p90')} AS p90_millionths, {_mill("(sd / (s1 / n::DOUBLE + 1e-8::DOUBLE))")} AS cv_millionths, above / n::DOUBLE AS bright FROM t"""
 SQL["g20_reliability"] = f"""{_with(PIXELS)}, a AS (SELECT id, sum(g) AS grey_sum, max(g) AS grey_max, count_if(fg) AS fg_count FROM px GROUP BY id), b AS (SELECT id, sum(g) AS grey_sum, max(g) AS grey_max, count_if(fg) AS fg_count FROM px WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY id),
 p AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, a.{c}::DOUBLE AS a, b.{c}::DOUBLE AS b FROM a JOIN b USING (id)" for c in ("grey_sum", "grey_max", "fg_count"))}), r AS (SELECT feature, count(*) AS n, corr(a, b) AS r FROM p GROUP BY feature)
 SELECT feature, n, CASE WHEN r >= 0.9 THEN 'RELIABLE' WHEN r >= 0.7 THEN 'use with caution' ELSE 'NOT reliable' END AS verdict FROM r"""

@@ -473,7 +473,7 @@ def i05_moments(spark, sf_dir):
 
 @query
 def i08_skew_kurt(spark, sf_dir):
-    return pixels.extra_statistics(A.pixels(spark, sf_dir)).select("id", "n", "p10", "p90", "bright", *(B.millionths(F.col(c)).alias(f"{c}_millionths") for c in ("skew", "kurtosis", "cv")))
+    return pixels.extra_statistics(A.pixels(spark, sf_dir)).select("id", "n", "bright", *(B.millionths(F.col(c)).alias(f"{c}_millionths") for c in ("skew", "kurtosis", "p10", "p90", "cv")))
 
 
 @query
