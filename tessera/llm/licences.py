@@ -33,7 +33,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -42,7 +42,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 PERCENT = 80
 _NOT_WORD = r"[^\p{L}\p{N}]+"
-_FINE, _COARSE = r"\n|(?<=[.!?:;])[ \t\r]+", r"(?<=[.!?:;])\s+|\n\s*\n"
+_FINE, _COARSE = r"\n|(?<=[.!?])[ \t\r]+", r"(?<=[.!?])\s+|\n\s*\n"
 
 
 def normal_words(text: Column) -> Column:
