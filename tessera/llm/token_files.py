@@ -19,7 +19,8 @@ shard's first token in the corpus is the sum of the shards before; shards are re
 a time.
 
 Null texts are empty documents of the end id alone. Repeated ids are stored each; equal ids are in order of their
-texts. A null id can't be ordered and raises. An empty table gives no shard and no row.
+texts. A null id comes first and is stored as the least 64-bit integer, which is read back as null. An empty table
+gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ SHARD_BYTES = 24 << 20
 MOST_SHARDS = 20_000
 #: Blocks that are packed or read at once.
 RUN = 4096
+NO_ID = -(1 << 63)
 _HEAD = np.dtype([("count", "<u2"), ("width", "u1"), ("exceptions", "<u2"), ("minimum", "<u4")])
 _MANIFEST = "shard long, path string, documents long, tokens long"
 
@@ -193,10 +195,8 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """Writes docs in ascending id order and returns the manifest (shard, path, documents, tokens, start)."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-shards")
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size, unnamed = narrow.agg(F.sum(F.octet_length("text")), F.count_if(F.col("id").isNull())).first()
-    if unnamed:
-        raise ValueError(f"{unnamed} rows have no id")
+    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0]
     shards = min(MOST_SHARDS, max(1, -(-(size or 0) // SHARD_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     rows = []
                     for doc, first, ids in ShardReader(stream).rows():
                         data = ids.astype("<u4").tobytes()
-                        rows.append((doc, shard["start"] + first, len(ids), zlib.crc32(data), data)[: len(names)])
+                        rows.append((None if doc == NO_ID else doc, shard["start"] + first, len(ids), zlib.crc32(data), data)[: len(names)])
                         if len(rows) == 4096:
                             yield _batch(rows, names, kinds)
                             rows = []
