@@ -116,3 +116,29 @@ def bootstrap_interval(long: DataFrame, replicates: int = 500) -> DataFrame:
     weights = drawn.withColumn("number", number).groupBy("r", "number").agg(F.count("*").alias("times")).join(numbered, "number").select("r", "patient", "times")
     means = weights.join(per, "patient").groupBy("r", "fact").agg((F.sum(F.col("right") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
     return means.groupBy("fact").agg(*(millionths(F.percentile("mean", F.lit(q))).alias(f"{side}_millionths") for side, q in (("lo", 0.025), ("hi", 0.975))))
+
+
+def batch_means(answers: DataFrame, key: str) -> DataFrame:
+    """(prompt_type, n, feat_acc, rouge_l): means over answers of the share of the asked facts that are right, and of
+    ROUGE-L against the reference caption, to the millionth."""
+    from tessera.operators.text import rouge_l
+
+    said = V.parsed(V.clean(F.col("pred")))
+    right = sum((F.when(F.array_contains("facts", f) & F.coalesce(said[f] == F.col(f), F.lit(False)), 1).otherwise(0) for f in V.FACTS[1:]), F.when(F.array_contains("facts", V.FACTS[0]) & F.coalesce(said[V.FACTS[0]] == F.col(V.FACTS[0]), F.lit(False)), 1).otherwise(0))
+    pairs = answers.select(key, "prompt_type", (right / F.size("facts")).alias("accuracy"), V.answer(F.col("facts"), {f: F.col(f) for f in V.FACTS}).alias("ref"), F.col("pred").alias("hyp"))
+    mean = lambda c: F.sum(millionths(F.col(c))) / (F.count("*") * 1e6)
+    return rouge_l(pairs).groupBy("prompt_type").agg(F.count("*").alias("n"), mean("accuracy").alias("feat_acc"), mean("rouge_l").alias("rouge_l"))
+
+
+def marked(answers: DataFrame, key: str) -> DataFrame:
+    """(key, marked): the answer's clauses in order, wrong ones in brackets, missing ones named."""
+    said = V.parsed(V.clean(F.col("pred")))
+
+    read = answers.withColumns({f"_said_{f}": said[f] for f in V.FACTS})
+
+    def shown(f):
+        label = F.col(f"_said_{f}")
+        got = V.clause(f, label)
+        return F.when(label.isNull(), F.lit(f"{f} (not stated)")).when(label != F.col(f), F.concat(F.lit("[["), got, F.lit("]]"))).otherwise(got)
+
+    return read.select(key, F.array_join(F.array(*(shown(f) for f in V.FACTS)), "; ").alias("marked"))

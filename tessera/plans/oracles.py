@@ -336,3 +336,34 @@ w AS (SELECT {", ".join(f"max(m) FILTER (n = {n}) AS m{n}, max(t) FILTER (n = {n
 SELECT *, {_mill("pow(" + " * ".join(f"(greatest(m{n}::DOUBLE, 0.1::DOUBLE) / greatest(t{n}, 1))" for n in (1, 2, 3, 4)) + ", 0.25::DOUBLE) * CASE WHEN hyp_words >= ref_words THEN 1.0::DOUBLE ELSE exp(1 - ref_words / hyp_words::DOUBLE) END")} AS bleu_millionths FROM w, l"""
 SQL["g25_rouge_l"] = f"""{_with(*_EVAL, _BLEU_WORDS)}, lcs AS (SELECT lesion_id, len(r) AS nr, len(h) AS nh, list_reduce(r, lambda row, x: list_reduce(range(1, len(h) + 1), lambda acc, j: acc || [CASE WHEN h[j] = x THEN row[j] + 1 ELSE greatest(row[j + 1], acc[-1]) END], [0::BIGINT]), list_transform(range(len(h) + 1), lambda i: 0::BIGINT)) AS d FROM pairs)
 SELECT lesion_id, CAST(d[-1] AS BIGINT) AS lcs, coalesce(2.0::DOUBLE * d[-1] / (nr + nh), 0) AS rouge_l FROM lcs"""
+_cross = "(b.x - a.x) * ({p}.y - a.y) - (b.y - a.y) * ({p}.x - a.x)"
+SQL["i09_measure"] = f"""{_with(PIXELS, _I01, _I05)}, f AS (SELECT id, x, y FROM px WHERE fg),
+edges AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM f a JOIN f b ON a.id = b.id AND (a.x, a.y) <> (b.x, b.y) JOIN f c ON c.id = a.id GROUP BY a.id, a.x, a.y, b.x, b.y HAVING min({_cross.format(p="c")}) >= 0),
+hull AS (SELECT p.id, count(*) AS hull FROM px p JOIN i05 USING (id) WHERE p.x >= x0 AND p.x < x1 AND p.y >= y0 AND p.y < y1
+  AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.id = p.id AND (e.bx - e.ax) * (p.y - e.ay) - (e.by - e.ay) * (p.x - e.ax) < 0) GROUP BY p.id),
+e AS (SELECT *, (cxx + cyy) / 2 AS half, sqrt((cxx - cyy) * (cxx - cyy) / 4 + cxy * cxy) AS gap, abs(degrees(0.5::DOUBLE * atan2(2 * cxy, cxx - cyy))) AS turn FROM i05)
+SELECT id, area, hull, mean, std, CASE WHEN sqrt((half + gap) / (half - gap)) < 1.5::DOUBLE THEN 'none' WHEN turn <= 22.5 THEN 'horizontal' WHEN turn <= 67.5 THEN 'diagonal' ELSE 'vertical' END AS orientation
+FROM e JOIN hull USING (id) JOIN i01 USING (id)"""
+_LCS = "list_reduce(r, lambda row, x: list_reduce(range(1, len(h) + 1), lambda acc, j: acc || [CASE WHEN h[j] = x THEN row[j] + 1 ELSE greatest(row[j + 1], acc[-1]) END], [0::BIGINT]), list_transform(range(len(h) + 1), lambda i: 0::BIGINT))[-1]"
+_right = " + ".join(f"CAST(list_contains(asked, '{f}') AND coalesce({_read(f, 'pred')} = {f}, false) AS INTEGER)" for f in V.FACTS)
+SQL["g22_batch_means"] = f"""{_with(*_EVAL)}, p AS (SELECT prompt_type, ({_right}) / len(asked)::DOUBLE AS accuracy, string_split(lower({_answer("asked")}), ' ') AS r, string_split(lower(pred), ' ') AS h FROM answered),
+s AS (SELECT prompt_type, accuracy, 2.0::DOUBLE * {_LCS} / (len(r) + len(h)) AS rouge FROM p) SELECT prompt_type, count(*) AS n, {_mean("accuracy")} AS feat_acc, {_mean("rouge")} AS rouge_l FROM s GROUP BY prompt_type"""
+SQL["g24_integrity"] = f"WITH m AS ({SQL['j04_best_blob']}) SELECT status, count(*) AS n, min(overlap_millionths) AS least, CAST(sum(overlap_millionths) AS BIGINT) / (count(*) * 1e6::DOUBLE) AS mean_overlap FROM m GROUP BY status"
+SQL["n02_predictors"] = f"""{_with(*_EVAL, _MAJOR)} SELECT 'oracle' AS predictor, fact, count(*) AS n, count(*) AS "right" FROM long GROUP BY fact
+UNION ALL SELECT 'majority', fact, count(*), count_if(truth = label)::BIGINT FROM long JOIN major USING (fact) GROUP BY fact"""
+_clause = lambda f, v: f"{_quote(V.CLAUSES[f][0])} || {_words(v, V.CLAUSES[f][1])} || {_quote(V.CLAUSES[f][2])}"
+_shown = " || '; ' || ".join(f"CASE WHEN {_read(f, 'pred')} IS NULL THEN '{f} (not stated)' WHEN {_read(f, 'pred')} <> {f} THEN '[[' || {_clause(f, _read(f, 'pred'))} || ']]' ELSE {_clause(f, _read(f, 'pred'))} END" for f in V.FACTS)
+SQL["p32_marked_clauses"] = f"{_with(*_EVAL)} SELECT lesion_id, {_shown} AS marked FROM answered WHERE prompt_type = 'generic'"
+SQL["w03_lesions_per_image"] = f"{_with(LESIONS)}, c AS (SELECT image, count(*) AS lesions FROM ann GROUP BY image) SELECT lesions, count(*) AS images, CAST(sum(lesions) AS BIGINT) AS n FROM c GROUP BY lesions"
+SQL["i11_slice_filter"] = f"""{_with(PIXELS)}, s AS (SELECT id, count_if(x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 AND g BETWEEN 60 AND 170)::BIGINT / count_if(x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5)::DOUBLE AS mid,
+count_if(x BETWEEN 2 AND 5 AND y >= 4 AND g >= 230)::BIGINT / count_if(x BETWEEN 2 AND 5 AND y >= 4)::DOUBLE AS white FROM px GROUP BY id) SELECT * FROM s WHERE mid >= 0.55 AND white <= 0.03"""
+_u = lambda salt: f"({_hash('lesion_id', salt + ':')} / 4294967296.0::DOUBLE)"
+_mv = lambda c, axis, size: f"({c} - {size} / 2) * (0.9::DOUBLE + 0.2::DOUBLE * {_u('scale')}) + {size} / 2 + (2 * {_u('shift-' + axis)} - 1) * 0.05::DOUBLE * {size}"
+SQL["r05_moved_boxes"] = f"""{_with(LESIONS)}, m AS (SELECT lesion_id, w, h, {", ".join(f"{_mv(a + e, a, s)} AS m_{a}{e}" for a, s in (("x", "w"), ("y", "h")) for e in "01")} FROM les),
+n AS (SELECT *, {", ".join(f"least(greatest(m_{a}{e}, 0.0::DOUBLE), {s}) AS {a}{e}" for a, s in (("x", "w"), ("y", "h")) for e in "01")} FROM m), t AS (SELECT *, {_tokens()} AS loc FROM n), d AS (SELECT *, ({_decoded("loc")})[1] AS b FROM t)
+SELECT lesion_id, x1 - x0 >= 4 AND y1 - y0 >= 4 AND (x1 - x0) * (y1 - y0) >= 0.8::DOUBLE * ((m_x1 - m_x0) * (m_y1 - m_y0)) AS kept, loc, {_third("(b.y0 + b.y1) / 2 / h", _Vv)} || '-' || {_third("(b.x0 + b.x1) / 2 / w", _H)} AS region FROM d"""
+_ORIENT = "CASE WHEN sqrt((half + gap) / (half - gap)) < 1.5::DOUBLE THEN 'none' WHEN turn <= 22.5 THEN 'horizontal' WHEN turn <= 67.5 THEN 'diagonal' ELSE 'vertical' END"
+_flip = lambda name, source: f"{name} AS (SELECT id, {_ORIENT} AS o FROM (SELECT id, (cxx + cyy) / 2 AS half, sqrt((cxx - cyy) * (cxx - cyy) / 4 + cxy * cxy) AS gap, abs(degrees(0.5::DOUBLE * atan2(2 * cxy, cxx - cyy))) AS turn FROM (SELECT id, (count(*) * sum(x * x)::BIGINT - sum(x)::BIGINT * sum(x)::BIGINT) / (count(*) * count(*))::DOUBLE + 1.0::DOUBLE / 12 AS cxx, (count(*) * sum(y * y)::BIGINT - sum(y)::BIGINT * sum(y)::BIGINT) / (count(*) * count(*))::DOUBLE + 1.0::DOUBLE / 12 AS cyy, (count(*) * sum(x * y)::BIGINT - sum(x)::BIGINT * sum(y)::BIGINT) / (count(*) * count(*))::DOUBLE AS cxy FROM {source} WHERE fg GROUP BY id)))"
+SQL["r06_flips"] = f"""{_with(PIXELS)}, w AS (SELECT *, CAST({_hash("id", "flip:")} % 8 AS INTEGER) AS way FROM px), m AS (SELECT id, way, fg, CASE WHEN way >= 4 THEN 7 - x ELSE x END AS x, y FROM w),
+t AS (SELECT id, way, fg, CASE way % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7 - x ELSE 7 - y END AS x, CASE way % 4 WHEN 0 THEN y WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y ELSE x END AS y FROM m),
+{_flip("before_t", "px")}, {_flip("after_t", "t")} SELECT way % 2 AS odd_turn, b.o AS before, a.o AS after, count(*) AS n FROM before_t b JOIN after_t a USING (id) JOIN (SELECT DISTINCT id, way FROM w) USING (id) GROUP BY ALL"""

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes as B
 from tessera.functions import vocabulary as V
-from tessera.operators import captions, detection, matching, pixels, prompts, sampling, text
+from tessera.operators import augment, captions, detection, matching, models, pixels, prompts, sampling, text
 from tessera.operators.thresholds import distribution, fit_thresholds
 from tessera.plans import adapter as A
 
@@ -553,3 +554,65 @@ def g26_bleu4(spark, sf_dir):
 @query
 def g27_similarity(spark, sf_dir):
     return text.similarity(_caption_pairs(spark, sf_dir), "lesion_id")
+
+
+@query
+def g22_batch_means(spark, sf_dir):
+    return captions.batch_means(_answers(spark, sf_dir), "lesion_id")
+
+
+@query
+def g24_integrity(spark, sf_dir):
+    """What matching annotations to blobs left: overlaps, conflicts, flags."""
+    found = matching.best_blob(A.lesions(spark, sf_dir), _blobs(spark, sf_dir))
+    return found.groupBy("status").agg(F.count("*").alias("n"), F.min("overlap_millionths").alias("least"), (F.sum("overlap_millionths") / (F.count("*") * 1e6)).alias("mean_overlap"))
+
+
+@query
+def n02_predictors(spark, sf_dir):
+    """The truth and the majority answer, scored."""
+    rows = captions.prompt_types(A.fact_rows(spark, sf_dir).where("split = 'test'"))
+    best = captions.majority(_train(spark, sf_dir), "lesion_id")
+    scored = lambda name, answers: captions.facts_long(answers).groupBy("fact").agg(F.count("*").alias("n"), F.count_if("ok").alias("right")).withColumn("predictor", F.lit(name))
+    return scored("oracle", models.oracle(rows)).unionByName(scored("majority", models.majority_answers(rows, best)))
+
+
+@query
+def p32_marked_clauses(spark, sf_dir):
+    return captions.marked(_answers(spark, sf_dir).where("prompt_type = 'generic'"), "lesion_id")
+
+
+@query
+def w03_lesions_per_image(spark, sf_dir):
+    rows = A.annotations(spark, sf_dir).withColumn("lesions", F.count("*").over(Win.partitionBy("image")))
+    return rows.groupBy("lesions").agg(F.countDistinct("image").alias("images"), F.count("*").alias("n"))
+
+
+@query
+def i11_slice_filter(spark, sf_dir):
+    """Images whose centre is mostly mid grey and whose lower centre is hardly white."""
+    grey = A.pixels(spark, sf_dir)
+    centre = F.col("x").between(2, 5) & F.col("y").between(2, 5)
+    lower = F.col("x").between(2, 5) & (F.col("y") >= 4)
+    share = lambda inside, what: F.count_if(inside & what) / F.count_if(inside)
+    stats = grey.groupBy("id").agg(share(centre, F.col("g").between(60, 170)).alias("mid"), share(lower, F.col("g") >= 230).alias("white"))
+    return stats.where("mid >= 0.55 and white <= 0.03")
+
+
+@query
+def r05_moved_boxes(spark, sf_dir):
+    rows = augment.moved_boxes(A.lesions(spark, sf_dir), "lesion_id")
+    decoded = F.get(B.decoded(F.col("loc"), F.col("w"), F.col("h")), F.lit(0))
+    rows = rows.withColumn("b", decoded)
+    features = B.box_features(*(F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1")), F.col("w"), F.col("h"))
+    return rows.select("lesion_id", "kept", "loc", B.region(features["center_x_norm"], features["center_y_norm"]).alias("region"))
+
+
+@query
+def r06_flips(spark, sf_dir):
+    """Facts measured again after flips and turns: the mean stays, the main axis turns along."""
+    grey = A.pixels(spark, sf_dir)
+    after = augment.flipped(grey, 8)
+    shape = lambda p, name: pixels.shape_moments(p).select("id", "area", V.orientation(F.col("angle"), F.col("axis_ratio")).alias(name))
+    both = shape(grey, "before").join(shape(after, "after").select("id", "after"), "id").join(after.select("id", "way").distinct(), "id")
+    return both.groupBy((F.col("way") % 2).alias("odd_turn"), "before", "after").agg(F.count("*").alias("n"))
