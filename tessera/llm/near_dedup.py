@@ -7,11 +7,13 @@
 4. A pair's signatures are compared batch by batch. With m of n values equal and a flat prior on similarity J,
    P(J >= t | m, n) = P(Bin(n + 1, t) <= m); a pair is dropped as soon as that is below the miss probability.
 5. Survivors are confirmed on the full shingle sets of both texts, and linked.
-6. Buckets that then hold more than one component are compared whole, in blocks of BLOCK members, but only across
-   components: first the best partner of each member in each other component, then, after linking, everything left.
+6. In buckets whose other members then lie in more than one component, those outside the bucket's largest component
+   (the minority) are compared with all, in blocks of BLOCK members, and only across components. A block holds the
+   texts, so each survivor is confirmed at once and joins its components; a pair is looked at in the first bucket it
+   shares alone. Rows are copied as often as there are blocks in the minority, and links stay fewer than members.
 
 A link that shares a bucket is thus either confirmed or lies within one component already, so components are those
-of all links but for the chance of sharing no bucket (below MISS) or of being pruned (below MISS a look).
+of all links but for the chance of sharing no bucket (below 10 * MISS) or of being pruned (below MISS a look).
 
 Nulls and texts without words: empty set, linked with nothing. Fewer words than a shingle: the whole sequence is
 one. Equal rows are linked; rows that share an id count as one node, a null id is returned unlinked with a null
@@ -124,6 +126,7 @@ def _bands_of(percent: int):
             keys = np.zeros((len(ids), bands), dtype=np.uint64) + W.mix(np.arange(1, bands + 1, dtype=np.uint64))
             for k in range(rows):
                 keys = W.mix(keys ^ (values[:, :, k] + np.uint64(k << 16)))
+            keys = (keys & ~np.uint64(31)) + np.arange(bands, dtype=np.uint64)  # the band is in the low bits
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(keys.ravel().view(np.int64))], names=["rep", "bucket"])
 
     return run
@@ -154,26 +157,44 @@ def _exact(percent: int, width: int):
     return run
 
 
-def _across(percent: int, best: bool):
-    """Surviving pairs of one bucket (or two of its blocks) over different components; best: one a member and component."""
-    n = banding(percent)[0] * banding(percent)[1]
+def _across(percent: int, width: int):
+    """Links over different components within one block, or between two; enough of them to join what they join."""
+    bands, rows = banding(percent)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep").reset_index(drop=True)
-        sig = np.frombuffer(b"".join(group["signature"]), dtype=np.uint16).reshape(-1, n)
-        rep, comp, block = (group[c].to_numpy() for c in ("rep", "comp", "block"))
-        lone = (block == block[0]).all()
+        sig = np.frombuffer(b"".join(group["signature"]), dtype=np.uint16).reshape(len(group), bands, rows)
+        flat = sig.reshape(len(group), -1)
+        rep, minor, block = (group[c].to_numpy() for c in ("rep", "minor", "block"))
+        _, comp = np.unique(group["comp"].to_numpy(), return_inverse=True)
+        band = int(group["bucket"].iloc[0]) & 31
+        sets: dict[int, np.ndarray] = {}
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = next(W.shingle_sets(pa.array([group["text"].iloc[i]], pa.string()), width))
+            return sets[i]
+
+        if group["kind"].iloc[0]:
+            left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        elif (block == block[0]).all():
+            left = right = np.arange(len(group))
+        else:
+            left, right = np.flatnonzero(block == block[0]), np.flatnonzero(block != block[0])
         found = []
-        for i in range(len(group) - 1):
-            others = np.arange(i + 1, len(group))
-            others = others[(comp[others] != comp[i]) & (lone | (block[others] != block[i]))]
-            if len(others):
-                others = others[survivors(np.broadcast_to(sig[i], (len(others), n)), sig[others], percent)]
-                if best and len(others) > 1:
-                    equal = (sig[others] == sig[i]).sum(axis=1)
-                    others = others[np.argsort(-equal, kind="stable")]
-                    others = others[np.unique(comp[others], return_index=True)[1]]
-                found += [(rep[i], rep[j]) for j in others]
+        for i in left.tolist():
+            others = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (left is not right))]
+            if not len(others):
+                continue
+            others = others[(sig[others] == sig[i]).all(axis=2).argmax(axis=1) == band]
+            others = others[survivors(np.broadcast_to(flat[i], (len(others), bands * rows)), flat[others], percent)]
+            for j in others[np.argsort(-(flat[others] == flat[i]).sum(axis=1), kind="stable")].tolist():
+                if comp[i] != comp[j]:
+                    a, b = own(i), own(j)
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        found.append((rep[i], rep[j]))
+                        comp[comp == comp[j]] = comp[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -201,6 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(banded.join(shared, "bucket"), "members")
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     leaders = members.join(weights, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("leader"))
+    leaders = stored(leaders, "leaders")
     pairs = members.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     signed = pairs.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
     tried = stored(signed.select("a", "b", "sa", "sb").mapInArrow(_pruned(percent), "a long, b long"), "survivors")
@@ -208,26 +230,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doubled = full.join(classes, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     links = stored(confirmed(tried, texts, percent, width).unionByName(doubled), "links")
 
-    for best in (True, False):
-        rooted = components(links)
-        placed = members.join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        dealt = (
-            placed.join(mixed, "bucket")
-            .withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("bucket", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-            .join(reps, "rep")
-        )
-        fresh = dealt.groupBy("bucket", "i", "j").applyInPandas(_across(percent, best), "a long, b long").distinct()
-        fresh = stored(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-        if not fresh.head(1):
-            if best:
-                continue
-            break
-        links = stored(links.unionByName(confirmed(fresh, texts, percent, width)), "links")
-        tried = stored(tried.unionByName(fresh), "tried")
+    rooted = components(links)
+    rest = members.where("n > 2").join(leaders, "bucket").where("rep <> leader").join(rooted.withColumnRenamed("node", "rep"), "rep", "left")
+    rest = stored(rest.select("bucket", "rep", F.coalesce("root", "rep").alias("comp")), "rest")
+    per_comp = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = per_comp.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n")).where("major.n < n")
+    share = mixed.select("bucket", F.col("major.comp").alias("major"), F.ceil(F.col("major.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("major.n")) / BLOCK).cast("int").alias("minors"))
+    minor, block, zero = F.col("comp") != F.col("major"), F.col("block"), F.lit(0)
+    to_majors = F.transform(F.sequence(zero, F.col("majors") - 1), lambda j: F.struct(F.lit(1).alias("kind"), block.alias("i"), j.alias("j")))
+    to_minors = F.transform(F.sequence(zero, F.col("minors") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
+    from_major = F.transform(F.sequence(zero, F.col("minors") - 1), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), block.alias("j")))
+    dealt = (
+        rest.join(share, "bucket")
+        .withColumn("minor", minor)
+        .withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+        .withColumn("to", F.explode(F.when(F.col("minor"), F.concat(to_majors, to_minors)).otherwise(from_major)))
+        .select("bucket", "to.kind", "to.i", "to.j", "rep", "comp", "minor", "block")
+    )
+    dealt = stored(dealt, "dealt")
+    needed = stored(dealt.select(F.col("rep").alias("id")).distinct(), "needed")
+    own = stored(keyed_to(texts, needed, "id").groupBy("id").agg(F.max("text").alias("text")).withColumnRenamed("id", "rep").join(reps, "rep"), "compared")
+    across = dealt.join(own, "rep").groupBy("bucket", "kind", "i", "j").applyInPandas(_across(percent, width), "a long, b long")
+    links = stored(links.unionByName(across), "links")
     rooted = components(links)
 
     placed = sets.join(classes, ["h1", "h2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
