@@ -123,7 +123,8 @@ def batch_means(answers: DataFrame, key: str) -> DataFrame:
     ROUGE-L against the reference caption, to the millionth."""
     from tessera.operators.text import rouge_l
 
-    said = V.parsed(V.clean(F.col("pred")))
+    answers = answers.withColumns({f"_said_{f}": c for f, c in V.parsed(V.clean(F.col("pred"))).items() if f in V.FACTS})
+    said = {f: F.col(f"_said_{f}") for f in V.FACTS}
     right = sum((F.when(F.array_contains("facts", f) & F.coalesce(said[f] == F.col(f), F.lit(False)), 1).otherwise(0) for f in V.FACTS[1:]), F.when(F.array_contains("facts", V.FACTS[0]) & F.coalesce(said[V.FACTS[0]] == F.col(V.FACTS[0]), F.lit(False)), 1).otherwise(0))
     pairs = answers.select(key, "prompt_type", (right / F.size("facts")).alias("accuracy"), V.answer(F.col("facts"), {f: F.col(f) for f in V.FACTS}).alias("ref"), F.col("pred").alias("hyp"))
     mean = lambda c: F.sum(millionths(F.col(c))) / (F.count("*") * 1e6)

@@ -32,7 +32,7 @@ def numbered(rows: DataFrame, order: list[str], block: Column) -> DataFrame:
     inside = rows.withColumn("_b", block).withColumn("_r", F.row_number().over(Win.partitionBy("_b").orderBy(*order)))
     sizes = inside.groupBy("_b").agg(F.count("*").alias("_c"))
     starts = sizes.select("_b", F.coalesce(F.sum("_c").over(Win.orderBy("_b").rowsBetween(Win.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    return inside.join(F.broadcast(starts), "_b").withColumn("idx", F.col("_s") + F.col("_r") - 1).drop("_b", "_r", "_s")
+    return inside.join(starts, "_b").withColumn("idx", F.col("_s") + F.col("_r") - 1).drop("_b", "_r", "_s")
 
 
 def stride(indexed: DataFrame, k: int) -> DataFrame:

@@ -18,25 +18,32 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(V.clean(text)), r"\s+"), lambda w: w != "")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, by the row-wise recurrence as nested folds."""
-    zero = F.transform(b, lambda _: F.lit(0))
-    start = F.concat(F.array(F.lit(0)), zero)
+def subsequence_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: one machine word (of any length) stands for a row of the table."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for word in a:
+        hit = row & places.get(word, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
 
-    def row(previous: Column, x: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            diagonal, above = F.element_at(previous, j), F.element_at(previous, j + 1)
-            return F.concat(state, F.array(F.when(F.element_at(b, j) == x, diagonal + 1).otherwise(F.greatest(above, F.element_at(state, -1)))))
+def _lengths(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([subsequence_length(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
-        return F.when(F.size(b) == 0, previous).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(F.lit(0)), cell))
 
-    return F.element_at(F.aggregate(a, start, row), -1)
+def lcs_length(a: Column, b: Column) -> Column:
+    """Of two arrays of words, a batch at a time."""
+    return F.pandas_udf(_lengths, "long")(a, b)
 
 
 def rouge_l(pairs: DataFrame) -> DataFrame:
     """Adds lcs and rouge_l: the F1 of the longest common subsequence; 0 if either side is empty."""
     worded = pairs.withColumn("_r", words_of(F.col("ref"))).withColumn("_h", words_of(F.col("hyp")))
-    found = worded.withColumn("lcs", lcs_length(F.col("_r"), F.col("_h")).cast("long"))
+    found = worded.withColumn("lcs", lcs_length(F.col("_r"), F.col("_h")))
     score = F.coalesce(F.try_divide(2.0 * F.col("lcs"), F.size("_r") + F.size("_h")), F.lit(0.0))
     return found.withColumn("rouge_l", score).drop("_r", "_h")
 

@@ -115,7 +115,8 @@ def p20_consistency(spark, sf_dir):
     rows = _slice_labels(spark, sf_dir)
     which, caption = V.slice_caption(F.col("lesion_id"), {k: F.col(k) for k in ("size", "shape", "region", "brightness", "variation", "texture")})
     made = rows.withColumn("template", which).withColumn("caption", caption)
-    said = V.parsed(F.col("caption"))
+    made = made.withColumns({f"said_{k}": c for k, c in V.parsed(F.col("caption")).items()})
+    said = {k: F.col(f"said_{k}") for k in V.READ}
     stated = F.filter(F.array(*(F.when(c.isNotNull(), F.lit(k)) for k, c in said.items())), lambda k: k.isNotNull())
     listed = F.lit(None).cast("array<string>")
     for name, fields in V.CAPTION_FIELDS.items():
