@@ -141,7 +141,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("y").to_numpy() == 1
         for label in (0, 1):
-            for lo, hi, data, offsets in W.slices(batch.column("text").filter(pa.array(toxic == bool(label))), 8 << 20):
+            for lo, hi, data, offsets in W.slices(batch.column("text").filter(pa.array(toxic == bool(label)))):
                 features, _, _, bounds = token_features(data, offsets)
                 rows = np.repeat(np.arange(hi - lo), np.diff(bounds))
                 parts = [(np.zeros(1, U), np.array([len(features)]), np.array([hi - lo]))]
