@@ -10,7 +10,8 @@ Scoring. A token scores the log-odds of its most specific kept feature; any othe
 that clean text scores below zero on average. All maximal scoring segments are found in linear time, by one scan
 with a stack over the scored tokens. In clean text the best segment of n tokens follows P(S >= x) = 1 - exp(-K n
 exp(-lambda x)); lambda and K are fitted by maximum likelihood to the clean training rows. Segments count by
-lambda S - ln(K n), the significant ones summed, and a logistic curve on the training rows turns that into 0 to 1.
+lambda S - ln(K n), the significant ones summed, and a logistic curve over the logarithm of that, fitted on the
+training rows, gives 0 to 1.
 
 Null, empty and wordless texts have no segment and get the score of no evidence. Ids may be null or repeated; every
 row is scored by its text alone. Without training rows of both classes the model is empty and scores the base rate.
@@ -84,7 +85,12 @@ class Model:
         return float(high or max(scores))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(evidence) + self.level, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * squeezed(evidence) + self.level, -30, 30)))
+
+
+def squeezed(evidence: np.ndarray) -> np.ndarray:
+    """Signed log(1 + |x|): texts with hundreds of toxic words don't flatten the curve where it decides."""
+    return np.sign(evidence) * np.log1p(np.abs(evidence))
 
 
 def maximal_segments(places: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -219,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     top = np.array([max(s, default=0.0) for s in rows_["s"]])
     model.decay, model.spread = extreme_value(top[y == 0], n[y == 0])
     evidence = np.array([model.evidence([(0, 0, x) for x in s], int(k)) for s, k in zip(rows_["s"], n, strict=True)])
-    model.slope, model.level = logistic(evidence, y)
+    model.slope, model.level = logistic(squeezed(evidence), y)
     return model
 
 
