@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_comp = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     mixed = per_comp.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n")).where("major.n < n")
     share = mixed.select("bucket", F.col("major.comp").alias("major"), F.ceil(F.col("major.n") / BLOCK).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("major.n")) / BLOCK).cast("int").alias("minors"))
+    share = stored(share, "mixed")  # not kept in the buckets' partitioning, so that a common bucket's rows can be split
     minor, block, zero = F.col("comp") != F.col("major"), F.col("block"), F.lit(0)
     to_majors = F.transform(F.sequence(zero, F.col("majors") - 1), lambda j: F.struct(F.lit(1).alias("kind"), block.alias("i"), j.alias("j")))
     to_minors = F.transform(F.sequence(zero, F.col("minors") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
