@@ -4,7 +4,7 @@ Learning. At most TRAIN_ROWS labelled rows (those of least hash of the id; docum
 counted once: rows with the same least shingle hash are one. A token's features are the whole word and its byte
 prefixes of PREFIXES lengths, so inflected words share evidence. A feature's log-odds ratio between the classes has
 an informative Dirichlet prior (PRIOR of the smaller class's tokens, dealt by overall frequency); features are kept
-where the z score of the ratio of document frequencies, with the same prior, reaches SIGNIFICANT.
+where the z score of the ratio of document frequencies, with a prior of DOC_PRIOR, reaches SIGNIFICANT.
 
 Scoring. A token scores the log-odds of its most specific kept feature; any other token scores a negative drift, so
 that clean text scores below zero on average. All maximal scoring segments are found in linear time, by one scan
@@ -33,7 +33,9 @@ from tessera.llm.store import stored
 TRAIN_ROWS = 40_000
 PREFIXES = (3, 4, 5, 6, 7, 8, 9, 10)
 PRIOR = 0.05
-SIGNIFICANT = 4.0
+#: For document frequencies: as many as the smaller class has, so that a few dozen toxic rows can show a word.
+DOC_PRIOR = 1.0
+SIGNIFICANT = 3.0
 LEAST_DOCS = 4
 THRESHOLD = 0.7
 U = np.uint64
@@ -165,9 +167,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), label)), pa.array(tokens.astype(np.int64)), pa.array(docs.astype(np.int64))], names=["feature", "y", "tokens", "docs"])
 
 
-def _log_odds(one, zero, n_one, n_zero):
+def _log_odds(one, zero, n_one, n_zero, strength=PRIOR):
     """Log-odds ratio under the informative prior, and its z score; arguments may be arrays."""
-    prior = PRIOR * min(n_one, n_zero)
+    prior = strength * min(n_one, n_zero)
     share = prior * (one + zero) / (n_one + n_zero)
     ratio = np.log((one + share) / np.maximum(n_one + prior - one - share, 1)) - np.log((zero + share) / np.maximum(n_zero + prior - zero - share, 1))
     return ratio, ratio / np.sqrt(1 / (one + share) + 1 / (zero + share))
@@ -198,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         share = 0.0 if not total or not total.docs1 else 1.0
         return Model(rate=share, level=30.0 if share else -30.0)
     kept = counts.where("feature <> 0").where(F.col("docs1") * total.docs0 > 2 * F.col("docs0") * total.docs1).toPandas()
-    _, z = _log_odds(kept["docs1"].to_numpy(), kept["docs0"].to_numpy(), total.docs1, total.docs0)
+    _, z = _log_odds(kept["docs1"].to_numpy(), kept["docs0"].to_numpy(), total.docs1, total.docs0, DOC_PRIOR)
     weight, _ = _log_odds(kept["tokens1"].to_numpy(), kept["tokens0"].to_numpy(), total.tokens1, total.tokens0)
     good = (z >= SIGNIFICANT) & (weight > 0)
     names = kept["feature"].to_numpy()[good].astype(np.int64).view(U)
