@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates stays."""
-    gone = near_duplicates(docs, percent=85).where("not kept").select("doc_id").distinct()
+    """The document of least id of each group of near-duplicates (a similarity of 0.8 or more) stays."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

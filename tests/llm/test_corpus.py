@@ -360,3 +360,14 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path, table):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def test_pipeline_drops_near_copies_just_above_four_fifths(spark):
+    import corpus_pipeline
+
+    rows = [(1, " ".join(WORDS[:100])), (2, " ".join(WORDS[:91] + WORDS[200:209])), (3, " ".join(WORDS[:88] + WORDS[300:312]))]
+    first, *others = (set(s.tolist()) for s in words.shingle_sets(pa.array([t for _, t in rows], pa.string())))
+    alike = [len(first & s) / len(first | s) for s in others]
+    assert 0.8 < alike[0] < 0.85 and alike[1] < 0.8
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
