@@ -43,8 +43,9 @@ def shard(indexed: DataFrame, shards: int) -> DataFrame:
     return indexed.withColumn("shard", (F.col("idx") % shards).cast("int"))
 
 
-def weighted_resample(rows: DataFrame, group: str, key: str, draws: int, parts: int = 64) -> DataFrame:
-    """draws rows with replacement; a row's weight is 1 / sqrt(rows of its group), in whole millionths.
+def weighted_resample(rows: DataFrame, group: str, key: str, draws: int | None = None, parts: int = 64) -> DataFrame:
+    """draws rows (as many as there are, if not given) with replacement; a row's weight is 1 / sqrt(rows of its group),
+    in whole millionths.
 
     Cumulative weights go by part (hash of the key): a draw falls into a part by the short list of parts' totals, then
     meets the row whose interval holds it among the rows of that part. No draw is compared with all rows.
@@ -57,7 +58,7 @@ def weighted_resample(rows: DataFrame, group: str, key: str, draws: int, parts:
     totals = placed.groupBy("_p").agg(F.sum("_w").alias("_t"))
     upto = Win.orderBy("_p").rowsBetween(Win.unboundedPreceding, 0)  # parts rows
     listed = totals.withColumn("_upto", F.sum("_t").over(upto)).agg(F.array_sort(F.collect_list(F.struct("_upto", "_t", "_p"))).alias("_parts"), F.max("_upto").alias("_all"))
-    drawn = rows.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(listed))
+    drawn = rows.sparkSession.range(rows.count() if draws is None else draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(listed))
     # two hashes make 62 bits, so that the modulus is even
     value = (hashed(F.col("draw"), salt="a") * F.lit(1 << 30) + hashed(F.col("draw"), salt="b") % (1 << 30)) % F.col("_all")
     drawn = drawn.withColumn("_v", value).withColumn("_o", F.element_at(F.filter("_parts", lambda o: o["_upto"] > F.col("_v")), 1))

@@ -46,6 +46,14 @@ def test_weighted_resample_follows_the_weights(spark):
     assert sum(share.values()) == 4000 and 0.06 < share["b"] / 4000 < 0.13  # weights 100 / 10 to 1
 
 
+def test_weighted_resample_is_as_large_as_its_rows(spark):
+    rows = spark.createDataFrame([("a" if i < 9 else "b", f"k{i}") for i in range(6007)], "g string, k string")
+    drawn = sampling.weighted_resample(rows, "g", "k")
+    assert drawn.count() == drawn.select("draw").distinct().count() == 6007
+    assert drawn.join(rows, "k", "left_semi").count() == 6007
+    assert sampling.weighted_resample(rows.limit(0), "g", "k").count() == 0
+
+
 def test_numbering_by_blocks_is_the_global_order(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 100003).alias("v"))
     got = sampling.numbered(rows, ["v"], F.floor(F.col("v") / 1000)).orderBy("idx").collect()
