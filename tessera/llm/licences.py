@@ -6,7 +6,8 @@ letters and digits is a space. The coefficient of two sets of distinct bigrams o
 2c / (a + b); at least `percent` of it asks for a size between percent / (200 - percent) of the template's and the
 inverse. So candidate templates come from an equi-join on size: each template is listed under every size within its
 bounds. Before that, a segment must hold one of the template bigrams of which, by the same bounds, no match can do
-without all. Nothing is shuffled but the matches.
+without all. A segment's characters have no upper bound: blanks, decoration and repetition add no bigrams. Nothing is
+shuffled but the matches.
 
 Null, empty and one-word texts match nothing (a template has at least one bigram). Repeated rows and lines count each.
 """
@@ -86,7 +87,7 @@ def licence_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where("text is not null")
         .select("id", F.explode(F.concat(F.split(text, _FINE), wrapped)).alias("segment"))
-        .where(F.length("segment").between(2 * lowest, 64 * (highest + 1) * 4))
+        .where(F.length("segment") >= 2 * lowest)
         .select("id", normal_words(F.col("segment")).alias("words"))
         .where(F.size("words") > lowest)
         .select("id", bigrams(F.col("words")).alias("found"))

@@ -156,6 +156,14 @@ def test_licence_lines_and_wrapped_statements(table):
     assert licences.licence_scan(table([], "doc_id long, text string")).collect() == []
 
 
+def test_long_lines_of_few_bigrams_match(table):
+    padded = "Released under" + " -*- " * 6_000 + "the MIT License."
+    repeated = " ".join(["Licensed under CC BY 4.0"] * 1_200)
+    assert min(len(padded), len(repeated)) > 25_000
+    got = {(r.doc_id, r.licence): (r.n_segments, r.dice) for r in licences.licence_scan(table([(0, padded), (1, repeated)], "doc_id long, text string")).collect()}
+    assert got[(0, "MIT")] == (1, 1.0) and got[(1, "CC-BY-4.0")] == (1, 10 / 11)
+
+
 def test_size_bounds_never_lose_a_match():
     for size in range(1, 60):
         least, most = licences.bounds(size, 80)
