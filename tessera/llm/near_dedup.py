@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. One Arrow pass turns each text into its shingle set's size, a 128-bit digest of the set and a MinHash signature.
-2. Equal sets form a class, represented by its least id; only representatives go on.
+2. Equal sets form a class, which has a number; one text of its least id represents it. Only representatives go on.
 3. Bands of the signature form buckets. A bucket's leader is the member whose own buckets are the fullest, so the
    hub of a group leads it. Each member is paired with its leaders only: rows grow with documents, not with pairs.
 4. A pair's signatures are compared batch by batch. With m of n values equal and a flat prior on similarity J,
@@ -16,7 +16,7 @@ A link that shares a bucket is thus either confirmed or lies within one componen
 of all links but for the chance of sharing no bucket (below 10 * MISS) or of being pruned (below MISS a look).
 
 Nulls and texts without words: empty set, linked with nothing. Fewer words than a shingle: the whole sequence is
-one. Equal rows are linked; rows that share an id count as one node, a null id is returned unlinked with a null
+one. Equal rows are linked; the classes of all texts of an id are linked, a null id is returned unlinked with a null
 component. An empty table gives an empty table. Other columns of the input are ignored.
 """
 
@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.components import components
-from tessera.llm.store import keyed_to, stored
+from tessera.llm.store import BROADCAST_ROWS, stored
 
 MISS = 1e-6
 MOST_BANDS = 32
 BATCH = 32
 BLOCK = 512
 
-_SETS = "id long, n_shingles long, h1 long, h2 long, signature binary"
+_SETS = "id long, hash long, n_shingles long, h1 long, h2 long, signature binary"
 
 
 @cache
@@ -102,15 +102,15 @@ def _sets_of(percent: int, width: int):
                         digests[i, 1] = W.mix(own).sum(dtype=np.uint64)
                 digests = W.mix(digests).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).cast(pa.int64()), pa.array(n_distinct), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([row.tobytes() if k else None for row, k in zip(signature, sizes, strict=True)], pa.binary())],
-                    names=["id", "n_shingles", "h1", "h2", "signature"],
+                    [ids.slice(lo, hi - lo).cast(pa.int64()), batch.column(2).slice(lo, hi - lo), pa.array(n_distinct), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([row.tobytes() if k else None for row, k in zip(signature, sizes, strict=True)], pa.binary())],
+                    names=["id", "hash", "n_shingles", "h1", "h2", "signature"],
                 )
 
     return run
 
 
 def shingle_signatures(texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """texts (id, text) to (id, n_shingles, h1, h2, signature)."""
+    """texts (id, text, hash) to (id, hash, n_shingles, h1, h2, signature)."""
     return texts.mapInArrow(_sets_of(percent, width), _SETS)
 
 
@@ -200,22 +200,27 @@ def _across(percent: int, width: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose full shingle sets are similar. texts: (id, text), one row an id."""
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-    own = keyed_to(texts, needed, "id").groupBy("id").agg(F.max("text").alias("text"))
-    own = stored(own, "texts")
-    joined = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def texts_of(reps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, text) of the classes in reps (distinct, one column rep). An id may have several texts; the hash tells which."""
+    keys = stored(reps.join(classes, "rep").select("rep", "first.id", "first.hash"), "needed")
+    few = keys.count() <= BROADCAST_ROWS // 4  # three numbers a row
+    return texts.join(F.broadcast(keys) if few else keys, ["id", "hash"]).groupBy("rep").agg(F.max("text").alias("text"))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose full shingle sets are similar."""
+    own = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), classes, texts), "texts")
+    joined = pairs.join(own.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(_exact(percent, width), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept. Links: 100 * |intersection| >= percent * |union|."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
     sets = stored(shingle_signatures(texts, percent, width), "signatures")
     full = sets.where("n_shingles > 0 and id is not null")
-    classes = stored(full.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    reps = stored(full.join(classes, ["h1", "h2"]).where("id = rep").groupBy("rep").agg(F.max("signature").alias("signature")), "reps")
+    classes = stored(full.groupBy("h1", "h2").agg(F.min(F.struct("id", "hash")).alias("first")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = stored(full.join(classes, ["h1", "h2"]).where("id = first.id").groupBy("rep").agg(F.max("signature").alias("signature")), "reps")
 
     banded = reps.mapInArrow(_bands_of(percent), "rep long, bucket long")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -226,9 +231,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = members.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     signed = pairs.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
     tried = stored(signed.select("a", "b", "sa", "sb").mapInArrow(_pruned(percent), "a long, b long"), "survivors")
-    # rows that share an id stand in different classes; such an id is one node and is linked with all its classes
-    doubled = full.join(classes, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
-    links = stored(confirmed(tried, texts, percent, width).unionByName(doubled), "links")
+    # rows that share an id may stand in different classes; the least of them is linked with each other one
+    places = full.join(classes, ["h1", "h2"]).select("id", "rep")
+    spread = places.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("id", "b")
+    doubled = places.join(stored(spread, "spread"), "id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    links = stored(confirmed(tried, classes, texts, percent, width).unionByName(doubled), "links")
 
     rooted = components(links)
     rest = members.where("n > 2").join(leaders, "bucket").where("rep <> leader").join(rooted.withColumnRenamed("node", "rep"), "rep", "left")
@@ -249,16 +256,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("bucket", "to.kind", "to.i", "to.j", "rep", "comp", "minor", "block")
     )
     dealt = stored(dealt, "dealt")
-    needed = stored(dealt.select(F.col("rep").alias("id")).distinct(), "needed")
-    own = stored(keyed_to(texts, needed, "id").groupBy("id").agg(F.max("text").alias("text")).withColumnRenamed("id", "rep").join(reps, "rep"), "compared")
+    own = stored(texts_of(dealt.select("rep").distinct(), classes, texts).join(reps, "rep"), "compared")
     across = dealt.join(own, "rep").groupBy("bucket", "kind", "i", "j").applyInPandas(_across(percent, width), "a long, b long")
     links = stored(links.unionByName(across), "links")
     rooted = components(links)
 
-    placed = sets.join(classes, ["h1", "h2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"))
-    return placed.join(rooted.withColumnRenamed("node", "rep"), "rep", "left").select(
+    least = rooted.withColumnRenamed("node", "rep").join(classes.select("rep", "first.id"), "rep")
+    least = least.join(least.groupBy("root").agg(F.min("id").alias("least")), "root").select("rep", "least")
+    placed = sets.join(classes, ["h1", "h2"], "left").select("id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(n) for c, n in (("rep", "rep"), ("first.id", "own"))))
+    component = F.coalesce("least", "own", "id")
+    return placed.join(least, "rep", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
-        F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"),
-        F.coalesce(F.coalesce("root", "rep", "id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.when(F.col("id").isNotNull(), component).alias("component_id"),
+        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )

@@ -82,6 +82,15 @@ def test_near_duplicates_of_odd_documents(odd_docs):
     assert near_dedup.near_duplicates(odd_docs.limit(0)).collect() == []
 
 
+def test_every_text_of_an_id_finds_its_near_copies(table):
+    draw = random.Random(21)
+    several = [prose(draw, 120) for _ in range(4)]
+    rows = [(50, t) for t in several] + [(50, several[0])] + [(60 + k, edited(draw, t, 1)) for k, t in enumerate(several)]
+    rows += [(3, edited(draw, several[2], 1)), (90, prose(draw, 120)), (91, prose(draw, 120)), (91, prose(draw, 120))]
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(table(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 3, i == 3) for i in (3, 50, 60, 61, 62, 63)} | {(90, 90, True), (91, 91, True)}
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     draw = np.random.default_rng(0)
     n = near_dedup.banding(85)[0] * near_dedup.banding(85)[1]
