@@ -1,21 +1,27 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation in numpy.
 
 Tokens are words (A-Z lower-cased) and one end per document. Counts of every word in the training rows are gathered
-over the whole corpus: each chunk of text sends one row per distinct word, and gets that word's total back.
+over the whole corpus: each chunk of text sends one row per distinct word, rows are summed by word, and a chunk gets
+back only the totals that differ from its own counts.
 
-Model. The TOP most frequent training tokens are classes of their own; every other word belongs to one of SHAPES
-classes by its last two bytes, so unseen words have a class too. P(word | context) = P(class | context) * P(word |
-class); within a shape class, P(word) = (c + 1) / (N_s + V_s + 1), the 1 being for unseen words. P(class | context)
-is log-bilinear: the prediction q = sum over the CONTEXT tokens before of C_i * R[class_i] (diagonal C), the score
-q . S[class] + b[class]. The softmax over all classes is exact, by matrix products over the distinct contexts.
+Model. The `top` most frequent training tokens (TOP unless given) are classes of their own; every other word belongs
+to one of SHAPES classes by its last two bytes, so unseen words have a class too. P(word | context) = P(class |
+context) * P(word | class); within a shape class, P(word) = (c + 1) / (N_s + V_s + 1), the 1 being for unseen words.
+P(class | context) is log-bilinear: the prediction q = sum over the CONTEXT tokens before of C_i * R[class_i]
+(diagonal C), the score q . S[class] + b[class]. The softmax over all classes is exact, by matrix products over the
+distinct contexts, each of which a task normalises once.
 
 Training. Noise-contrastive estimation: each token against NOISE draws from the class frequencies, shared by a
 batch, with the normaliser taken as 1 and adaptive steps. Every training token is seen in each of ROUNDS passes; tasks
-train on their own chunks from the same start, and their parameters, weighted by tokens, are averaged by a sum in
-Spark. Only the parameters, whose number is fixed, reach the driver.
+train on their own chunks from the same start. Their parameters, weighted by tokens, are one binary row a task, summed
+in at most FAN tasks; only those sums, whose size is fixed, reach the driver.
+
+Memory. A chunk's tokens stay 32-bit places in its vocabulary; they are opened RUN tokens at a time, across document
+ends, so neither long documents nor large chunks make a task's arrays grow.
 
 Null and empty texts are one end token. Repeated rows are scored and counted each. A null id is a training row.
-Without training rows every class is equally likely and base_score is that of an empty vocabulary.
+Without training rows every class is equally likely and base_score is that of an empty vocabulary. An empty table
+gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,21 +30,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import words as W
 from tessera.llm.store import stored
 
 TOP, SHAPES, CONTEXT, WIDTH = 1000, 88, 2, 16
 NOISE, BATCH, ROUNDS, STEP = 32, 4096, 2, 0.1
-CHUNK_BYTES = 24 << 20
-CLASSES = TOP + SHAPES
+CHUNK_BYTES = 8 << 20
+RUN = 1 << 17
+#: Contexts whose normalisers a task remembers, where so many are possible; else each run's are found anew.
+REMEMBERED = 1 << 22
+FAN = 64
 END = W.mix(np.array([0xE0D], dtype=np.uint64))[0]
 _CHUNK = "chunk long, ids array<long>, held array<boolean>, bounds binary, codes binary, vocabulary binary, shapes binary, counts binary"
 
@@ -72,7 +79,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, shapes = np.full(len(starts) + hi - lo, END), np.zeros(len(starts) + hi - lo, np.uint8)
             seats = np.arange(len(starts)) + np.repeat(np.arange(hi - lo), counts)  # an end after each row
             tokens[seats] = W.hashes(data, starts, ends)
-            last = data[ends - 1].astype(np.uint64) | np.where(ends - starts > 1, data[np.maximum(ends, 2) - 2], 0).astype(np.uint64) << np.uint64(8)
+            tail, before = W.LOWER[data[ends - 1]], np.where(ends - starts > 1, W.LOWER[data[np.maximum(ends, 2) - 2]], 0)
+            last = tail.astype(np.uint64) | before.astype(np.uint64) << np.uint64(8)
             shapes[seats] = W.mix(last) % np.uint64(SHAPES)
             held.append((ids[lo:hi], flags[lo:hi], tokens, shapes, counts + 1))
             size += len(data)
@@ -87,22 +95,29 @@ _SCHEMA = pa.schema(
 )
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One chunk at a time, however many a batch holds."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, place = chunk and number in it, n, shape) of every distinct word of a chunk."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            words, counts, shapes = np.frombuffer(row["vocabulary"], "<i8"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["shapes"], np.uint8)
-            for lo in range(0, len(words), 65_536):
-                n = slice(lo, lo + 65_536)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(words[n]), row["chunk"])), pa.array(np.arange(lo, lo + len(words[n]), dtype=np.int32)), pa.array(words[n]), pa.array(counts[n].astype(np.int64)), pa.array(shapes[n].astype(np.int32))],
-                    names=["chunk", "place", "word", "n", "shape"],
-                )
+    for row in _rows(batches):
+        words, counts, shapes = np.frombuffer(row["vocabulary"], "<i8"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["shapes"], np.uint8)
+        for lo in range(0, len(words), 65_536):
+            n = slice(lo, lo + 65_536)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(words[n]), row["chunk"])), pa.array(np.arange(lo, lo + len(words[n]), dtype=np.int32)), pa.array(words[n]), pa.array(counts[n].astype(np.int64)), pa.array(shapes[n].astype(np.int32))],
+                names=["chunk", "place", "word", "n", "shape"],
+            )
 
 
 @dataclass
 class Counts:
-    """Corpus-wide counts: all tokens and distinct ones of the training rows; the top words, sorted by hash; the shape classes' counts."""
+    """Corpus-wide counts: all tokens and distinct ones of the training rows; the top words, sorted by hash; the shape
+    classes' counts. size: all classes, of which the first `size - SHAPES` are for top words."""
 
     tokens: int
     distinct: int
@@ -110,9 +125,11 @@ class Counts:
     top_counts: np.ndarray
     shape_tokens: np.ndarray
     shape_distinct: np.ndarray
+    size: int = TOP + SHAPES
 
     def classes(self, vocabulary: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        out = TOP + shapes.astype(np.int64)
+        """Each word's class, in 16 bits where that is enough."""
+        out = (self.size - SHAPES + shapes.astype(np.int64)).astype(np.uint16 if self.size < 1 << 16 else np.int32)
         if len(self.top):
             seat = np.minimum(np.searchsorted(self.top, vocabulary), len(self.top) - 1)
             own = self.top[seat] == vocabulary
@@ -120,9 +137,9 @@ class Counts:
         return out
 
     def class_counts(self) -> np.ndarray:
-        out = np.zeros(CLASSES)
+        out = np.zeros(self.size)
         out[: len(self.top_counts)] = self.top_counts
-        out[TOP:] = self.shape_tokens
+        out[self.size - SHAPES :] = self.shape_tokens
         return out
 
 
@@ -137,7 +154,7 @@ class Model:
     def start(cls, counts: Counts) -> Model:
         draw = np.random.default_rng(8)
         frequency = counts.class_counts() + 0.5
-        return cls(draw.normal(0, 0.1, (CLASSES, WIDTH)), draw.normal(0, 0.1, (CLASSES + 1, WIDTH)), np.ones((CONTEXT, WIDTH)), np.log(frequency / frequency.sum()))
+        return cls(draw.normal(0, 0.1, (counts.size, WIDTH)), draw.normal(0, 0.1, (counts.size + 1, WIDTH)), np.ones((CONTEXT, WIDTH)), np.log(frequency / frequency.sum()))
 
     def parts(self) -> list[np.ndarray]:
         return [self.targets, self.inputs, self.mixing, self.bias]
@@ -156,7 +173,7 @@ class Model:
         return sum(self.inputs[before[:, i]] * self.mixing[i] for i in range(CONTEXT))
 
     def log_normaliser(self, before: np.ndarray) -> np.ndarray:
-        """Of each distinct context, over all classes."""
+        """Of each context, over all classes."""
         targets, bias = self.targets.T.astype(np.float32), self.bias.astype(np.float32)
         out = np.empty(len(before))
         for lo in range(0, len(before), 1024):
@@ -165,17 +182,31 @@ class Model:
             out[lo : lo + 1024] = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1, dtype=np.float64))
         return out
 
-    def log_probability(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of each class given the classes before it."""
-        key = before[:, 0].copy()
+
+class Scorer:
+    """Natural logs of each class given the classes before it; a context's normaliser is found once."""
+
+    def __init__(self, model: Model):
+        self.model, self.base = model, len(model.inputs)
+        possible = self.base**CONTEXT
+        self.known = np.full(possible, np.nan) if possible <= REMEMBERED else None
+
+    def _normalisers(self, before: np.ndarray) -> np.ndarray:
+        key = before[:, 0].astype(np.int64)
         for i in range(1, CONTEXT):
-            key = key * (CLASSES + 1) + before[:, i]
-        _, sample, seat = np.unique(key, return_index=True, return_inverse=True)
-        total, out = self.log_normaliser(before[sample]), np.empty(len(target))
-        for lo in range(0, len(target), 1 << 17):
-            n = slice(lo, lo + (1 << 17))
-            out[n] = (self.prediction(before[n]) * self.targets[target[n]]).sum(axis=1) + self.bias[target[n]] - total[seat[n]]
-        return out
+            key = key * self.base + before[:, i]
+        if self.known is None:
+            _, sample, seat = np.unique(key, return_index=True, return_inverse=True)
+            return self.model.log_normaliser(before[sample])[seat]
+        new = np.unique(key[np.isnan(self.known[key])])
+        if len(new):
+            places = [new // self.base**i % self.base for i in reversed(range(CONTEXT))]
+            self.known[new] = self.model.log_normaliser(np.stack(places, axis=1))
+        return self.known[key]
+
+    def log_probability(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
+        m = self.model
+        return (m.prediction(before) * m.targets[target]).sum(axis=1) + m.bias[target] - self._normalisers(before)
 
 
 class Trainer:
@@ -202,122 +233,168 @@ class Trainer:
         return out
 
     def learn(self, before: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.model, len(target)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.draw.random(NOISE) * self.cumulative[-1]), CLASSES - 1)
-        q = m.prediction(before)
+        m, n, size = self.model, len(target), len(self.log_noise)
+        noise = np.minimum(np.searchsorted(self.cumulative, self.draw.random(NOISE) * self.cumulative[-1]), size - 1)
+        near, own = [m.inputs[before[:, i]] for i in range(CONTEXT)], m.targets[target]
+        q = sum(x * m.mixing[i] for i, x in enumerate(near))
         log_k = np.log(NOISE)
-        real = (q * m.targets[target]).sum(axis=1) + m.bias[target] - self.log_noise[target] - log_k
+        real = np.einsum("ij,ij->i", q, own) + m.bias[target] - self.log_noise[target] - log_k
         fake = q @ m.targets[noise].T + (m.bias[noise] - self.log_noise[noise] - log_k)
         up = 1 / (1 + np.exp(np.clip(real, -30, 30))) / n
         down = -1 / (1 + np.exp(-np.clip(fake, -30, 30))) / n
-        q_step = up[:, None] * m.targets[target] + down @ m.targets[noise]
-        targets = self._gather(target, up[:, None] * q, CLASSES)
+        q_step = up[:, None] * own + down @ m.targets[noise]
+        targets = self._gather(target, up[:, None] * q, size)
         np.add.at(targets, noise, down.T @ q)
-        bias = np.bincount(target, weights=up, minlength=CLASSES)
+        bias = np.bincount(target, weights=up, minlength=size)
         np.add.at(bias, noise, down.sum(axis=0))
-        inputs = sum(self._gather(before[:, i], q_step * m.mixing[i], CLASSES + 1) for i in range(CONTEXT))
-        mixing = np.stack([(q_step * m.inputs[before[:, i]]).sum(axis=0) for i in range(CONTEXT)])
+        inputs = sum(self._gather(before[:, i], q_step * m.mixing[i], size + 1) for i in range(CONTEXT))
+        mixing = np.stack([np.einsum("ij,ij->j", q_step, x) for x in near])
         for part, gradient in enumerate((targets, inputs, mixing, bias)):
             self._move(part, gradient)
 
 
-def _contexts(classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The CONTEXT classes before each token, the nearest first; CLASSES stands for what is before a document."""
-    out = np.full((len(classes), CONTEXT), CLASSES, dtype=np.int64)
-    place = np.arange(len(classes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for i in range(CONTEXT):
-        far = np.flatnonzero(place > i)
-        out[far, i] = classes[far - i - 1]
-    return out
-
-
-def _opened(row: dict, counts: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, class of each vocabulary entry, bounds)."""
-    codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), "<u4").astype(np.int64)
-    return codes, counts.classes(np.frombuffer(row["vocabulary"], "<u8"), np.frombuffer(row["shapes"], np.uint8)), np.frombuffer(row["bounds"], "<i8")
-
-
-def corpus_counts(listed: DataFrame) -> tuple[Counts, DataFrame]:
-    """The counts, and a table (chunk, place, c) of every chunk's words with their corpus-wide training counts."""
-    by_word = Window.partitionBy("word")
-    totals = stored(listed.select("chunk", "place", "word", "shape", F.sum("n").over(by_word).alias("c"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("once")), "word-counts")
-    once = totals.where("once and c > 0")
-    top = once.orderBy(F.desc("c"), "word").limit(TOP).select("word", "c", "shape").collect()
+class Opened:
+    """A chunk's tokens: places in its vocabulary, each entry's class, and the documents' bounds."""
+
+    def __init__(self, row: dict, counts: Counts):
+        self.outside = counts.size
+        self.codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), "<u4")
+        self.classes = counts.classes(np.frombuffer(row["vocabulary"], "<u8"), np.frombuffer(row["shapes"], np.uint8))
+        self.bounds = np.frombuffer(row["bounds"], "<i8")
+        self.held = np.array(row["held"], dtype=bool)
+
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(document, codes, classes, CONTEXT classes before, the nearest first) of RUN tokens at a time; `outside`
+        stands for what is before a document."""
+        for lo in range(0, len(self.codes), RUN):
+            hi = min(lo + RUN, len(self.codes))
+            first, end = np.searchsorted(self.bounds, (lo, hi - 1), side="right") - 1
+            cuts = np.clip(self.bounds[first : end + 2], lo, hi)
+            doc = np.repeat(np.arange(first, end + 1), np.diff(cuts))
+            place = np.arange(lo, hi) - self.bounds[doc]
+            reach = max(0, lo - CONTEXT)
+            tokens = self.classes[self.codes[reach:hi]]
+            before = np.full((hi - lo, CONTEXT), self.outside, dtype=tokens.dtype)
+            for i in range(CONTEXT):
+                far = np.flatnonzero(place > i)
+                before[far, i] = tokens[far + (lo - reach) - i - 1]
+            yield doc, self.codes[lo:hi], tokens[lo - reach :], before
+
+
+def corpus_counts(listed: DataFrame, top: int = TOP) -> tuple[Counts, DataFrame]:
+    """The counts, and a table (chunk, place, c) of the words whose corpus-wide training count isn't the chunk's own."""
+    totals = stored(listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("shape").alias("shape"), F.count("*").alias("chunks")), "word-counts")
+    once = totals.where("c > 0")
+    most = once.orderBy(F.desc("c"), "word").limit(top).select("word", "c", "shape").collect()
     tokens, distinct = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     shape_tokens, shape_distinct = np.zeros(SHAPES), np.zeros(SHAPES)
     for shape, c, n in once.groupBy("shape").agg(F.sum("c"), F.count("*")).collect():
         shape_tokens[shape], shape_distinct[shape] = c, n
-    for _, c, shape in top:
+    for _, c, shape in most:
         shape_tokens[shape] -= c
         shape_distinct[shape] -= 1
-    words = np.array([w for w, _, _ in top], dtype=np.int64).view(np.uint64)
+    words = np.array([w for w, _, _ in most], dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
-    return Counts(int(tokens), int(distinct), words[order], np.array([c for _, c, _ in top], dtype=np.int64)[order], shape_tokens, shape_distinct), totals.select("chunk", "place", "c")
+    back = listed.select("chunk", "place", "word", "n").join(totals.where("chunks > 1").select("word", "c"), "word").where("c <> n").select("chunk", "place", "c")
+    return Counts(int(tokens), int(distinct), words[order], np.array([c for _, c, _ in most], dtype=np.int64)[order], shape_tokens, shape_distinct, top + SHAPES), back
+
+
+def _summed(trained: DataFrame, tasks: int) -> np.ndarray | None:
+    """The mean of the tasks' parameters, weighted by tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = None, 0.0
+        for row in _rows(batches):
+            flat = np.frombuffer(row["x"], "<f8")
+            total, weight = flat * row["w"] if total is None else total + flat * row["w"], weight + row["w"]
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([(total / weight).tobytes()], pa.binary()), pa.array([weight])], names=["x", "w"])
+
+    if tasks > FAN:
+        trained = trained.repartition(FAN).mapInArrow(run, "x binary, w double")
+    found = sorted((r.w, bytes(r.x)) for r in trained.collect())  # FAN at most
+    weight = sum(w for w, _ in found)
+    return sum(np.frombuffer(x, "<f8") * (w / weight) for w, x in found) if found else None
 
 
 def train(chunks: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     model = Model.start(counts)
     noise = counts.class_counts() + 0.5
     noise /= noise.sum()
+    tasks = chunks.count()  # no more tasks than chunks have any
     for turn in range(rounds):
         sent = model
 
         def run(batches: Iterator[pa.RecordBatch], sent: Model = sent, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            trainer, seen = Trainer(sent.refilled(sent.flat()), noise, 1000 * turn + TaskContext.get().partitionId()), 0
-            for batch in batches:
-                for row in batch.to_pylist():
-                    codes, classes, bounds = _opened(row, counts)
-                    tokens = classes[codes]
-                    use = np.flatnonzero(~np.repeat(np.array(row["held"], dtype=bool), np.diff(bounds)))
-                    before = _contexts(tokens, bounds)
+            trainer, seen = None, 0
+            for row in _rows(batches):
+                chunk = Opened(row, counts)
+                trainer = trainer or Trainer(sent.refilled(sent.flat()), noise, 2 * row["chunk"] + turn)
+                for doc, _, tokens, before in chunk.runs():
+                    use = np.flatnonzero(~chunk.held[doc])
                     use = use[trainer.draw.permutation(len(use))]
                     for lo in range(0, len(use), BATCH):
                         some = use[lo : lo + BATCH]
                         trainer.learn(before[some], tokens[some])
                     seen += len(use)
             if seen:
-                flat = trainer.model.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["k", "x", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([trainer.model.flat().astype("<f8").tobytes()], pa.binary()), pa.array([float(seen)])], names=["x", "w"])
 
-        summed = chunks.select("held", "bounds", "codes", "vocabulary", "shapes").mapInArrow(run, "k int, x double, w double").groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
-        if len(summed):
-            model = model.refilled(summed.sort_values("k")["x"].to_numpy())
+        flat = _summed(chunks.select("chunk", "held", "bounds", "codes", "vocabulary", "shapes").mapInArrow(run, "x binary, w double"), tasks)
+        if flat is not None:
+            model = model.refilled(flat)
     return model
 
 
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")), *((n, pa.float64()) for n in ("base_score", "score"))])
+
+
 def _scored(model: Model, counts: Counts):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    scorers: list[Scorer] = []
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not scorers:
+            scorers.append(Scorer(model))
         out = []
-        for row in left.to_dict("records"):
-            codes, classes, bounds = _opened(row, counts)
-            c = np.zeros(len(classes), dtype=np.int64)
+        for row in _rows(left.to_batches()):
+            chunk = Opened(row, counts)
+            n, docs = len(chunk.classes), len(chunk.bounds) - 1
+            c = np.frombuffer(row["counts"], "<u4").astype(np.int64)
             c[right["place"].to_numpy()] = right["c"].to_numpy()
             base = np.log10((c + 1) / (counts.tokens + counts.distinct + 1))
-            shape = np.maximum(classes - TOP, 0)
-            within = np.where(classes < TOP, 0.0, np.log10((c + 1) / (counts.shape_tokens[shape] + counts.shape_distinct[shape] + 1)))
-            tokens = classes[codes]
-            model_score = model.log_probability(_contexts(tokens, bounds), tokens) / np.log(10) + within[codes]
-            at = bounds[:-1]  # every document has a token: its end
-            out.append(pd.DataFrame({
-                "doc_id": pd.array([None if x is None or x != x else int(x) for x in row["ids"]], dtype="Int64"),
-                "held_out": np.array(row["held"], dtype=bool),
-                "n_tokens": np.diff(bounds),
-                "n_known": np.add.reduceat((c[codes] > 0).astype(np.int64), at),
-                "train_tokens": counts.tokens,
-                "base_score": np.add.reduceat(base[codes], at),
-                "score": np.add.reduceat(model_score, at),
-            }))
-        return pd.concat(out) if out else pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            shape = np.maximum(chunk.classes.astype(np.int64) - (counts.size - SHAPES), 0)
+            within = np.where(chunk.classes < counts.size - SHAPES, 0.0, np.log10((c + 1) / (counts.shape_tokens[shape] + counts.shape_distinct[shape] + 1)))
+            known, sums, plain = np.zeros(docs), np.zeros(docs), np.zeros(docs)
+            for doc, codes, tokens, before in chunk.runs():
+                first, own = doc[0], doc - doc[0]
+                some = slice(first, first + own[-1] + 1)
+                known[some] += np.bincount(own, weights=c[codes] > 0)
+                plain[some] += np.bincount(own, weights=base[codes])
+                sums[some] += np.bincount(own, weights=scorers[0].log_probability(before, tokens) / np.log(10) + within[codes])
+            out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(chunk.held), pa.array(np.diff(chunk.bounds)), pa.array(known.astype(np.int64)), pa.array(np.full(docs, counts.tokens)), pa.array(plain), pa.array(sums)], schema=_SCORES))
+        return pa.concat_tables(out) if out else _SCORES.empty_table()
 
     return run
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The chunks of tokens, as a table of the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
-    chunks = stored(rows.mapInArrow(_chunks, _CHUNK), "chunks")
-    listed = chunks.select("chunk", "vocabulary", "counts", "shapes").mapInArrow(_listed, "chunk long, place int, word long, n long, shape int")
-    counts, table = corpus_counts(listed)
-    model = train(chunks, counts)
-    both = chunks.drop("counts").groupBy("chunk").cogroup(table.groupBy("chunk"))
-    return both.applyInPandas(_scored(model, counts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return stored(rows.mapInArrow(_chunks, _CHUNK), "chunks")
+
+
+def words_of(chunks: DataFrame) -> DataFrame:
+    """(chunk, place, word, n, shape) of every distinct word of every chunk."""
+    return chunks.select("chunk", "vocabulary", "counts", "shapes").mapInArrow(_listed, "chunk long, place int, word long, n long, shape int")
+
+
+def scored(chunks: DataFrame, back: DataFrame, model: Model, counts: Counts) -> DataFrame:
+    both = chunks.groupBy("chunk").cogroup(back.groupBy("chunk"))
+    return both.applyInArrow(_scored(model, counts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    chunks = chunked(docs, id_col, text_col)
+    counts, back = corpus_counts(words_of(chunks), top)
+    return scored(chunks, back, train(chunks, counts), counts)

@@ -15,8 +15,8 @@ import xxhash
 U = np.uint64
 SLICE_BYTES = 1 << 20
 LONG_WORD = 1024
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A byte's value, as it is and after lower-casing.
 RAW = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_BYTE = RAW[_LOWER]
+_BYTE = RAW[LOWER]
 _BASE = 0x9E3779B97F4A7C55 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
@@ -110,7 +110,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     sums, inverse = prefix_sums(data)
     out = mix((sums[ends] - sums[starts]) * inverse[starts])
     for i in np.flatnonzero(ends - starts > LONG_WORD):
-        out[i] = xxhash.xxh64_intdigest(_LOWER[data[starts[i] : ends[i]]].tobytes())
+        out[i] = xxhash.xxh64_intdigest(LOWER[data[starts[i] : ends[i]]].tobytes())
     return out
 
 

@@ -7,6 +7,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, components, decontaminate, licences, lm, near_dedup, toxicity, url_filter, words
@@ -253,9 +254,10 @@ def small_model():
 
 def test_class_probabilities_sum_to_one():
     _, model = small_model()
-    before = np.random.default_rng(1).integers(0, lm.CLASSES + 1, (4, lm.CONTEXT))
+    size = lm.TOP + lm.SHAPES
+    before = np.random.default_rng(1).integers(0, size + 1, (4, lm.CONTEXT))
     for row in before:
-        every = model.log_probability(np.repeat(row[None], lm.CLASSES, axis=0), np.arange(lm.CLASSES))
+        every = lm.Scorer(model).log_probability(np.repeat(row[None], size, axis=0), np.arange(size))
         assert abs(np.exp(every).sum() - 1) < 1e-5
 
 
@@ -266,10 +268,61 @@ def test_training_learns_what_follows():
     trainer = lm.Trainer(model, noise / noise.sum(), 0)
     before = draw.integers(0, 20, (40_000, lm.CONTEXT))
     target = (before[:, 0] + 1) % 20
-    first = model.log_probability(before[:500], target[:500]).mean()
+    first = lm.Scorer(model).log_probability(before[:500], target[:500]).mean()
     for lo in range(0, 40_000, 1000):
         trainer.learn(before[lo : lo + 1000], target[lo : lo + 1000])
-    assert trainer.model.log_probability(before[:500], target[:500]).mean() > first + 1.5
+    assert lm.Scorer(trainer.model).log_probability(before[:500], target[:500]).mean() > first + 1.5
+
+
+def test_runs_of_any_length_give_the_same_contexts(monkeypatch):
+    counts, _ = small_model()
+    draw = np.random.default_rng(2)
+    lengths = draw.integers(1, 40, 30)
+    row = {"codes": zstandard.compress(draw.integers(0, 300, lengths.sum()).astype("<u4").tobytes()), "vocabulary": np.append(counts.top[:150], draw.integers(0, 1 << 62, 150).astype(np.uint64)).tobytes()}
+    row |= {"shapes": (np.arange(300) % lm.SHAPES).astype(np.uint8).tobytes(), "bounds": np.append(0, np.cumsum(lengths)).astype("<i8").tobytes(), "held": [False] * 30}
+    whole = list(lm.Opened(row, counts).runs())
+    assert len(whole) == 1
+    doc, codes, tokens, before = whole[0]
+    for k, (d, b) in enumerate(zip(doc, before, strict=True)):
+        assert b.tolist() == [tokens[k - i - 1] if k - i - 1 >= 0 and doc[k - i - 1] == d else counts.size for i in range(lm.CONTEXT)]
+    for run in (1, 2, 7, 100):
+        monkeypatch.setattr(lm, "RUN", run)
+        for a, b in zip(zip(*lm.Opened(row, counts).runs(), strict=True), whole[0], strict=True):
+            assert (np.concatenate(a) == b).all()
+
+
+def plain_log10(model, counts, c, text):
+    """A text's score by one softmax loop over its tokens."""
+    found = [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))] + ["\0end"]
+    total, last = 0.0, [counts.size] * lm.CONTEXT
+    for word in found:
+        raw = word.encode()
+        name = lm.END if word == "\0end" else words.hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0]
+        seat = np.flatnonzero(counts.top == name)
+        shape = 0 if word == "\0end" else int(words.mix(np.array([raw[-1] | (raw[-2] << 8 if len(raw) > 1 else 0)], np.uint64))[0] % np.uint64(lm.SHAPES))
+        own = int(seat[0]) if len(seat) else counts.size - lm.SHAPES + shape
+        q = sum(model.inputs[x] * model.mixing[i] for i, x in enumerate(last))
+        every = model.targets @ q + model.bias
+        total += (every[own] - np.log(np.exp(every).sum())) / np.log(10)
+        if not len(seat):
+            total += log10((c[word] + 1) / (counts.shape_tokens[shape] + counts.shape_distinct[shape] + 1))
+        last = [own, *last[:-1]]
+    return total
+
+
+@pytest.mark.parametrize("top", [40, 3000])
+def test_scores_are_those_of_a_plain_softmax_loop(table, monkeypatch, top):
+    monkeypatch.setattr(lm, "FAN", 2)
+    draw = random.Random(top)
+    docs = [(i, " ".join(draw.choice(("The", "the", "cat", "SAT", *WORDS[: 5 * i])) for _ in range(draw.choice([0, 3, 40, 250])))) for i in range(1, 31)] + [(31, None), (32, ""), (None, "the cat sat")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, t in docs if not held(i) for w in [*(t or "").lower().split(), "\0end"])
+    chunks = lm.chunked(table(docs, "doc_id long, text string").repartition(8))
+    counts, back = lm.corpus_counts(lm.words_of(chunks), top)
+    assert chunks.count() == 8 and (counts.tokens, counts.distinct) == (sum(c.values()), len(c))
+    model = lm.train(chunks, counts)
+    got = sorted((str(r.doc_id), round(r.score, 3)) for r in lm.scored(chunks, back, model, counts).collect())
+    assert got == sorted((str(i), round(plain_log10(model, counts, c, t), 3)) for i, t in docs)
 
 
 def toxic_corpus(n=600, seed=0):
