@@ -8,9 +8,10 @@
    P(J >= t | m, n) = P(Bin(n + 1, t) <= m); a pair is dropped as soon as that is below the miss probability.
 5. Survivors are confirmed on the full shingle sets of both texts, and linked.
 6. In buckets whose other members then lie in more than one component, those outside the bucket's largest component
-   (the minority) are compared with all, in blocks of BLOCK members, and only across components. A block holds the
-   texts, so each survivor is confirmed at once and joins its components; a pair is looked at in the first bucket it
-   shares alone. Rows are copied as often as there are blocks in the minority, and links stay fewer than members.
+   (the minority) are compared with all, in blocks of BLOCK members, and only across components. Blocks hold
+   signatures alone; the shingle sets lie in files of the shared folder, and a survivor's are read from their place
+   and confirmed at once, which joins its components. A pair is looked at in the first bucket it shares alone. Rows
+   are copied as often as there are blocks in the minority, and links stay fewer than members.
 
 A link that shares a bucket is thus either confirmed or lies within one component already, so components are those
 of all links but for the chance of sharing no bucket (below 10 * MISS) or of being pruned (below MISS a look).
@@ -18,10 +19,14 @@ of all links but for the chance of sharing no bucket (below 10 * MISS) or of bei
 Nulls and texts without words: empty set, linked with nothing. Fewer words than a shingle: the whole sequence is
 one. Equal rows are linked; the classes of all texts of an id are linked, a null id is returned unlinked with a null
 component. An empty table gives an empty table. Other columns of the input are ignored.
+
+A threshold for which MOST_BANDS bands can't keep the miss bound (below about 0.66) is an error, and so are
+components that don't settle; nothing is dropped instead.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import cache
 from math import comb
@@ -29,17 +34,20 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.components import components
-from tessera.llm.store import BROADCAST_ROWS, stored
+from tessera.llm.store import fresh_path, is_small, stored
 
 MISS = 1e-6
 MOST_BANDS = 32
 BATCH = 32
-BLOCK = 512
+BLOCK = 1024
+#: Bytes of shingle sets that a block keeps at hand.
+SETS_BYTES = 48 << 20
 
 _SETS = "id long, hash long, n_shingles long, h1 long, h2 long, signature binary"
 
@@ -90,17 +98,11 @@ def _sets_of(percent: int, width: int):
                 sizes = np.diff(edges)
                 full = np.flatnonzero(sizes)
                 signature = np.zeros((hi - lo, n), dtype=np.uint16)
-                n_distinct, digests = np.zeros(hi - lo, np.int64), np.zeros((hi - lo, 2), dtype=np.uint64)
+                n_distinct, digests = W.digests(found, edges)
                 if len(full):
                     at = edges[:-1][full]
                     for k in range(n):
                         signature[full, k] = np.minimum.reduceat((found ^ add[k]) * times[k] >> np.uint64(40), at) & np.uint64(0xFFFF)
-                    for i in full:
-                        own = np.unique(found[edges[i] : edges[i + 1]])
-                        n_distinct[i] = len(own)
-                        digests[i, 0] = own.sum(dtype=np.uint64)
-                        digests[i, 1] = W.mix(own).sum(dtype=np.uint64)
-                digests = W.mix(digests).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo).cast(pa.int64()), batch.column(2).slice(lo, hi - lo), pa.array(n_distinct), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([row.tobytes() if k else None for row, k in zip(signature, sizes, strict=True)], pa.binary())],
                     names=["id", "hash", "n_shingles", "h1", "h2", "signature"],
@@ -157,7 +159,49 @@ def _exact(percent: int, width: int):
     return run
 
 
-def _across(percent: int, width: int):
+def _placed(folder: str, width: int):
+    """Writes each task's shingle sets into one file: (rep, file, at, n), in 64-bit numbers. A file is whole when its
+    task's rows are kept; one of a lost attempt is never named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, stream, at = uuid.uuid4().hex, None, 0
+        for batch in batches:
+            if batch.num_rows and stream is None:
+                files, base = pafs.FileSystem.from_uri(folder)
+                files.create_dir(base, recursive=True)
+                stream = files.open_output_stream(f"{base}/{name}")
+            sizes = []
+            for own in W.shingle_sets(batch.column("text"), width):
+                stream.write(own.astype("<u8", copy=False).tobytes())
+                sizes.append(len(own))
+            ends = at + np.cumsum(sizes, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([name] * len(sizes), pa.string()), pa.array(ends - sizes, pa.int64()), pa.array(sizes, pa.int64())], names=["rep", "file", "at", "n"])
+            at = int(ends[-1]) if len(ends) else at
+        if stream is not None:
+            stream.close()
+
+    return run
+
+
+class Sets:
+    """Shingle sets by their places in files; a bounded number of bytes stays at hand."""
+
+    def __init__(self, folder: str):
+        self.files, self.base = pafs.FileSystem.from_uri(folder)
+        self.held: dict[tuple[str, int], np.ndarray] = {}
+        self.size = 0
+
+    def get(self, file: str, at: int, n: int) -> np.ndarray:
+        if (file, at) not in self.held:
+            if self.size > SETS_BYTES:
+                self.held, self.size = {}, 0
+            with self.files.open_input_file(f"{self.base}/{file}") as stream:
+                self.held[file, at] = np.frombuffer(stream.read_at(8 * n, 8 * at), "<u8")
+            self.size += 8 * n
+        return self.held[file, at]
+
+
+def _across(percent: int, folder: str):
     """Links over different components within one block, or between two; enough of them to join what they join."""
     bands, rows = banding(percent)
 
@@ -165,16 +209,10 @@ def _across(percent: int, width: int):
         group = group.sort_values("rep").reset_index(drop=True)
         sig = np.frombuffer(b"".join(group["signature"]), dtype=np.uint16).reshape(len(group), bands, rows)
         flat = sig.reshape(len(group), -1)
-        rep, minor, block = (group[c].to_numpy() for c in ("rep", "minor", "block"))
+        rep, minor, block, file, at, n = (group[c].to_numpy() for c in ("rep", "minor", "block", "file", "at", "n"))
         _, comp = np.unique(group["comp"].to_numpy(), return_inverse=True)
         band = int(group["bucket"].iloc[0]) & 31
-        sets: dict[int, np.ndarray] = {}
-
-        def own(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = next(W.shingle_sets(pa.array([group["text"].iloc[i]], pa.string()), width))
-            return sets[i]
-
+        sets = Sets(folder)
         if group["kind"].iloc[0]:
             left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
         elif (block == block[0]).all():
@@ -186,11 +224,11 @@ def _across(percent: int, width: int):
             others = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (left is not right))]
             if not len(others):
                 continue
-            others = others[(sig[others] == sig[i]).all(axis=2).argmax(axis=1) == band]
             others = others[survivors(np.broadcast_to(flat[i], (len(others), bands * rows)), flat[others], percent)]
+            others = others[(sig[others] == sig[i]).all(axis=2).argmax(axis=1) == band]
             for j in others[np.argsort(-(flat[others] == flat[i]).sum(axis=1), kind="stable")].tolist():
                 if comp[i] != comp[j]:
-                    a, b = own(i), own(j)
+                    a, b = (sets.get(file[k], int(at[k]), int(n[k])) for k in (i, j))
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     if 100 * both >= percent * (len(a) + len(b) - both):
                         found.append((rep[i], rep[j]))
@@ -203,8 +241,7 @@ def _across(percent: int, width: int):
 def texts_of(reps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(rep, text) of the classes in reps (distinct, one column rep). An id may have several texts; the hash tells which."""
     keys = stored(reps.join(classes, "rep").select("rep", "first.id", "first.hash"), "needed")
-    few = keys.count() <= BROADCAST_ROWS // 4  # three numbers a row
-    return texts.join(F.broadcast(keys) if few else keys, ["id", "hash"]).groupBy("rep").agg(F.max("text").alias("text"))
+    return texts.join(F.broadcast(keys) if is_small(keys) else keys, ["id", "hash"]).groupBy("rep").agg(F.max("text").alias("text"))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
@@ -256,18 +293,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("bucket", "to.kind", "to.i", "to.j", "rep", "comp", "minor", "block")
     )
     dealt = stored(dealt, "dealt")
-    own = stored(texts_of(dealt.select("rep").distinct(), classes, texts).join(reps, "rep"), "compared")
-    across = dealt.join(own, "rep").groupBy("bucket", "kind", "i", "j").applyInPandas(_across(percent, width), "a long, b long")
+    folder = fresh_path(docs.sparkSession, "sets")
+    places = texts_of(dealt.select("rep").distinct(), classes, texts).mapInArrow(_placed(folder, width), "rep long, file string, at long, n long")
+    own = stored(places.join(reps, "rep"), "compared")
+    across = dealt.join(own, "rep").groupBy("bucket", "kind", "i", "j").applyInPandas(_across(percent, folder), "a long, b long")
     links = stored(links.unionByName(across), "links")
     rooted = components(links)
 
     least = rooted.withColumnRenamed("node", "rep").join(classes.select("rep", "first.id"), "rep")
     least = least.join(least.groupBy("root").agg(F.min("id").alias("least")), "root").select("rep", "least")
-    placed = sets.join(classes, ["h1", "h2"], "left").select("id", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(n) for c, n in (("rep", "rep"), ("first.id", "own"))))
-    component = F.coalesce("least", "own", "id")
-    return placed.join(least, "rep", "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("id").isNotNull(), component).alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
-    )
+    # rows without a class stay aside: as keys of a join they would all be one
+    linked = full.join(classes, ["h1", "h2"]).select("id", "n_shingles", "rep", F.col("first.id").alias("own")).join(least, "rep", "left")
+    placed = linked.select("id", "n_shingles", F.coalesce("least", "own").alias("component_id"))
+    alone = sets.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    return placed.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

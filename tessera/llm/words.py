@@ -155,3 +155,13 @@ def shingle_sets(array: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     for lo, hi, found, edges in shingles(array, width):
         for i in range(hi - lo):
             yield np.unique(found[edges[i] : edges[i + 1]])
+
+
+def digests(found: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's number of distinct shingles, and a 128-bit digest of the set as two signed numbers."""
+    sizes, out = np.zeros(len(edges) - 1, np.int64), np.zeros((len(edges) - 1, 2), dtype=U)
+    for i in np.flatnonzero(np.diff(edges)):
+        own = np.unique(found[edges[i] : edges[i + 1]])
+        sizes[i] = len(own)
+        out[i] = own.sum(dtype=U), mix(own).sum(dtype=U)
+    return sizes, mix(out).view(np.int64)
