@@ -59,9 +59,10 @@ WITH t AS (SELECT k, licence, {_PAIRS} AS bi FROM (SELECT k, licence, {_NORMAL %
 c AS (SELECT doc_id, unnest(list_concat(
         string_split(regexp_replace(text, '\\n|([.!?])[ \\t\\r]+', '\\1' || chr(1), 'g'), chr(1)),
         list_filter(string_split(regexp_replace(text, '([.!?])\\s+|\\n\\s*\\n', '\\1' || chr(1), 'g'), chr(1)), lambda s: contains(s, chr(10))))) AS segment FROM documents),
-s AS (SELECT doc_id, {_PAIRS} AS bi FROM (SELECT doc_id, {_NORMAL % "segment"} AS ws FROM c WHERE length(segment) < 4096)),
+s AS (SELECT doc_id, {_PAIRS} AS bi FROM (SELECT doc_id, {_NORMAL % "segment"} AS ws FROM c)),
 m AS (SELECT s.doc_id, t.licence, len(list_intersect(s.bi, t.bi)) AS c, len(s.bi) AS n, len(t.bi) AS m FROM s JOIN t
-      ON len(s.bi) > 0 AND len(list_intersect(s.bi, t.bi)) * 200 >= {PERCENT} * (len(s.bi) + len(t.bi)))
+      ON len(s.bi) * 200 >= {PERCENT} * (len(s.bi) + len(t.bi)) AND len(t.bi) * 200 >= {PERCENT} * (len(s.bi) + len(t.bi))
+      WHERE len(list_intersect(s.bi, t.bi)) * 200 >= {PERCENT} * (len(s.bi) + len(t.bi)))
 SELECT doc_id, licence, CAST(count(*) AS BIGINT) AS n_segments, max(2.0::DOUBLE * c / (n + m)) AS dice FROM m GROUP BY doc_id, licence
 """
 
