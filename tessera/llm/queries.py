@@ -34,12 +34,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = f"""
-WITH s AS (SELECT k, id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
-      FROM (SELECT 0 AS k, doc_id AS id, {_WORDS} AS ws FROM documents UNION ALL SELECT 1 AS k, item_id AS id, {_WORDS} AS ws FROM benchmark)),
-e AS (SELECT k, id, len(sh) AS n, unnest(sh) AS x FROM s)
+WITH t AS (SELECT 0 AS k, doc_id AS id, {_WORDS} AS ws FROM documents UNION ALL SELECT 1 AS k, item_id AS id, {_WORDS} AS ws FROM benchmark),
+v AS (SELECT DISTINCT least(len(ws), 5) AS w FROM t WHERE k = 1 AND len(ws) > 0),
+s AS (SELECT k, id, w, list_distinct(list_transform(range(1, len(ws) - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' '))) AS sh
+      FROM t JOIN v ON CASE k WHEN 0 THEN len(ws) >= w ELSE least(len(ws), 5) = w END),
+e AS (SELECT k, id, w, len(sh) AS n, unnest(sh) AS x FROM s)
 SELECT d.id AS doc_id, b.id AS item_id, CAST(any_value(b.n) AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_shared
-FROM e d JOIN e b ON d.x = b.x WHERE d.k = 0 AND b.k = 1 GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(b.n)
+FROM e d JOIN e b ON d.x = b.x AND d.w = b.w WHERE d.k = 0 AND b.k = 1 GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(b.n)
 """
 
 
