@@ -1,15 +1,21 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised and gathered into groups of GROUP tokens within a partition. A document's full windows are
-cut off first. What is left is cut into pieces of at most PIECE tokens, and multiway differencing deals them to
-windows: each piece starts as a partial partition (its length, 0, ..., 0); the two partial partitions of the largest
-spread are merged, the fullest bins of one on the emptiest of the other, until one remains. Sequences at a power of
-two need no padding, so the part of a group that fills no window is cut off into such sequences; while the fullest
-window exceeds the capacity, that part, and with it the window count, rises.
+cut off first. What is left of each document is one piece, and multiway differencing deals the pieces to windows: each
+piece starts as a partial partition (its length, 0, ..., 0); the two partial partitions of the largest spread are
+merged, the fullest bins of one on the emptiest of the other, until one remains. The window count starts at the least
+possible and rises whenever the fullest window exceeds the capacity. Only where it would rise by more than a share of
+ROOM are pieces halved, down to a 64th of the capacity, and dealt again; so most documents below the capacity stay
+whole.
+
+A small group (the last of a partition) can't spread the rest over many windows. Where rounding up would pad more than
+ROOM, its rest is cut off into sequences at powers of two, which need no padding: one each for the bits set in the
+rest's length, rounded up to a multiple of STEP.
 
 Nothing is shuffled: a group is a run of one partition's rows, of bounded size whatever the data, and sequence ids
 are the partition's number and a running number in it. Null and empty texts are documents of the end id alone.
-Repeated rows and ids are packed each on its own.
+Repeated rows and ids, and rows of a null id, are packed each on its own. An empty table gives no rows. Further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +33,9 @@ from pyspark.sql import functions as F
 from tessera.llm.tokens import encoder
 
 GROUP = 1 << 19
-PIECE = 1024
 STEP = 64
+#: The share of windows that may be added before pieces are cut, and of tokens that a group's rest may be padded by.
+ROOM = 0.01
 
 
 def differencing(sizes: list[int], bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,29 +85,35 @@ def pack(lengths: list[int], capacity: int = 4096) -> list[tuple[int, int, int,
         if length % capacity:
             left.append((doc, length - length % capacity, length % capacity))
     total = sum(size for _, _, size in left)
-    whole, apart = divmod(total, capacity)
-    if apart and whole:
-        apart = min(total, -(-apart // STEP) * STEP)  # what is left over the windows is below STEP: their slack
+    bins, rest = divmod(total, capacity)
+    apart, limit = 0, capacity
+    if rest and capacity - rest > ROOM * total:
+        apart, limit = min(total, -(-(rest + bins * STEP // 4) // STEP) * STEP), max(1, capacity // 16)
     left.sort(key=lambda piece: -piece[2])
-    while True:
-        pieces, powers = _cut(left, apart, capacity)
-        loads = np.zeros(1)
-        if pieces:
-            pieces = [(doc, start + k * size // n, (k + 1) * size // n - k * size // n) for doc, start, size in pieces for n in [-(-size // min(PIECE, capacity))] for k in range(n)]
-            bins = -(-sum(p[2] for p in pieces) // capacity)
-            seats, loads = differencing([p[2] for p in pieces], bins)
-        if loads.max() <= capacity:
-            break
-        excess = int(np.maximum(loads - capacity, 0).sum())
-        apart = min(total, apart + -(-excess // STEP) * STEP)
+    left, powers = _cut(left, apart, capacity)
     for number, (doc, start, size) in powers:
         out.append((doc, start, size, window + number))
     window += 1 + max((number for number, _ in powers), default=-1)
-    if pieces:
+    if left:
+        pieces, seats = dealt(left, capacity, limit)
         out += [(*piece, window + int(seat)) for piece, seat in zip(pieces, seats, strict=True)]
     return out
 
 
+def dealt(left: list[tuple[int, int, int]], capacity: int, limit: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """The pieces (document, start, length) of at most `limit` tokens, and the window of each."""
+    least = -(-sum(size for _, _, size in left) // capacity)
+    while True:
+        pieces = [(doc, start + k * size // n, (k + 1) * size // n - k * size // n) for doc, start, size in left for n in [-(-size // limit)] for k in range(n)]
+        bins, last = least, limit <= max(1, capacity // 64)
+        while last or bins <= least + int(ROOM * least):
+            seats, loads = differencing([size for _, _, size in pieces], bins)
+            if loads.max() <= capacity:
+                return pieces, seats
+            bins += 1
+        limit = max(1, limit // 2)
+
+
 def _cut(left: list[tuple[int, int, int]], apart: int, capacity: int) -> tuple[list, list]:
     """left without `apart` tokens of its smallest pieces; those, dealt to full windows and sequences at powers of two."""
     rest, powers = list(left), []

@@ -97,6 +97,31 @@ def test_packing_leaves_little_padding():
         assert sum(4096 - v for v in load.values() if v & (v - 1)) <= 0.03 * sum(lengths)
 
 
+def test_the_window_count_rises_when_a_window_exceeds_the_capacity(monkeypatch):
+    tried = []
+
+    def watched(sizes, bins, real=packing.differencing):
+        tried.append((bins, int(real(sizes, bins)[1].max())))
+        return real(sizes, bins)
+
+    monkeypatch.setattr(packing, "differencing", watched)
+    lengths = [97, 97, 97, 97, 2, 2, 2, 2, 2] * 40
+    monkeypatch.setattr(packing, "ROOM", 0.5)
+    pieces, seats = packing.dealt([(i, 0, n) for i, n in enumerate(lengths)], 100, 100)
+    assert len(tried) > 1 and all(load > 100 for _, load in tried[:-1]) and tried[-1][1] <= 100
+    assert [b for b, _ in tried] == list(range(tried[0][0], tried[-1][0] + 1)) and seats.max() < tried[-1][0] and len(pieces) == len(lengths)
+
+
+def test_documents_below_the_capacity_stay_whole():
+    draw = np.random.default_rng(7)
+    lengths = np.minimum(draw.lognormal(5.5, 1.0, 2000), 4000).astype(int).tolist()
+    out = packing.pack(lengths)
+    load = loads(lengths, out, 4096)
+    assert len(out) <= len(lengths) * 1.01
+    assert sum(4096 - v for v in load.values() if v & (v - 1)) <= 0.02 * sum(lengths)
+    assert sum(v < 4096 and not v & (v - 1) for v in load.values()) <= 7
+
+
 def test_differencing_gives_near_equal_bins():
     sizes = [8, 7, 6, 5, 4]
     seats, load = packing.differencing(sizes, 2)
