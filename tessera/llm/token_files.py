@@ -12,15 +12,17 @@ A block holds up to BLOCK ids: count u16, width u8, exceptions u16, minimum u32,
 its low `width` bits packed, then the exceptions: place u16 each, high bits u32 each. The width is that of the
 PERCENTILE-th percentile of the block's differences; what is wider is an exception. All integers are little-endian.
 
-Writing: documents are range-partitioned by id, so that shard order is id order; each task sorts its rows, encodes
-them and writes one shard under a name of its own, renamed when whole, so a lost or repeated task leaves no torn
-file. The manifest has one row per shard, like a commit message, and is a table in the shared folder. Reading: each
-shard's first token in the corpus is the sum of the shards before; shards are read in parallel, a run of blocks at
-a time.
-
-Null texts are empty documents of the end id alone. Repeated ids are stored each; equal ids are in order of their
-texts. A null id comes first and is stored as the least 64-bit integer, which is read back as null. An empty table
-gives no shard and no row.
+Writing: documents are range-partitioned by id, so that file order is id order; each task sorts its rows, encodes
+them and writes one shard after another, a new one after SHARD_BYTES of text. A shard's name is its attempt's own, and
+only the manifest, a table in the shared folder with a row per shard, says which count; so a lost or repeated task
+leaves no torn file. A corpus beyond MOST_TASKS shards gives each task more shards, not larger ones. A shard's first
+token in the corpus is that of its task, from one total a task, and what the task wrote before. Reading: shards are
+read in parallel, a run of blocks at a time.
+
+Null texts are empty documents of the end id alone. Repeated ids are stored each, in order of a hash of their texts; a
+null id comes first and is stored as the least 64-bit integer, which is read back as null. Rows of one id are dealt by
+that hash, and equal rows by their place in the input, so no id is too common for a task. An empty table gives no shard
+and no row. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +45,14 @@ from tessera.llm.tokens import encoder
 MAGIC = b"PFR1"
 BLOCK = 256
 PERCENTILE = 95
-#: Bytes of text that a shard is meant to hold, and the most shards: a larger corpus gets larger shards.
+#: Bytes of text that a shard is meant to hold (a longer document alone), and the most tasks that write or read.
 SHARD_BYTES = 24 << 20
-MOST_SHARDS = 20_000
+MOST_TASKS = 20_000
 #: Blocks that are packed or read at once.
 RUN = 4096
 NO_ID = -(1 << 63)
 _HEAD = np.dtype([("count", "<u2"), ("width", "u1"), ("exceptions", "<u2"), ("minimum", "<u4")])
-_MANIFEST = "shard long, path string, documents long, tokens long"
+_MANIFEST = "task int, shard int, path string, documents long, tokens long, ahead long"
 
 
 def _places(counts: np.ndarray) -> np.ndarray:
@@ -191,37 +194,51 @@ class ShardReader:
             lo = hi
 
 
-def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Writes docs in ascending id order and returns the manifest (shard, path, documents, tokens, start)."""
+def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes docs in ascending id order and returns the manifest (task, shard, path, documents, tokens, start)."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-shards")
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0]
-    shards = min(MOST_SHARDS, max(1, -(-(size or 0) // SHARD_BYTES)))
+    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.monotonically_increasing_id().alias("place")]
+    narrow = docs.select(*keys, F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(1, -(-size // shard_bytes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, writer, shard = encoder(tokenizer), None, TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer), TaskContext.get().partitionId()
         files, base = pafs.FileSystem.from_uri(folder)
-        part = f"{base}/.{shard:06d}-{uuid.uuid4().hex}"
+        files.create_dir(base, recursive=True)
+        attempt, shard, ahead, filled, writer = uuid.uuid4().hex, 0, 0, 0, None
+
+        def closed() -> pa.RecordBatch:
+            nonlocal shard, ahead, filled, writer
+            writer.close()
+            stream.close()
+            row = (task, shard, f"{folder}/{name}", len(writer.documents), writer.tokens, ahead)
+            shard, ahead, filled, writer = shard + 1, ahead + writer.tokens, 0, None
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 3), strict=True)], names=["task", "shard", "path", "documents", "tokens", "ahead"])
+
         for batch in batches:
-            if batch.num_rows and writer is None:
-                files.create_dir(base, recursive=True)
-                stream = files.open_output_stream(part)
-                writer = ShardWriter(stream)
-            for doc, ids in zip(batch.column(0).to_pylist(), encode.rows(batch.column(1), end_id), strict=True):
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            for doc, length, ids in zip(batch.column("id").to_pylist(), lengths, encode.rows(batch.column("text"), end_id), strict=True):
+                if writer and filled + length > shard_bytes:
+                    yield closed()
+                if writer is None:
+                    name = f"{task:06d}-{shard:06d}-{attempt}.pfr"
+                    stream = files.open_output_stream(f"{base}/{name}")
+                    writer = ShardWriter(stream)
                 writer.add(doc, ids)
+                filled += length
         if writer:
-            writer.close()
-            stream.close()
-            files.move(part, f"{base}/{shard:06d}.pfr")
-            yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{folder}/{shard:06d}.pfr", "documents": len(writer.documents), "tokens": writer.tokens}])
+            yield closed()
 
-    written = narrow.repartitionByRange(shards, "id").sortWithinPartitions("id", "text").mapInArrow(run, _MANIFEST)
-    rows = stored(written, "token-manifest").orderBy("shard").collect()  # one a shard
-    starts = np.cumsum([0, *(r.tokens for r in rows)]).tolist()
-    return spark.createDataFrame([(*r, s) for r, s in zip(rows, starts, strict=False)], _MANIFEST + ", start long")
+    order = ["id", "hash", "place"]
+    written = stored(narrow.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, _MANIFEST), "token-manifest")
+    totals = written.groupBy("task").agg(F.sum("tokens").alias("n")).orderBy("task").collect()  # MOST_TASKS at most
+    starts = np.cumsum([0, *(r.n for r in totals)]).tolist()
+    begun = spark.createDataFrame([(r.task, s) for r, s in zip(totals, starts, strict=False)], "task int, begin long")
+    return written.join(F.broadcast(begun), "task").select("task", "shard", "path", "documents", "tokens", (F.col("begin") + F.col("ahead")).alias("start"))
 
 
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -244,8 +261,8 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     if rows:
                         yield _batch(rows, names, kinds)
 
-    shards = max(1, manifest.count())
-    return manifest.repartitionByRange(shards, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    tasks = min(MOST_TASKS, max(1, manifest.count()))
+    return manifest.repartitionByRange(tasks, "task", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:

@@ -52,16 +52,79 @@ def brute_ids(name, text, end):
     return np.array([*tokens.encoder(tokens.vocabulary(name)).tokenizer.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
 
 
-def test_token_files_of_odd_documents(odd_docs):
+def plain_token_files(rows, name, end):
+    """doc_id: (n_tokens, crc) of each of its rows, sorted; and every id's first start."""
+    found, starts, at = defaultdict(list), {}, 0
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = brute_ids(name, text, end)
+        found[doc].append((len(ids), zlib.crc32(ids.tobytes())))
+        starts.setdefault(doc, at)
+        at += len(ids)
+    return {d: sorted(v) for d, v in found.items()}, starts
+
+
+def same_files(got, rows, name, end):
+    found = defaultdict(list)
+    for r in got:
+        found[r.doc_id].append((r.start, r.n_tokens, r.ids_crc32))
+    want, starts = plain_token_files(rows, name, end)
+    assert {d: sorted(x[1:] for x in v) for d, v in found.items()} == want
+    for doc, pieces in found.items():
+        at = starts[doc]
+        for start, n, _ in sorted(pieces):
+            assert start == at
+            at += n
+
+
+@pytest.mark.parametrize("shard_bytes", [token_files.SHARD_BYTES, 40])
+def test_token_files_of_odd_documents(odd_docs, shard_bytes):
     name = "byte_bpe_50k.json"
-    got = token_files.read_shards(token_files.write_shards(odd_docs, tokens.vocabulary(name)), with_ids=True).collect()
-    rows = sorted(((r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    want, start = [], 0
-    for doc, text in rows:
-        ids = brute_ids(name, text, 0)
-        want.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), ids.tobytes()))
-        start += len(ids)
-    assert sorted(repr((*r[:4], bytes(r.ids))) for r in got) == sorted(map(repr, want))
+    manifest = token_files.write_shards(odd_docs, tokens.vocabulary(name), shard_bytes=shard_bytes)
+    got = token_files.read_shards(manifest, with_ids=True).collect()
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens for r in got)
+    same_files(got, [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()], name, 0)
+    assert manifest.count() > 3 if shard_bytes == 40 else manifest.count() == 1
+
+
+def test_a_common_id_is_dealt_to_many_tasks_and_shards(table, monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_TASKS", 3)
+    rows = [(None, f"text number {i % 40}") for i in range(300)] + [(5, "the same text")] * 200 + [(i, "w " * i) for i in range(6, 60)]
+    manifest = token_files.write_shards(table(rows, "doc_id long, text string").repartition(4), tokens.vocabulary("byte_bpe_50k.json"), shard_bytes=600)
+    listed = manifest.collect()
+    assert {r.task for r in listed} == {0, 1, 2} and max(r.shard for r in listed) > 3 and max(r.documents for r in listed) < 120
+    same_files(token_files.read_shards(manifest).collect(), rows, "byte_bpe_50k.json", 0)
+
+
+def test_registered_token_query_against_brute_force(spark):
+    from tessera.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    same_files(queries.op1_token_files(spark, "/root/testdata/sf0.001").collect(), rows, "byte_bpe_50k.json", 0)
+
+
+def test_registered_packing_query_against_brute_force(spark):
+    from tessera.llm import queries
+
+    got, windows, pieces = queries.op3_packing(spark, "/root/testdata/sf0.001").collect(), defaultdict(list), defaultdict(list)
+    for r in got:
+        windows[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    padding = 0
+    for own in windows.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+        padding += 4096 - at if at & (at - 1) else 0
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert set(pieces) == set(rows) and padding <= 0.03 * sum(r.length for r in got)
+    for doc, text in rows.items():
+        ids, at = brute_ids("word_bpe_49k.json", text, 2), 0
+        for start, length, crc, n in sorted(pieces[doc]):
+            assert start == at and n == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
 
 
 def test_token_files_of_an_empty_table(odd_docs):
