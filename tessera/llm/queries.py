@@ -11,6 +11,7 @@ from tessera.llm.decontaminate import contained_items
 from tessera.llm.licences import PERCENT, TEMPLATES, licence_scan
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed
+from tessera.llm.store import stored
 from tessera.llm.token_files import read_shards, write_shards
 from tessera.llm.tokens import vocabulary
 from tessera.llm.transport_stream import demuxed, muxed
@@ -69,7 +70,7 @@ SELECT doc_id, licence, CAST(count(*) AS BIGINT) AS n_segments, max(2.0::DOUBLE
 
 
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demuxed(muxed(_table(spark, sf_dir, "documents"))).drop("stamps", "entries")
+    return demuxed(stored(muxed(_table(spark, sf_dir, "documents")), "media", "zstd"))
 
 
 #: The rules that the query is asked to apply.

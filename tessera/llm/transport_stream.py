@@ -3,11 +3,13 @@
 Muxing: a payload is cut into access units of UNIT bytes. Each unit is one packetised elementary packet with a
 presentation time stamp, TICKS apart, in 188-byte transport packets on one elementary PID. Every GROUP-th unit is a
 random-access point: it is preceded by the program tables, and its first packet carries the random-access flag and
-the clock reference. Demuxing parses the program association and map tables and checks their CRCs, follows the
-continuity counter of every PID, reassembles the elementary packets, and lists time stamps and random-access points.
+the clock reference. Demuxing gathers the program association and map tables' sections, over as many packets as they
+take, checks their CRCs and follows the latest version that applies; follows the continuity counter of every PID,
+reassembles the elementary packets, and lists time stamps and random-access points.
 
 Null and empty texts have a payload of 64 zero bytes. Equal texts give equal bytes. A damaged stream isn't an error
-of the query: its counters say what is missing (`errors`), and the payload is what could be reassembled.
+of the query: its counters say what is missing (`errors`), and the payload is what could be reassembled. Null and
+repeated ids and repeated rows are a stream each. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,14 +136,39 @@ class Stream:
     entries: list[tuple[int, int]] = field(default_factory=list)
 
 
-def _table(packet: np.ndarray, start: int, table: int) -> bytes | None:
-    """The body of a section that one packet holds, if its CRC is right."""
-    raw = packet[start:].tobytes()
-    raw = raw[1 + raw[0] :] if raw else b""
-    if len(raw) < 12 or raw[0] != table:
-        return None
-    whole = raw[: 3 + (int.from_bytes(raw[1:3], "big") & 0xFFF)]
-    return whole[8:-4] if len(whole) >= 12 and section_crc(whole) == 0 else None
+def sections(packets: list[tuple[bool, bytes]]) -> tuple[list[bytes], int]:
+    """The whole sections with a right CRC that one PID's packets (unit start, payload) carry, and how many were lost.
+    A section may span packets; where one starts, a pointer tells how far the one before goes on."""
+    found, lost, held = [], 0, b""
+
+    def cut(data: bytes) -> bytes:
+        nonlocal lost
+        while len(data) >= 3 and data[0] != 0xFF:  # 0xFF: stuffing up to the packet's end
+            size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
+            if len(data) < size:
+                return data
+            if size >= 12 and section_crc(data[:size]) == 0:
+                found.append(data[:size])
+            else:
+                lost += 1
+            data = data[size:]
+        return data if 0 < len(data) < 3 and data[0] != 0xFF else b""
+
+    for starts, payload in packets:
+        if starts and payload:
+            before, after = payload[1 : 1 + payload[0]], payload[1 + payload[0] :]
+            lost += bool(cut(held + before) if held else b"")
+            held = cut(after)
+        elif held:
+            held = cut(held + payload)
+    return found, lost + bool(held)
+
+
+def current(found: list[bytes], table: int, number: int | None = None) -> list[bytes]:
+    """The bodies of the latest version that applies, by section number; number: of the program."""
+    apply = [s for s in found if s[0] == table and s[5] & 1 and number in (None, int.from_bytes(s[3:5], "big"))]
+    latest = {s[6]: s[8:-4] for s in apply if s[5] >> 1 & 31 == apply[-1][5] >> 1 & 31}
+    return [latest[k] for k in sorted(latest)]
 
 
 def demux(media: bytes) -> Stream:
@@ -158,21 +185,21 @@ def demux(media: bytes) -> Stream:
     for one in np.unique(pid):
         own = counter[(pid == one) & has].astype(np.int64)
         out.errors += int((np.diff(own) % 16 != 1).sum())
+    def carried(one: int) -> list[bytes]:
+        own = np.flatnonzero((pid == one) & has)
+        whole, lost = sections([(bool(begins[i]), rows[i, start[i] :].tobytes()) for i in own])
+        out.errors += lost
+        return whole
+
     stream = None
-    for i in np.flatnonzero((pid == 0) & begins):
-        body = _table(rows[i], start[i], 0)
-        if body is None:
-            out.errors += 1
-            continue
-        maps = {int.from_bytes(body[k + 2 : k + 4], "big") & 0x1FFF for k in range(0, len(body) - 3, 4) if body[k : k + 2] != b"\0\0"}
-        for j in np.flatnonzero(np.isin(pid, list(maps)) & begins):
-            body = _table(rows[j], start[j], 2)
-            if body is None:
-                out.errors += 1
+    for body in current(carried(0), 0):
+        for k in range(0, len(body) - 3, 4):
+            if stream is not None or body[k : k + 2] == b"\0\0":
                 continue
-            k = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
-            out.stream_type, stream = body[k], int.from_bytes(body[k + 1 : k + 3], "big") & 0x1FFF
-        break
+            for program in current(carried(int.from_bytes(body[k + 2 : k + 4], "big") & 0x1FFF), 2, int.from_bytes(body[k : k + 2], "big")):
+                at = 4 + (int.from_bytes(program[2:4], "big") & 0xFFF)
+                if len(program) >= at + 5:
+                    out.stream_type, stream = program[at], int.from_bytes(program[at + 1 : at + 3], "big") & 0x1FFF
     mine = np.flatnonzero((pid == stream) & has) if stream is not None else np.empty(0, np.int64)
     if not len(mine):
         out.errors += 1

@@ -250,3 +250,54 @@ def test_streams_of_odd_documents(odd_docs):
         assert r.payload_sha256 == hashlib.sha256(r.payload).hexdigest() and r.tail_crc32 == zlib.crc32(r.payload[-64:])
         assert r.media_bytes % 188 == 0 and set(r.payload[r.n_bytes :]) <= {0}
     assert ts.demuxed(ts.muxed(odd_docs.limit(0))).collect() == []
+
+
+def spread_table(pid, section):
+    """A section over as many packets as it takes, the first with a pointer."""
+    data, out, counter = b"\0" + section, [], 0
+    while data:
+        out.append(b"\x47" + ((0x4000 if not out else 0) | pid).to_bytes(2, "big") + bytes([0x10 | counter & 15]) + data[:184].ljust(184, b"\xff"))
+        data, counter = data[184:], counter + 1
+    return b"".join(out)
+
+
+def map_section(version, pid, descriptors, applies=1):
+    body = (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(descriptors)).to_bytes(2, "big") + descriptors + bytes([6]) + (0xE000 | pid).to_bytes(2, "big") + b"\xf0\x00"
+    head = b"\x02" + (0xB000 | len(body) + 9).to_bytes(2, "big") + b"\0\1" + bytes([0xC0 | version << 1 | applies]) + b"\0\0"
+    return head + body + ts.section_crc(head + body).to_bytes(4, "big")
+
+
+def test_tables_over_several_packets_and_their_latest_version():
+    payload = ts.text_payload(os.urandom(3000))
+    media = ts.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    stream = b"".join(packets[2:])
+    descriptors = b"".join(bytes([5, 200]) + bytes(200) for _ in range(4))
+    long = packets[0] + spread_table(ts.PMT_PID, map_section(0, ts.STREAM_PID, descriptors)) + stream
+    found = ts.demux(long)
+    assert found.payload == payload and found.errors == 0 and len(long) > len(media) + 3 * 188
+    wrong = ts.demux(packets[0] + spread_table(ts.PMT_PID, map_section(1, 0x0222, b"")) + stream)
+    assert wrong.payload == b"" and wrong.errors > 0
+    whole = spread_table(ts.PMT_PID, map_section(1, 0x0222, b"")), spread_table(ts.PMT_PID, map_section(2, ts.STREAM_PID, descriptors))
+    later = packets[0] + whole[0] + b"".join(whole[1][i : i + 3] + bytes([whole[1][i + 3] + 1 & 15 | 0x10]) + whole[1][i + 4 : i + 188] for i in range(0, len(whole[1]), 188)) + stream
+    assert ts.demux(later).payload == payload and ts.demux(later).errors == 0
+    ahead = packets[0] + packets[1] + spread_table(ts.PMT_PID, map_section(3, 0x0222, b"", applies=0)).replace(b"\x10", b"\x11", 1) + stream
+    assert ts.demux(ahead).payload == payload
+    cut = packets[0] + spread_table(ts.PMT_PID, map_section(0, ts.STREAM_PID, descriptors))[: 3 * 188] + stream
+    assert ts.demux(cut).errors > 0
+
+
+def test_registered_stream_query_against_brute_force(spark):
+    from tessera.llm import queries
+
+    rows = sorted((r.doc_id, ts.text_payload((r.text or "").encode()), len((r.text or "").encode())) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    got = sorted(queries.op5_transport_stream(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == [d for d, *_ in rows]
+    for r, (_, payload, n) in zip(got, rows, strict=True):
+        media = ts.mux(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.errors) == (len(media), hashlib.sha256(media).hexdigest(), 0)
+        assert r.stamps == [k * ts.TICKS for k in range(-(-len(payload) // ts.UNIT))] and [e.pts for e in r.entries] == r.stamps[:: ts.GROUP]
+        for e in r.entries:  # the packet that an entry names carries the random-access flag
+            packet = media[188 * e.packet : 188 * e.packet + 188]
+            assert packet[3] & 0x20 and packet[5] & 0x40
