@@ -10,8 +10,10 @@ where a conversation began in an earlier partition, that one's total is carried
 driver. So no conversation is ever collected, however long. The anti-join is an equi-join on turns and state.
 
 Turn order is turn (null first), then role, then text; equal rows are a turn each. Null roles and texts count as
-empty. Rows without a conversation id are ignored. A rendered conversation has one row per SEGMENT turns, so no row
-grows with a conversation. An empty table gives no rows.
+empty. Rows without a conversation id are ignored. A rendered conversation has one row per `segment_turns` turns
+(SEGMENT unless given), so no row grows with a conversation; 0 gives one row a conversation, for those that fit in
+memory. Rows are dealt by the first PREFIX characters of their texts too, so turns without a number don't all meet in
+one task. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from tessera.llm.store import stored
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MASK = (1 << 64) - 1
 SEGMENT = 256
+PREFIX = 64
 START, STOP = "<|im_start|>", "<|im_end|>"
 _FIELDS = [("conv", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_()), ("part", pa.int64()), ("opening", pa.int64())]
 _SQL = "conv long, role string, text string, k long, a long, b long, more boolean, part long, opening long"
@@ -96,7 +99,7 @@ def states(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = turns.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text")).where("conv is not null")
     order = [F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    local = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").mapInArrow(_local, _SQL), "turns")
+    local = stored(rows.repartitionByRange(parts, *order, F.substring("text", 1, PREFIX)).sortWithinPartitions(*order, "text").mapInArrow(_local, _SQL), "turns")
     edges = local.where("opening is not null").orderBy("part").select("part", "opening", "conv", "k", "a", "b").collect()  # one a partition
     brought = carries([tuple(e) for e in edges])
 
@@ -121,9 +124,10 @@ def maximal(found: DataFrame) -> DataFrame:
     return whole.join(inner, ["k", "a", "b"], "left_anti").select("conv", F.col("k").alias("turns"))
 
 
-def rendered(turns: DataFrame, conv_col: str = "conv_id", **columns) -> DataFrame:
-    """conv_col, segment, n_turns, chat: the maximal conversations in chat markup, SEGMENT turns a row."""
-    found = stored(states(turns, conv_col, **columns).withColumn("segment", F.floor((F.col("k") - 1) / SEGMENT)), "states")
+def rendered(turns: DataFrame, conv_col: str = "conv_id", segment_turns: int = SEGMENT, **columns) -> DataFrame:
+    """conv_col, segment, n_turns, chat: the maximal conversations in chat markup, segment_turns turns a row."""
+    segment = F.floor((F.col("k") - 1) / segment_turns) if segment_turns else F.lit(0).cast("long")
+    found = stored(states(turns, conv_col, **columns).withColumn("segment", segment), "states")
     kept = found.join(maximal(found).select("conv"), "conv", "left_semi")
     turn = F.concat(F.lit(START), F.col("role"), F.lit("\n"), F.col("text"), F.lit(STOP + "\n"))
     ordered = F.array_sort(F.collect_list(F.struct("k", turn.alias("turn"))))
