@@ -11,7 +11,7 @@ join on the URL, which adaptive execution splits where a URL is very common. Rul
 chooses by their size.
 
 A null URL or one without :// has an empty host and path; no rule fits an empty host. Rules with nulls or an empty
-host are ignored. Repeated pages are judged each. Other columns are kept only if asked for.
+host are ignored. Repeated pages are judged each. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,16 +53,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """pages with rules (host, path, verdict): id_col, host, path, rule, verdict."""
     listed = rules.where("host <> '' and path is not null and verdict is not null").select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"), "verdict").distinct()
     digested = listed.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path"))).withColumn("key", _key(F.col("digest")))
-    # a few integers per shape that the rules have, not per rule or page
-    shapes = listed.select(_labels(F.col("rule_host")).alias("labels"), F.length("rule_path").alias("chars")).distinct().orderBy("labels", "chars").collect()
-    if not shapes:
-        shapes = [(0, 0)]
-
+    # one row with the shapes that the rules have: two integers each, at most as many as lengths of hosts times paths
+    shapes = listed.select(_labels(F.col("rule_host")).alias("labels"), F.length("rule_path").alias("chars")).distinct()
+    shapes = shapes.agg(F.collect_list(F.struct("labels", "chars")).alias("shapes"))
     narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     urls = narrow.where("url is not null").select("url").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
-    every = F.array(*(F.struct(F.lit(labels).alias("labels"), F.lit(chars).alias("chars")) for labels, chars in shapes))
-    fits = F.filter(every, lambda s: (s["labels"] <= _labels(F.col("host"))) & (s["chars"] <= F.length("path")))
-    expressions = urls.select("url", "host", "path", F.explode(fits).alias("s"))
+    fits = F.filter("shapes", lambda s: (s["labels"] <= _labels(F.col("host"))) & (s["chars"] <= F.length("path")))
+    expressions = urls.crossJoin(F.broadcast(shapes)).select("url", "host", "path", F.explode(fits).alias("s"))
     suffix = F.expr("substring_index(host, '.', -s.labels)")
     beginning = F.expr("substring(path, 1, s.chars)")
     keyed = expressions.select("url", _digest(suffix, beginning).alias("digest")).withColumn("key", _key(F.col("digest")))
