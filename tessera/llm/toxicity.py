@@ -1,10 +1,11 @@
 """Toxic passages as maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-Learning. At most TRAIN_ROWS labelled rows (those of least hash of the id; documented bound) are read. Copies are
-counted once: rows with the same least shingle hash are one. A token's features are the whole word and its byte
-prefixes of PREFIXES lengths, so inflected words share evidence. A feature's log-odds ratio between the classes has
-an informative Dirichlet prior (PRIOR of the smaller class's tokens, dealt by overall frequency); features are kept
-where the z score of the ratio of document frequencies, with a prior of DOC_PRIOR, reaches SIGNIFICANT.
+Learning. The rows of at most TRAIN_ROWS labelled ids (those of least hash; documented bound) are read, one row of a
+repeated id. Copies are counted once: rows of one label whose whole shingle sets are equal are one. A token's features
+are the whole word and its byte prefixes of PREFIXES lengths, so inflected words share evidence. A feature's log-odds
+ratio between the classes has an informative Dirichlet prior (PRIOR of the smaller class's tokens, dealt by overall
+frequency); features are kept where the z score of the ratio of document frequencies, with a prior of DOC_PRIOR,
+reaches SIGNIFICANT. Three numbers a training row reach the driver, and the features of at least LEAST_DOCS toxic rows.
 
 Scoring. A token scores the log-odds of its most specific kept feature; any other token scores a negative drift, so
 that clean text scores below zero on average. All maximal scoring segments are found in linear time, by one scan
@@ -14,7 +15,8 @@ lambda S - ln(K n), the significant ones summed, and a logistic curve over the l
 training rows, gives 0 to 1.
 
 Null, empty and wordless texts have no segment and get the score of no evidence. Ids may be null or repeated; every
-row is scored by its text alone. Without training rows of both classes the model is empty and scores the base rate.
+row is scored by its text alone. Without training rows of both classes the model is empty and scores the base rate. An
+empty table gives no rows. Further columns are ignored, or passed on by `accepted`.
 """
 
 from __future__ import annotations
@@ -134,14 +136,11 @@ def row_segments(model: Model, array: pa.Array) -> Iterator[tuple[int, list[tupl
             yield int(b - a), found, starts[a:b] - offsets[i], ends[a:b] - offsets[i]
 
 
-def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = np.zeros(batch.num_rows, dtype=U)
-        for lo, hi, found, edges in W.shingles(batch.column("text")):
-            full = np.flatnonzero(np.diff(edges))
-            if len(full):
-                keys[lo + full] = np.minimum.reduceat(found, edges[:-1][full])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], names=["id", "text", "y", "key"])
+        keys = [W.digests(found, edges)[1] for _, _, found, edges in W.shingles(batch.column("text"))]
+        keys = np.concatenate([*keys, np.empty((0, 2), np.int64)])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["id", "text", "y", "h1", "h2"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,13 +175,13 @@ def _log_odds(one, zero, n_one, n_zero, strength=PRIOR):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, text, y): at most `rows` labelled ids, copies once."""
+    """(id, text, y): at most `rows` labelled ids with a text each, copies once."""
     chosen = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").orderBy(F.xxhash64("id"), "id").limit(rows)
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    keyed = narrow.join(F.broadcast(chosen), "id").select("id", "text", "y").mapInArrow(_least_shingles, "id long, text string, y int, key long")
-    keyed = stored(keyed, "toxicity-rows")
-    once = keyed.groupBy("key", "y").agg(F.min("id").alias("id")).select("id", "y")
-    return keyed.join(F.broadcast(once), ["id", "y"], "left_semi")
+    keyed = stored(narrow.join(F.broadcast(chosen), "id").select("id", "text", "y").mapInArrow(_digested, "id long, text string, y int, h1 long, h2 long"), "toxicity-rows")
+    one_text = keyed.groupBy("id").agg(F.min(F.struct("h1", "h2", "y")).alias("d"))
+    once = one_text.groupBy("d").agg(F.min("id").alias("id")).select("id", "d.*")  # at most `rows`
+    return keyed.join(F.broadcast(once), ["id", "h1", "h2", "y"], "left_semi").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -217,16 +216,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     clean = train.mapInArrow(sums, "n long, s double, y int").where("y = 0").agg(F.sum("s"), F.sum("n")).first()
     model.drift = max(0.02, 4 * (clean[0] or 0.0) / max(clean[1] or 1, 1))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(n, [s for _, _, s in segments]) for n, segments, _, _ in row_segments(sent, batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.float64())), batch.column("y")], names=["n", "s", "y"])
+    def measured(of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, of(segments, tokens), label) of every training row."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(n, of(segments, n)) for n, segments, _, _ in row_segments(sent, batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()), batch.column("y")], names=["n", "x", "y"])
+
+        rows_ = train.mapInArrow(run, "n long, x double, y int").toPandas()  # three numbers a training row
+        return np.maximum(rows_["n"].to_numpy(), 1), rows_["x"].to_numpy(), rows_["y"].to_numpy()
 
-    rows_ = train.mapInArrow(best, "n long, s array<double>, y int").toPandas()  # at most TRAIN_ROWS
-    n, y = np.maximum(rows_["n"].to_numpy(), 1), rows_["y"].to_numpy()
-    top = np.array([max(s, default=0.0) for s in rows_["s"]])
+    n, top, y = measured(lambda segments, _: max((s for _, _, s in segments), default=0.0))
     model.decay, model.spread = extreme_value(top[y == 0], n[y == 0])
-    evidence = np.array([model.evidence([(0, 0, x) for x in s], int(k)) for s, k in zip(rows_["s"], n, strict=True)])
+    _, evidence, y = measured(lambda segments, n: sent.evidence(segments, max(n, 1)))
     model.slope, model.level = logistic(squeezed(evidence), y)
     return model
 
@@ -273,6 +276,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return narrow.mapInArrow(run, f"id {kind}, score double, passages array<struct<start: long, end: long, score: double>>").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text scores `threshold` or more: decided where the row is read, with nothing shuffled."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            evidence = [model.evidence(segments, n) for n, segments, _, _ in row_segments(model, batch.column(place))]
+            yield batch.filter(pa.array(model.probability(np.array(evidence, dtype=float)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a row is kept from learning."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
