@@ -34,6 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A byte's value, as it is and after lower-casing.
 RAW = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 _BYTE = RAW[LOWER]
+#: Other values of the bytes as they are, for a second hash.
+OTHER = mix(np.arange(1001, 1257, dtype=U) * U(0x9E3779B97F4A7C15))
 _BASE = 0x9E3779B97F4A7C55 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]

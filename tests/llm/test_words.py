@@ -1,3 +1,4 @@
+import json
 import re
 
 import numpy as np
@@ -77,3 +78,26 @@ def test_the_memo_starts_anew(monkeypatch):
     for _ in range(3):
         got = [ids.tolist() for ids in encoder.rows(pa.array(rows), 0)]
         assert got == [[*encoder.tokenizer.encode(t).ids, 0] for t in rows]
+
+
+def test_other_settings_are_encoded_whole(tmp_path):
+    with open(tokens.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
+        settings_ = json.load(file)
+    settings_["pre_tokenizer"]["use_regex"] = False  # merges may then cross white space
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings_))
+    encode = tokens.Encoder(str(path))
+    assert not encode.cuttable and all(tokens.encoder(tokens.vocabulary(n)).cuttable for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    rows = ["one two three", None, "", "The cat.  The cat!\nthe CAT"]
+    got = [ids.tolist() for ids in encode.rows(pa.array(rows), 0)]
+    assert got == [[*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in rows]
+
+
+def test_a_part_that_shares_a_hash_with_another_is_not_taken_for_it(monkeypatch):
+    real = words.prefix_sums
+    # every byte counts alike in the first hash, so parts of one length collide
+    monkeypatch.setattr(words, "prefix_sums", lambda data, values=words.RAW: real(data, np.full(256, 7, np.uint64) if values is words.RAW else values))
+    encode = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+    rows = ["the cat sat on the mat", "dog", "one two three", "cat the"]
+    got = [ids.tolist() for ids in encode.rows(pa.array(rows), 0)]
+    assert got == [[*encode.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in rows]
