@@ -1,8 +1,8 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation in numpy.
 
 Tokens are words (A-Z lower-cased) and one end per document. Counts of every word in the training rows are gathered
-over the whole corpus: each chunk of text sends one row per distinct word, rows are summed by word, and a chunk gets
-back only the totals that differ from its own counts.
+over the whole corpus: each chunk of text sends one row per distinct word, and rows are summed by word. The totals of
+the COMMON most frequent words go out with the tasks; of the others a chunk gets back those that aren't its own counts.
 
 Model. The `top` most frequent training tokens (TOP unless given) are classes of their own; every other word belongs
 to one of SHAPES classes by its last two bytes, so unseen words have a class too. P(word | context) = P(class |
@@ -27,7 +27,7 @@ gives no rows. Further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ RUN = 1 << 17
 #: Contexts whose normalisers a task remembers, where so many are possible; else each run's are found anew.
 REMEMBERED = 1 << 22
 FAN = 64
+#: Most words whose totals go out with the tasks (4 MB) instead of by a join.
+COMMON = 1 << 18
 END = W.mix(np.array([0xE0D], dtype=np.uint64))[0]
 _CHUNK = "chunk long, ids array<long>, held array<boolean>, bounds binary, codes binary, vocabulary binary, shapes binary, counts binary"
 
@@ -102,22 +104,38 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, place = chunk and number in it, n, shape) of every distinct word of a chunk."""
-    for row in _rows(batches):
-        words, counts, shapes = np.frombuffer(row["vocabulary"], "<i8"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["shapes"], np.uint8)
-        for lo in range(0, len(words), 65_536):
-            n = slice(lo, lo + 65_536)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words[n]), row["chunk"])), pa.array(np.arange(lo, lo + len(words[n]), dtype=np.int32)), pa.array(words[n]), pa.array(counts[n].astype(np.int64)), pa.array(shapes[n].astype(np.int32))],
-                names=["chunk", "place", "word", "n", "shape"],
-            )
+def _listed(common: np.ndarray | None = None):
+    """(word, place = chunk and number in it, n, shape) of every distinct word of a chunk, but for those in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, counts, shapes = np.frombuffer(row["vocabulary"], "<u8"), np.frombuffer(row["counts"], "<u4"), np.frombuffer(row["shapes"], np.uint8)
+            places = np.arange(len(words), dtype=np.int32)
+            if common is not None:
+                places = places[~_among(common, words)[0]]
+            for lo in range(0, len(places), 65_536):
+                at = places[lo : lo + 65_536]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), row["chunk"])), pa.array(at), pa.array(words[at].view(np.int64)), pa.array(counts[at].astype(np.int64)), pa.array(shapes[at].astype(np.int32))],
+                    names=["chunk", "place", "word", "n", "shape"],
+                )
+
+    return run
+
+
+def _among(known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words are in known (sorted), and where."""
+    if not len(known):
+        return np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=np.int64)
+    seat = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return known[seat] == words, seat
 
 
 @dataclass
 class Counts:
     """Corpus-wide counts: all tokens and distinct ones of the training rows; the top words, sorted by hash; the shape
-    classes' counts. size: all classes, of which the first `size - SHAPES` are for top words."""
+    classes' counts. size: all classes, of which the first `size - SHAPES` are for top words. common: at most COMMON of
+    the most frequent words, sorted by hash, whose counts go out with every task."""
 
     tokens: int
     distinct: int
@@ -126,14 +144,14 @@ class Counts:
     shape_tokens: np.ndarray
     shape_distinct: np.ndarray
     size: int = TOP + SHAPES
+    common: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    common_counts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
     def classes(self, vocabulary: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         """Each word's class, in 16 bits where that is enough."""
         out = (self.size - SHAPES + shapes.astype(np.int64)).astype(np.uint16 if self.size < 1 << 16 else np.int32)
-        if len(self.top):
-            seat = np.minimum(np.searchsorted(self.top, vocabulary), len(self.top) - 1)
-            own = self.top[seat] == vocabulary
-            out[own] = seat[own]
+        own, seat = _among(self.top, vocabulary)
+        out[own] = seat[own]
         return out
 
     def class_counts(self) -> np.ndarray:
@@ -281,22 +299,37 @@ class Opened:
             yield doc, self.codes[lo:hi], tokens[lo - reach :], before
 
 
-def corpus_counts(listed: DataFrame, top: int = TOP) -> tuple[Counts, DataFrame]:
-    """The counts, and a table (chunk, place, c) of the words whose corpus-wide training count isn't the chunk's own."""
-    totals = stored(listed.groupBy("word").agg(F.sum("n").alias("c"), F.min("shape").alias("shape"), F.count("*").alias("chunks")), "word-counts")
+def _most_frequent(once: DataFrame) -> np.ndarray:
+    """(word, count, shape) of at most COMMON words: all of those above a count, which a small histogram gives."""
+    level = F.when(F.col("c") < 4096, F.col("c")).otherwise((4096 + F.floor(F.log2("c") * 64)).cast("long"))
+    least, room = None, COMMON
+    for _, n, lowest in once.groupBy(level.alias("level")).agg(F.count("*"), F.min("c")).orderBy(F.desc("level")).collect():  # 8,192 at most
+        if n > room:
+            break
+        least, room = lowest, room - n
+    found = once.where(F.lit(False) if least is None else F.col("c") >= least).select("word", "c", F.col("shape").cast("long")).toArrow()
+    rows = np.stack([c.to_numpy() for c in found.columns], axis=1).astype(np.int64).reshape(-1, 3)
+    return rows[np.lexsort((rows[:, 0], -rows[:, 1]))]
+
+
+def corpus_counts(chunks: DataFrame, top: int = TOP) -> tuple[Counts, DataFrame]:
+    """The counts, and a table (chunk, place, c) of the words whose corpus-wide training count is neither among those of
+    the common words nor the chunk's own."""
+    totals = stored(_words_of(chunks).groupBy("word").agg(F.sum("n").alias("c"), F.min("shape").alias("shape"), F.count("*").alias("chunks")), "word-counts")
     once = totals.where("c > 0")
-    most = once.orderBy(F.desc("c"), "word").limit(top).select("word", "c", "shape").collect()
+    rows = _most_frequent(once)
     tokens, distinct = once.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     shape_tokens, shape_distinct = np.zeros(SHAPES), np.zeros(SHAPES)
     for shape, c, n in once.groupBy("shape").agg(F.sum("c"), F.count("*")).collect():
         shape_tokens[shape], shape_distinct[shape] = c, n
-    for _, c, shape in most:
-        shape_tokens[shape] -= c
-        shape_distinct[shape] -= 1
-    words = np.array([w for w, _, _ in most], dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    back = listed.select("chunk", "place", "word", "n").join(totals.where("chunks > 1").select("word", "c"), "word").where("c <> n").select("chunk", "place", "c")
-    return Counts(int(tokens), int(distinct), words[order], np.array([c for _, c, _ in most], dtype=np.int64)[order], shape_tokens, shape_distinct, top + SHAPES), back
+    most = rows[:top]
+    np.subtract.at(shape_tokens, most[:, 2], most[:, 1])
+    np.subtract.at(shape_distinct, most[:, 2], 1)
+    most, common = most[np.argsort(most[:, 0].copy().view(np.uint64))], rows[np.argsort(rows[:, 0].copy().view(np.uint64))]
+    names, common_names = most[:, 0].copy().view(np.uint64), common[:, 0].copy().view(np.uint64)
+    counts = Counts(int(tokens), int(distinct), names, most[:, 1].copy(), shape_tokens, shape_distinct, top + SHAPES, common_names, common[:, 1].copy())
+    back = _words_of(chunks, common_names).select("chunk", "place", "word", "n").join(totals.where("chunks > 1").select("word", "c"), "word").where("c <> n").select("chunk", "place", "c")
+    return counts, back
 
 
 def _summed(trained: DataFrame, tasks: int) -> np.ndarray | None:
@@ -361,6 +394,8 @@ def _scored(model: Model, counts: Counts):
             n, docs = len(chunk.classes), len(chunk.bounds) - 1
             c = np.frombuffer(row["counts"], "<u4").astype(np.int64)
             c[right["place"].to_numpy()] = right["c"].to_numpy()
+            often, seat = _among(counts.common, np.frombuffer(row["vocabulary"], "<u8"))
+            c[often] = counts.common_counts[seat[often]]
             base = np.log10((c + 1) / (counts.tokens + counts.distinct + 1))
             shape = np.maximum(chunk.classes.astype(np.int64) - (counts.size - SHAPES), 0)
             within = np.where(chunk.classes < counts.size - SHAPES, 0.0, np.log10((c + 1) / (counts.shape_tokens[shape] + counts.shape_distinct[shape] + 1)))
@@ -383,9 +418,8 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stored(rows.mapInArrow(_chunks, _CHUNK), "chunks")
 
 
-def words_of(chunks: DataFrame) -> DataFrame:
-    """(chunk, place, word, n, shape) of every distinct word of every chunk."""
-    return chunks.select("chunk", "vocabulary", "counts", "shapes").mapInArrow(_listed, "chunk long, place int, word long, n long, shape int")
+def _words_of(chunks: DataFrame, common: np.ndarray | None = None) -> DataFrame:
+    return chunks.select("chunk", "vocabulary", "counts", "shapes").mapInArrow(_listed(common), "chunk long, place int, word long, n long, shape int")
 
 
 def scored(chunks: DataFrame, back: DataFrame, model: Model, counts: Counts) -> DataFrame:
@@ -396,5 +430,5 @@ def scored(chunks: DataFrame, back: DataFrame, model: Model, counts: Counts) ->
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     chunks = chunked(docs, id_col, text_col)
-    counts, back = corpus_counts(words_of(chunks), top)
+    counts, back = corpus_counts(chunks, top)
     return scored(chunks, back, train(chunks, counts), counts)

@@ -108,20 +108,54 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 7 for i in (7, *range(200, 260))}, 2: 2, 3: 2}
 
 
+def plain_containment(docs, items, percent=80, width=5):
+    """(document, item, its shingles, shared ones) by brute force over all pairs."""
+    lists = lambda rows: [[w.lower() for w in (t or "").split()] for _, t in rows]
+    cut = lambda ws, w: {tuple(ws[i : i + w]) for i in range(len(ws) - w + 1)}
+    out = Counter()
+    for (i, _), item in zip(items, lists(items), strict=True):
+        w = min(width, len(item))
+        for (d, _), doc in zip(docs, lists(docs), strict=True):
+            own, theirs = cut(item, w) if w else set(), cut(doc, w) if w else set()
+            if own and 100 * len(own & theirs) >= percent * len(own):
+                out[d, i, len(own), len(own & theirs)] += 1
+    return out
+
+
 def test_items_in_documents_against_all_pairs(table):
     draw = random.Random(2)
-    items = [(i, prose(draw, draw.choice([3, 5, 14, 40, 300]))) for i in range(40)] + [(40, None), (41, ""), (None, "lone item of seven words in all")]
-    docs = [(i, prose(draw, draw.choice([4, 60, 3000]))) for i in range(60)]
+    items = [(i, prose(draw, draw.choice([1, 2, 3, 4, 5, 14, 40, 300]))) for i in range(48)] + [(48, None), (49, ""), (None, "lone item of seven words in all"), (50, "lone item of seven words in all")]
+    docs = [(i, prose(draw, draw.choice([1, 2, 4, 60, 3000]))) for i in range(60)]
     for i in range(60):
-        text = items[draw.randrange(40)][1]
+        text = items[draw.randrange(48)][1]
         docs.append((100 + i, docs[i][1] + " " + edited(draw, text, draw.choice([0, 1, 2])) + " " + prose(draw, 20)))
     docs += [(200, None), (201, ""), (None, items[3][1]), (202, "Lone item of seven words in ALL"), (202, "lone item of seven words in all")]
-    sets = lambda rows: [set(s.tolist()) for s in words.shingle_sets(pa.array([t for _, t in rows], pa.string()))]
-    want = Counter((d, i, len(s), len(s & o)) for (d, _), o in zip(docs, sets(docs), strict=True) for (i, _), s in zip(items, sets(items), strict=True) if s and 100 * len(s & o) >= 80 * len(s))
+    want = plain_containment(docs, items)
+    assert {len(items[i][1].split()) for _, i, *_ in want if i is not None} >= {1, 2, 3, 4}
     a, b = table(docs, "doc_id long, text string"), table(items, "item_id long, text string")
     assert Counter(map(tuple, decontaminate.contained_items(a, b).collect())) == want
-    assert {r.doc_id for r in decontaminate.decontaminated(a, b).collect()} == {d for d, _ in docs} - {w[0] for w in want if w[0] is not None}
+    kept = decontaminate.decontaminated(a, b)
+    held = set(plain_containment(list(enumerate(t for _, t in docs)), items))
+    assert kept.columns == a.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(d for k, d in enumerate(docs) if k not in {h[0] for h in held})
     assert decontaminate.contained_items(a.limit(0), b).collect() == [] == decontaminate.contained_items(a, b.limit(0)).collect()
+    assert decontaminate.decontaminated(a, b.limit(0)).count() == len(docs)
+
+
+def test_short_items_are_found_inside_long_documents(table):
+    docs = [(0, "alpha beta gamma delta " + prose(random.Random(5), 9000)), (1, prose(random.Random(6), 9000) + " Beta"), (2, "gamma delta"), (3, "delta gamma beta alpha")]
+    items = [(0, "alpha beta gamma delta"), (1, "beta"), (2, "gamma delta"), (3, "gamma delta epsilon")]
+    got = {tuple(r) for r in decontaminate.contained_items(table(docs, "doc_id long, text string"), table(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0, 1, 1), (0, 1, 1, 1), (1, 1, 1, 1), (0, 2, 1, 1), (2, 2, 1, 1), (3, 1, 1, 1)}
+
+
+def test_each_partition_has_its_own_sketch_and_threshold():
+    draw = random.Random(4)
+    index = decontaminate.Index([prose(draw, n) for n in (5, 6, 12, 40, 300, 2000)], 80, 5)
+    parts = index.partitions[5]
+    assert [p.sketch for p in parts] == [1, 2, 8, 32, 32, 32]
+    assert len({p.needed for p in parts}) > 1 and [p.least for p in parts] == [1, 2, 7, 29, 237, 1597]
+    for p, size in zip(parts, (1, 2, 8, 36, 296, 1996), strict=True):
+        assert p.needed == decontaminate.needed_hits(size, p.sketch, 80)
 
 
 def test_blocks_of_items_are_as_good_as_one(table, monkeypatch):
@@ -192,22 +226,25 @@ def plain_maximal(rows):
     return {c: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in v) for c, v in lists.items() if c not in gone}
 
 
-def test_snapshots_collapse_to_the_longest(table, monkeypatch):
-    monkeypatch.setattr(chat, "SEGMENT", 4)
+def test_snapshots_collapse_to_the_longest(table):
     draw = random.Random(9)
     rows = []
     for conv in range(40):
         base = [("user" if k % 2 == 0 else "assistant", f"t{conv % 6}-{k}") for k in range(12)]
         rows += [(conv, k, r, t) for k, (r, t) in enumerate(base[: draw.randrange(1, 13)])]
     rows += [(90, k, "user", f"long{k}") for k in range(500)] + [(91, k, "user", f"long{k}") for k in range(499)]
+    rows += [(98, None, "user", f"unnumbered {k % 90:03d} " + "x" * 80 + str(k)) for k in range(300)]
     rows += [(95, None, None, None), (95, 1, "a", "b"), (95, 1, "a", "b"), (96, 0, "ab", ""), (97, 0, "a", "b"), (None, 0, "user", "x")]
     draw.shuffle(rows)
     turns = table(rows, "conv_id long, turn long, role string, text string", ("k", "a", "b", "more", "conv", "segment"))
     parts = defaultdict(dict)
-    for r in chat.rendered(turns).collect():
+    for r in chat.rendered(turns, segment_turns=4).collect():
         assert r.n_turns <= 4
         parts[r.conv_id][r.segment] = r.chat
-    assert {c: "".join(p[s] for s in sorted(p)) for c, p in parts.items()} == plain_maximal(rows)
+    want = plain_maximal(rows)
+    assert {c: "".join(p[s] for s in sorted(p)) for c, p in parts.items()} == want
+    whole = chat.rendered(turns, segment_turns=0).collect()
+    assert {r.conv_id: r.chat for r in whole} == want and len(whole) == len(want)
     assert chat.rendered(turns.limit(0)).collect() == []
 
 
@@ -310,16 +347,18 @@ def plain_log10(model, counts, c, text):
     return total
 
 
-@pytest.mark.parametrize("top", [40, 3000])
-def test_scores_are_those_of_a_plain_softmax_loop(table, monkeypatch, top):
+@pytest.mark.parametrize(("top", "common"), [(40, 90), (3000, 1 << 18)])
+def test_scores_are_those_of_a_plain_softmax_loop(table, monkeypatch, top, common):
     monkeypatch.setattr(lm, "FAN", 2)
+    monkeypatch.setattr(lm, "COMMON", common)
     draw = random.Random(top)
     docs = [(i, " ".join(draw.choice(("The", "the", "cat", "SAT", *WORDS[: 5 * i])) for _ in range(draw.choice([0, 3, 40, 250])))) for i in range(1, 31)] + [(31, None), (32, ""), (None, "the cat sat")]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = Counter(w for i, t in docs if not held(i) for w in [*(t or "").lower().split(), "\0end"])
     chunks = lm.chunked(table(docs, "doc_id long, text string").repartition(8))
-    counts, back = lm.corpus_counts(lm.words_of(chunks), top)
+    counts, back = lm.corpus_counts(chunks, top)
     assert chunks.count() == 8 and (counts.tokens, counts.distinct) == (sum(c.values()), len(c))
+    assert back.count() > 0 if common == 90 else back.count() == 0
     model = lm.train(chunks, counts)
     got = sorted((str(r.doc_id), r.score) for r in lm.scored(chunks, back, model, counts).collect())
     want = sorted((str(i), float(plain_log10(model, counts, c, t))) for i, t in docs)
@@ -352,6 +391,46 @@ def test_toxic_documents_are_found_and_clean_ones_left(table):
             assert any(w in texts[r.doc_id].encode()[p.start : p.end].decode().lower() for w in ("grumbly", "vileness", "wretchful", "scornish"))
 
 
+def test_rows_around_one_passage_all_count(table):
+    draw = random.Random(12)
+    passage = "every one of these pages carries this very sentence"
+    docs = [(i, prose(draw, 20) + " " + passage + " " + prose(draw, 20)) for i in range(120)]
+    docs += [(200, docs[0][1]), (201, docs[1][1].upper()), (202, docs[2][1]), (5, "another text of this id"), (5, docs[5][1]), (300, None), (301, "")]
+    labels = [(i, 1, i % 2) for i, _ in docs if i != 202] + [(202, 1, 1)]
+    got = [(r.id, r.y) for r in toxicity.training_rows(table(docs, "doc_id long, text string"), table(labels, "doc_id long, quality int, toxic int")).collect()]
+    # 200 copies 0 with its label; 202 copies 2 with another one, 201 copies 1 but for letter case, with its label
+    assert sorted(got) == [(i, i % 2) for i in range(120)] + [(202, 1), (300, 0), (301, 1)]
+    few = toxicity.training_rows(table(docs, "doc_id long, text string"), table(labels, "doc_id long, quality int, toxic int"), rows=30)
+    assert few.count() <= 30
+
+
+def plain_evidence(model, text):
+    """A text's evidence by plain loops: each token's most specific kept feature, then the recursive segments."""
+    lowered = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    found = re.findall(rb"(?:[a-z0-9]|[\x80-\xff])+", lowered)
+    kept = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    named = lambda part, salt: int(words.mix((words.prefix_sums(np.frombuffer(part, np.uint8))[0][-1:] + np.uint64(salt)))[0])
+    scores = []
+    for word in found:
+        options = [named(word[:k], k) for k in toxicity.PREFIXES if len(word) >= k] + [named(word, 1 << 32)]
+        scores.append(next((kept[x] for x in reversed(options) if x in kept), 0.0))
+    places = [i for i, x in enumerate(scores) if x]
+    best = plain_segments(places, [scores[i] for i in places], model.drift) if places else []
+    return model.evidence([(a, b, s) for a, b, s in best], len(found))
+
+
+def test_toxicity_scores_against_plain_loops(table, odd_docs):
+    docs, labels = toxic_corpus(200, seed=3)
+    model = toxicity.fit(table(docs, "doc_id long, text string"), table(labels, "doc_id long, quality int, toxic int"))
+    rows = [d for d in docs if len(d[1].split()) < 100][:40] + [(900, None), (901, ""), (902, "Grumbly, GRUMBLY; vileness!"), (None, "wretchful é ñ scornish")]
+    got = sorted((str(r.doc_id), r.score) for r in toxicity.score(table(rows, "doc_id long, text string"), model).collect())
+    want = sorted((str(i), float(model.probability(np.array([plain_evidence(model, t)]))[0])) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-9)
+    kept = toxicity.accepted(table(rows, "doc_id long, text string"), model)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(i for i, x in want if x < toxicity.THRESHOLD)
+    assert toxicity.accepted(odd_docs.limit(0), model).collect() == []
+
+
 def test_toxicity_of_odd_documents_and_labels(odd_docs, table):
     docs, labels = toxic_corpus(200)
     model = toxicity.fit(table(docs, "doc_id long, text string"), table(labels, "doc_id long, quality int, toxic int"))
@@ -433,6 +512,62 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path, table):
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
 
 
+def saved_corpus(folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark = docs.sparkSession
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def plain_pipeline(spark, rows, labels, items):
+    """(id, text) rows that reach packing: scores by the operator, every other decision by brute force."""
+    kind = "doc_id long, text string"
+    model = toxicity.fit(spark.createDataFrame(rows, kind), spark.createDataFrame([r for r in labels if zlib.crc32(str(r[0]).encode()) % 3 != 1], "doc_id long, quality int, toxic int"))
+    rows = [(i, t) for i, t in rows if model.probability(np.array([plain_evidence(model, t)]))[0] < toxicity.THRESHOLD]
+    named = [(i, t) for i, t in rows if i is not None]
+    groups = brute_groups(named, 80)
+    rows = [(i, t) for i, t in rows if i is None or groups[i][1] == i]
+    held = {k for k, *_ in plain_containment(list(enumerate(t for _, t in rows)), items)}
+    return [r for k, r in enumerate(rows) if k not in held]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tessera.llm import store
+
+    docs, labels = toxic_corpus(150, seed=16)
+    docs = [(i, " ".join(t.split()[:90])) for i, t in docs]
+    draw = random.Random(18)
+    items = [(0, prose(draw, 15)), (1, "three word item"), (2, None)]
+    docs += [(1000 + i, prose(draw, 50)) for i in range(30)]
+    docs += [(2000 + i, edited(draw, docs[150 + i][1], i % 4)) for i in range(20)] + [(3000, docs[-1][1]), (3001, "before " + items[0][1]), (3002, "a three word item indeed"), (3003, None), (3004, ""), (None, docs[151][1])]
+    clashing = spark.createDataFrame([(i, t, "x", 1, "k") for i, t in docs], "doc_id long, text string, score string, id int, item string")
+    saved_corpus(tmp_path, clashing, labels, items)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = plain_pipeline(spark, docs, labels, items)
+    sizes = [(i, len(brute_word_ids(t))) for i, t in want]
+    assert Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == Counter(sizes) and 100 < len(want) < len(docs)
+    assert sum(r.length for r in got) == sum(n for _, n in sizes)
+    assert store.discard(spark) > 0 and store.discard(spark) == 0
+
+
+def brute_word_ids(text):
+    from tessera.llm import tokens
+
+    return [*tokens.encoder(tokens.vocabulary("word_bpe_49k.json")).tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path, odd_docs):
+    import corpus_pipeline
+
+    saved_corpus(tmp_path / "odd", odd_docs, [(0, 1, 0)], [(None, None)])
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    # 1 equals 0, 6 equals 5 (both of its rows go), 8 is nearly 7; null ids, null and empty texts stay
+    assert Counter(str(r.doc_id) for r in got if r.start == 0) == Counter(["0", "2", "3", "4", "5", "None", "None", "7", "9"])
+    saved_corpus(tmp_path / "none", odd_docs.limit(0), [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_pipeline_drops_near_copies_just_above_four_fifths(spark):
     import corpus_pipeline
 
