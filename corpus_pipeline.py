@@ -1,7 +1,11 @@
 """The corpus pipeline: documents through toxicity, near-duplicates, benchmark decontamination and packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return
-documents' columns. Rows with a null id stay: no decision can name them. Repeated rows share their id's decision.
+documents' columns, whatever further ones there are and however they are named. Toxicity and decontamination decide on
+every row by its own text, in the pass that reads it; near-duplicates go by id, so rows that share an id share its
+decision and rows with a null id stay. Null and empty texts are neither toxic nor contaminated nor duplicates; they are
+packed as their end id. An empty table gives no rows. Stage tables stay in the shared folder, as the result reads the
+last one; tessera.llm.store.discard(spark) removes them once it is saved.
 """
 
 from __future__ import annotations
@@ -12,27 +16,25 @@ from tessera.llm import toxicity
 from tessera.llm.decontaminate import decontaminated
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import packed
-from tessera.llm.store import stored
+from tessera.llm.store import keyed_to, stored
 from tessera.llm.tokens import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from the labelled ones among them, rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
-    found = toxicity.score(docs, toxicity.fit(docs, labels))
-    rejected = stored(found.where(f"score >= {toxicity.THRESHOLD}").select("doc_id").distinct(), "toxic")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.accepted(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near-duplicates (a similarity of 0.8 or more) stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "duplicates")
+    return keyed_to(docs, gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
