@@ -22,9 +22,9 @@ import xxhash
 
 from tessera.llm import words as W
 
-#: Parts that a worker remembers; beyond it the memo starts anew. About 35 bytes each.
-MEMO = 3_000_000
-SLICE = 2 << 20
+#: Parts that a worker remembers; beyond it the memo starts anew. About 45 bytes each.
+MEMO = 1_500_000
+SLICE = 1 << 20
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 13, 32]] = True
 _LETTER = np.zeros(256, dtype=bool)
