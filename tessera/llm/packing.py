@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import encoder
 
-GROUP = 1 << 19
+GROUP = 1 << 20
 STEP = 64
 #: The share of windows that may be added before pieces are cut, and of tokens that a group's rest may be padded by.
 ROOM = 0.01
@@ -95,18 +95,19 @@ def pack(lengths: list[int], capacity: int = 4096) -> list[tuple[int, int, int,
         out.append((doc, start, size, window + number))
     window += 1 + max((number for number, _ in powers), default=-1)
     if left:
-        pieces, seats = dealt(left, capacity, limit)
+        pieces, seats = dealt(left, capacity, limit, int(ROOM * sum(lengths) / capacity))
         out += [(*piece, window + int(seat)) for piece, seat in zip(pieces, seats, strict=True)]
     return out
 
 
-def dealt(left: list[tuple[int, int, int]], capacity: int, limit: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """The pieces (document, start, length) of at most `limit` tokens, and the window of each."""
+def dealt(left: list[tuple[int, int, int]], capacity: int, limit: int, rise: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """The pieces (document, start, length) of at most `limit` tokens, and the window of each. rise: by how much the
+    window count may rise before the pieces are halved."""
     least = -(-sum(size for _, _, size in left) // capacity)
     while True:
         pieces = [(doc, start + k * size // n, (k + 1) * size // n - k * size // n) for doc, start, size in left for n in [-(-size // limit)] for k in range(n)]
         bins, last = least, limit <= max(1, capacity // 64)
-        while last or bins <= least + int(ROOM * least):
+        while last or bins <= least + rise:
             seats, loads = differencing([size for _, _, size in pieces], bins)
             if loads.max() <= capacity:
                 return pieces, seats

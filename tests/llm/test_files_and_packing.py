@@ -169,8 +169,7 @@ def test_the_window_count_rises_when_a_window_exceeds_the_capacity(monkeypatch):
 
     monkeypatch.setattr(packing, "differencing", watched)
     lengths = [97, 97, 97, 97, 2, 2, 2, 2, 2] * 40
-    monkeypatch.setattr(packing, "ROOM", 0.5)
-    pieces, seats = packing.dealt([(i, 0, n) for i, n in enumerate(lengths)], 100, 100)
+    pieces, seats = packing.dealt([(i, 0, n) for i, n in enumerate(lengths)], 100, 100, 500)
     assert len(tried) > 1 and all(load > 100 for _, load in tried[:-1]) and tried[-1][1] <= 100
     assert [b for b, _ in tried] == list(range(tried[0][0], tried[-1][0] + 1)) and seats.max() < tried[-1][0] and len(pieces) == len(lengths)
 
