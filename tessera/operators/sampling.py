@@ -27,7 +27,7 @@ def limit_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFram
 
 
 def numbered(rows: DataFrame, order: list[str], block: Column) -> DataFrame:
-    """Adds idx, 0.. in the order of (block, *order). block (a number that grows with the order) deals the work: rows
+    """Adds idx, 0.. in the order of (block, *order). block (a number or text that grows with the order) deals the work: rows
     are numbered within blocks, and the blocks' sizes are summed along a short list."""
     inside = rows.withColumn("_b", block).withColumn("_r", F.row_number().over(Win.partitionBy("_b").orderBy(*order)))
     sizes = inside.groupBy("_b").agg(F.count("*").alias("_c"))
@@ -43,30 +43,56 @@ def shard(indexed: DataFrame, shards: int) -> DataFrame:
     return indexed.withColumn("shard", (F.col("idx") % shards).cast("int"))
 
 
-def weighted_resample(rows: DataFrame, group: str, key: str, draws: int | None = None, parts: int = 64) -> DataFrame:
-    """draws rows (as many as there are, if not given) with replacement; a row's weight is 1 / sqrt(rows of its group),
-    in whole millionths.
-
-    Cumulative weights go by part (hash of the key): a draw falls into a part by the short list of parts' totals, then
-    meets the row whose interval holds it among the rows of that part. No draw is compared with all rows.
+def resample_weights(rows: DataFrame, patient: str, facts: list[str] = (), scheme: str = "patient", patient_power: float = 0.5, combo_power: float = 0.5) -> DataFrame:
+    """Adds weight, in whole millionths: patient count to -patient_power, times, for the scheme "combo", the count of the
+    facts' combination to -combo_power, or, for "class", the mean over facts of rows / (levels * rows of the level)."""
+    power = lambda n, by: F.pow(n.cast("double"), F.lit(-by))
+    found = rows.join(rows.groupBy(patient).agg(F.count("*").alias("_g")), patient)
+    weight = power(F.col("_g"), patient_power)
+    if scheme == "combo":
+        found = found.join(rows.groupBy(*facts).agg(F.count("*").alias("_c")), list(facts))
+        weight = weight * power(F.col("_c"), combo_power)
+    elif scheme == "class":
+        counts = rows.groupBy(F.lit(1).alias("_one")).agg(F.count("*").alias("_n"), *(F.countDistinct(f).alias(f"_k_{f}") for f in facts))
+        found = found.crossJoin(F.broadcast(counts))
+        for f in facts:
+            found = found.join(rows.groupBy(f).agg(F.count("*").alias(f"_f_{f}")), f)
+        weight = weight * sum((F.col("_n") / (F.col(f"_k_{f}") * F.col(f"_f_{f}")) for f in facts), F.lit(0.0)) / len(facts)
+    elif scheme != "patient":
+        raise ValueError(f"no scheme {scheme}: patient, combo or class")
+    return found.select(*rows.columns, F.floor(1e6 * weight + 0.5).cast("long").alias("weight"))
+
+
+#: Rows that a part of a resample is meant to hold; parts are 64 at least and PARTS at most.
+PART_ROWS, PARTS, GROUPED = 50_000, 1 << 16, 256
+
+
+def weighted_resample(rows: DataFrame, key: str, weight: str = "weight", draws: int | None = None) -> DataFrame:
+    """draws rows (as many as there are, if not given) with replacement by a column of whole weights.
+
+    Cumulative weights go by part (hash of the key; their number grows with the rows): a draw falls into a part by the
+    totals of the groups of parts and then of a group's parts, two short lists, and meets the row whose interval holds
+    it among the rows of that part. No draw is compared with all rows.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_g"))
-    weight = F.floor(1e6 / F.sqrt(F.col("_g")) + 0.5).cast("long")
-    weighted = rows.join(counts, group).withColumn("_w", weight).withColumn("_p", (hashed(F.col(key), salt="part") % parts).cast("int"))
+    n = rows.count()
+    parts = min(PARTS, max(64, n // PART_ROWS))
+    weighted = rows.withColumn("_w", F.col(weight)).withColumn("_p", (hashed(F.col(key), salt="part") % parts).cast("int"))
     along = Win.partitionBy("_p").orderBy(key).rowsBetween(Win.unboundedPreceding, 0)
     placed = weighted.withColumn("_hi", F.sum("_w").over(along))
     totals = placed.groupBy("_p").agg(F.sum("_w").alias("_t"))
     upto = Win.orderBy("_p").rowsBetween(Win.unboundedPreceding, 0)  # parts rows
-    listed = totals.withColumn("_upto", F.sum("_t").over(upto)).agg(F.array_sort(F.collect_list(F.struct("_upto", "_t", "_p"))).alias("_parts"), F.max("_upto").alias("_all"))
-    drawn = rows.sparkSession.range(rows.count() if draws is None else draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(listed))
+    groups = totals.withColumn("_upto", F.sum("_t").over(upto)).groupBy(F.floor(F.col("_p") / GROUPED).alias("_group")).agg(F.max("_upto").alias("_upto"), F.array_sort(F.collect_list(F.struct("_upto", "_t", "_p"))).alias("_own"))
+    listed = groups.agg(F.array_sort(F.collect_list(F.struct("_upto", "_own"))).alias("_groups"), F.max("_upto").alias("_all"))
+    drawn = rows.sparkSession.range(n if draws is None else draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(listed))
     # two hashes make 62 bits, so that the modulus is even
     value = (hashed(F.col("draw"), salt="a") * F.lit(1 << 30) + hashed(F.col("draw"), salt="b") % (1 << 30)) % F.col("_all")
-    drawn = drawn.withColumn("_v", value).withColumn("_o", F.element_at(F.filter("_parts", lambda o: o["_upto"] > F.col("_v")), 1))
+    first = lambda list_: F.element_at(F.filter(list_, lambda o: o["_upto"] > F.col("_v")), 1)
+    drawn = drawn.withColumn("_v", value).withColumn("_o", first(first(F.col("_groups"))["_own"]))
     drawn = drawn.select("draw", F.col("_o._p").alias("_p"), (F.col("_v") - (F.col("_o._upto") - F.col("_o._t"))).alias("_at"))
-    # the row whose interval holds the draw: draws and interval ends merged in one order, each draw takes the next row
+    # the row whose interval holds the draw: draws and interval ends merged in one falling order, each draw takes the last row
     both = placed.select("_p", F.col("_hi").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("draw"), F.col(key).alias("_key")).unionByName(drawn.select("_p", (F.col("_at") + 1).alias("_x"), F.lit(0).alias("_kind"), "draw", F.lit(None).cast(dict(rows.dtypes)[key]).alias("_key")))
-    ahead = Win.partitionBy("_p").orderBy("_x", "_kind").rowsBetween(0, Win.unboundedFollowing)
-    return both.withColumn("_hit", F.first("_key", ignorenulls=True).over(ahead)).where("_kind = 0").select("draw", F.col("_hit").alias(key))
+    behind = Win.partitionBy("_p").orderBy(F.desc("_x"), F.desc("_kind")).rowsBetween(Win.unboundedPreceding, 0)
+    return both.withColumn("_hit", F.last("_key", ignorenulls=True).over(behind)).where("_kind = 0").select("draw", F.col("_hit").alias(key))
 
 
 def fact_subset(rows: DataFrame, key: str, facts: list[str], all_share: int = 4) -> DataFrame:
@@ -76,3 +102,15 @@ def fact_subset(rows: DataFrame, key: str, facts: list[str], all_share: int = 4)
     ranked = F.array_sort(F.array(*(F.struct(F.sha1(F.concat_ws(":", F.lit("fact"), F.lit(f), key)).alias("h"), F.lit(k).alias("k"), F.lit(f).alias("f")) for k, f in enumerate(facts))))
     kept = F.array_sort(F.transform(F.slice(ranked, F.lit(1), size), lambda e: F.struct(e["k"].alias("k"), e["f"].alias("f"))))
     return rows.withColumn("facts", F.transform(kept, lambda e: e["f"]))
+
+
+def natural_key(text: Column) -> Column:
+    """Sorts texts with the numbers in them as numbers: every run of digits goes behind its length (up to 999 digits)."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|[^\d]+)"), F.lit(1))
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(p)).cast("string"), 3, "0"), bare(p))).otherwise(p)), "")
+
+
+def patient_of(name: Column) -> Column:
+    """A file name's patient: what stands before the first underscore."""
+    return F.split_part(name, F.lit("_"), F.lit(1))

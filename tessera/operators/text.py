@@ -48,24 +48,23 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     return found.withColumn("rouge_l", score).drop("_r", "_h")
 
 
-def _grams(words: Column, n: int, places: Column) -> Column:
+def _grams(words: Column, n: int) -> Column:
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
 
-def bleu4(pairs: DataFrame, key: str) -> DataFrame:
-    """One row: clipped matches and totals of 1- to 4-grams over the corpus, and BLEU-4 (0.1 for an absent match)."""
-    worded = pairs.select(key, words_of(F.col("ref")).alias("r"), words_of(F.col("hyp")).alias("h"))
-    sides = []
-    for side in ("r", "h"):
-        for n in range(1, 5):
-            places = F.when(F.size(side) >= n, F.sequence(F.lit(1), F.greatest(F.size(side) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-            sides.append(worded.select(key, F.lit(n).alias("n"), F.lit(side).alias("side"), F.explode(_grams(F.col(side), n, places)).alias("gram")))
-    every = sides[0]
-    for s in sides[1:]:
-        every = every.unionByName(s)
-    counts = every.groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == "r").alias("in_ref"), F.count_if(F.col("side") == "h").alias("in_hyp"))
-    sums = counts.groupBy("n").agg(F.sum(F.least("in_ref", "in_hyp")).alias("matches"), F.sum("in_hyp").alias("total"))
-    lengths = worded.agg(F.sum(F.size("r")).alias("ref_words"), F.sum(F.size("h")).alias("hyp_words"))
+def bleu4(pairs: DataFrame) -> DataFrame:
+    """One row: clipped matches and totals of 1- to 4-grams over the corpus, and BLEU-4 (0.1 for an absent match).
+
+    Equal pairs count as often as there are; their n-grams are taken once."""
+    alike = pairs.groupBy("ref", "hyp").agg(F.count("*").alias("pairs")).withColumn("key", F.sha1(F.concat_ws("\u0000", "ref", "hyp")))
+    worded = alike.select("key", "pairs", words_of(F.col("ref")).alias("r"), words_of(F.col("hyp")).alias("h"))
+    marked = lambda side, n: F.transform(_grams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("gram")))
+    listed = [marked(side, n) for side in ("r", "h") for n in range(1, 5)]
+    every = worded.select("key", "pairs", F.explode(F.concat(*listed)).alias("e")).select("key", "pairs", "e.*")
+    counts = every.groupBy("key", "pairs", "n", "gram").agg(F.count_if(F.col("side") == "r").alias("in_ref"), F.count_if(F.col("side") == "h").alias("in_hyp"))
+    sums = counts.groupBy("n").agg(F.sum(F.least("in_ref", "in_hyp") * F.col("pairs")).alias("matches"), F.sum(F.col("in_hyp") * F.col("pairs")).alias("total"))
+    lengths = worded.agg(F.sum(F.size("r") * F.col("pairs")).alias("ref_words"), F.sum(F.size("h") * F.col("pairs")).alias("hyp_words"))
     wide = sums.groupBy().pivot("n", [1, 2, 3, 4]).agg(F.max("matches").alias("m"), F.max("total").alias("t"))
     ratio = lambda n: F.greatest(F.col(f"{n}_m").cast("double"), F.lit(0.1)) / F.greatest(F.col(f"{n}_t"), F.lit(1))
     mean = F.pow(ratio(1) * ratio(2) * ratio(3) * ratio(4), F.lit(0.25))

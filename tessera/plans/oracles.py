@@ -292,7 +292,7 @@ SQL["g09_balanced"] = f"{_with(*_EVAL)}, r AS (SELECT prompt_type, fact, truth,
 _place = lambda c: f"CASE WHEN fact = 'orientation' THEN list_position(['vertical', 'diagonal', 'horizontal'], {c}) ELSE list_position(['low', 'mid', 'high'], {c}) END"
 SQL["g10_ordinal"] = f"{_with(*_EVAL)}, d AS (SELECT prompt_type, fact, abs({_place('truth')} - {_place('got')}) AS gap FROM long) SELECT prompt_type, fact, count(*) AS n, count_if(gap <= 1)::BIGINT / count(*)::DOUBLE AS within_one, CAST(sum(gap) AS BIGINT) / count(*)::DOUBLE AS level_error FROM d WHERE gap IS NOT NULL GROUP BY ALL"
 SQL["g11_bootstrap_ci"] = f"""{_with(*_EVAL)}, per AS (SELECT patient, fact, count_if(ok)::BIGINT AS ok_n, count(*) AS n FROM long WHERE prompt_type = 'generic' GROUP BY ALL), pats AS (SELECT patient, row_number() OVER (ORDER BY patient) - 1 AS number FROM (SELECT DISTINCT patient FROM per)),
-draws AS (SELECT r, {_hash("r || ':' || i", "boot:")} % (SELECT count(*) FROM pats) AS number FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range(1, (SELECT count(*) FROM pats) + 1)) AS i)),
+draws AS (SELECT r, {_hash("r || ':' || i", "boot:")} % (SELECT count(*) FROM pats) AS number FROM (SELECT unnest(range(500)) AS r), (SELECT unnest(range(1, (SELECT count(*) FROM pats) + 1)) AS i)),
 means AS (SELECT r, fact, CAST(sum(ok_n) AS BIGINT) / CAST(sum(n) AS DOUBLE) AS m FROM draws JOIN pats USING (number) JOIN per USING (patient) GROUP BY r, fact) SELECT fact, {_mill('quantile_cont(m, 0.025)')} AS lo_millionths, {_mill('quantile_cont(m, 0.975)')} AS hi_millionths FROM means GROUP BY fact"""
 _cells = [("low", "low"), ("mid", "mid"), ("high", "high"), ("vertical", "vertical"), ("diagonal", "diagonal"), ("horizontal", "horizontal"), ("none", "no_axis")]
 SQL["g12_confusion"] = f"{_with(*_EVAL)} SELECT fact, truth, {', '.join(f'''count_if(got = '{v}')::BIGINT AS {c}''' for v, c in _cells)}, count_if(got IS NULL)::BIGINT AS none_stated FROM long WHERE prompt_type LIKE 'single%' GROUP BY fact, truth"
@@ -323,9 +323,17 @@ SELECT feature, n, CASE WHEN r >= 0.9 THEN 'RELIABLE' WHEN r >= 0.7 THEN 'use wi
 SQL["g21_scale"] = f"{_with(LESIONS)}, s AS (SELECT 448.0::DOUBLE / greatest(bbox_width, bbox_height) AS s FROM les) SELECT count(*) AS n, quantile_cont(s, 0.5) AS median, quantile_cont(s, 0.9) AS p90, max(s) AS max, count_if(s > 20)::BIGINT AS over_20, count_if(s > 40)::BIGINT AS over_40 FROM s"
 SQL["w10_deciles"] = f"{_with(PIXELS)}, e AS (SELECT id, min(y) AS lo, max(y) AS hi FROM px WHERE fg GROUP BY id) SELECT id, CAST(least(9, floor((y - lo) * 10.0::DOUBLE / (hi - lo + 1e-9::DOUBLE))) AS INTEGER) AS tenth, max(x) - min(x) AS width, count(*) AS n FROM px JOIN e USING (id) WHERE fg GROUP BY ALL"
 
-SQL["r02_weighted_resample"] = f"""{_with(LESIONS)}, t AS (SELECT lesion_id, {_hash("lesion_id", "part:")} % 64 AS p, CAST(floor(1e6::DOUBLE / sqrt(count(*) OVER (PARTITION BY patient)) + 0.5::DOUBLE) AS BIGINT) AS w FROM les WHERE split = 'train'),
-c AS (SELECT lesion_id, w, CAST(sum(w) OVER (ORDER BY p, lesion_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM t), d AS (SELECT draw, ({_hash("draw", "a:")} * 1073741824 + {_hash("draw", "b:")} % 1073741824) % (SELECT max(hi) FROM c) AS v FROM (SELECT unnest(range(5000)) AS draw))
+SQL["r02_weighted_resample"] = f"""{_with(LESIONS)}, z AS (SELECT greatest(64, count(*) // 50000) AS parts, count(*) AS n FROM les WHERE split = 'train'),
+t AS (SELECT lesion_id, {_hash("lesion_id", "part:")} % parts AS p, CAST(floor(1e6::DOUBLE * pow(count(*) OVER (PARTITION BY patient), -0.5::DOUBLE) + 0.5::DOUBLE) AS BIGINT) AS w FROM les, z WHERE split = 'train'),
+c AS (SELECT lesion_id, w, CAST(sum(w) OVER (ORDER BY p, lesion_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM t), d AS (SELECT draw, ({_hash("draw", "a:")} * 1073741824 + {_hash("draw", "b:")} % 1073741824) % (SELECT max(hi) FROM c) AS v FROM (SELECT unnest(range((SELECT n FROM z))) AS draw))
 SELECT draw, lesion_id FROM d ASOF JOIN c ON d.v < c.hi"""
+_per_patient = "pow(count(*) OVER (PARTITION BY patient)::DOUBLE, -0.5::DOUBLE)"
+_per_class = " + ".join(f"n / (k_{f} * count(*) OVER (PARTITION BY {f}))::DOUBLE" for f in V.FACTS)
+SQL["r02_class_weights"] = f"""{_with(FACTS)}, t AS (SELECT * FROM facts WHERE split = 'train'), k AS (SELECT count(*) AS n, {", ".join(f"count(DISTINCT {f}) AS k_{f}" for f in V.FACTS)} FROM t)
+SELECT lesion_id, 'class' AS scheme, {_mill(f"({_per_patient} * (0.0::DOUBLE + {_per_class}) / 5)")} AS weight FROM t, k
+UNION ALL SELECT lesion_id, 'combo', {_mill(f"({_per_patient} * pow(count(*) OVER (PARTITION BY {', '.join(V.FACTS)})::DOUBLE, -0.5::DOUBLE))")} FROM t"""
+SQL["p13_patients"] = f"{_with(IMAGES)} SELECT string_split(name, '_')[1] AS patient, split, count(*) AS images FROM images GROUP BY ALL"
+SQL["w08_natural_order"] = f"{_with(IMAGES)} SELECT split, name, row_number() OVER (ORDER BY CAST(string_split(name, '_')[1] AS BIGINT), CAST(regexp_extract(name, '_(\\d+)', 1) AS BIGINT)) - 1 AS idx FROM images ORDER BY idx"
 SQL["r03_fact_subset"] = f"{_with(FACTS, _SUBSET)} SELECT array_to_string(facts, '+') AS facts, count(*) AS n FROM picked GROUP BY 1"
 SQL["r04_hash_sample"] = f"{_with(IMAGES)} SELECT name, split FROM images ORDER BY sha1('sample:' || name), name LIMIT 60"
 SQL["w07_one_per_patient"] = f"{_with(IMAGES)} SELECT patient, name FROM images QUALIFY row_number() OVER (PARTITION BY patient ORDER BY sha1('pick:' || name)) = 1"

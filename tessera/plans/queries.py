@@ -149,10 +149,23 @@ def p24_prompt_types(spark, sf_dir):
 def p25_anonymise(spark, sf_dir):
     """Patients to P0001.. in natural (numeric) order, and in text."""
     patients = A.images(spark, sf_dir).groupBy("patient").agg(F.min("name").alias("name"))
-    number = F.col("patient").cast("long")
-    indexed = sampling.numbered(patients.withColumn("number", number), ["number"], F.floor(number / 4096))
+    indexed = sampling.numbered(patients.withColumn("order", sampling.natural_key(F.col("patient"))), ["order"], F.substring("order", 1, 5))
     code = F.format_string("P%04d", F.col("idx") + 1)
-    return indexed.select("patient", code.alias("code"), F.concat(code, F.substring("name", F.length("patient") + 1, 1000)).alias("public_name"))
+    return indexed.select("patient", code.alias("code"), F.concat(code, F.expr("substring(name, length(patient) + 1)")).alias("public_name"))
+
+
+@query
+def p13_patients(spark, sf_dir):
+    """The patient in every image's file name."""
+    rows = A.images(spark, sf_dir).select(sampling.patient_of(F.col("name")).alias("patient"), "split")
+    return rows.groupBy("patient", "split").agg(F.count("*").alias("images"))
+
+
+@query
+def w08_natural_order(spark, sf_dir):
+    """Each split's names by number, not by letter, with their place."""
+    rows = A.images(spark, sf_dir).select("split", "name").withColumn("key", sampling.natural_key(F.col("name")))
+    return sampling.numbered(rows, ["key", "split"], F.substring("key", 1, 5)).select("split", "name", "idx").orderBy("idx")
 
 
 @query
@@ -392,6 +405,11 @@ def _long(spark, sf_dir):
     return captions.facts_long(_answers(spark, sf_dir))
 
 
+def _counted(spark, sf_dir, *keys, only="true"):
+    """The facts of the answers that `only` selects, equal answers once."""
+    return captions.facts_long(captions.answer_counts(_answers(spark, sf_dir).where(only), *keys))
+
+
 def _train(spark, sf_dir):
     return A.fact_rows(spark, sf_dir).where("split = 'train'")
 
@@ -406,27 +424,27 @@ def g08_fact_accuracy(spark, sf_dir):
     train = _train(spark, sf_dir)
     every = F.array(*(F.struct(F.lit(f).alias("fact"), F.col(f).alias("label")) for f in V.FACTS))
     classes = train.select(F.explode(every).alias("e")).groupBy("e.fact").agg(F.countDistinct("e.label").alias("classes"))
-    return captions.fact_accuracy(_long(spark, sf_dir), captions.majority(train, "lesion_id"), classes)
+    return captions.fact_accuracy(_counted(spark, sf_dir), captions.majority(train, "lesion_id"), classes)
 
 
 @query
 def g09_balanced(spark, sf_dir):
-    return captions.balanced_accuracy(_long(spark, sf_dir))
+    return captions.balanced_accuracy(_counted(spark, sf_dir))
 
 
 @query
 def g10_ordinal(spark, sf_dir):
-    return captions.ordinal_stats(_long(spark, sf_dir))
+    return captions.ordinal_stats(_counted(spark, sf_dir))
 
 
 @query
 def g11_bootstrap_ci(spark, sf_dir):
-    return captions.bootstrap_interval(_long(spark, sf_dir).where("prompt_type = 'generic'"), 200)
+    return captions.bootstrap_interval(_counted(spark, sf_dir, "patient", only="prompt_type = 'generic'"))
 
 
 @query
 def g12_confusion(spark, sf_dir):
-    return captions.confusion(_long(spark, sf_dir).where("prompt_type like 'single%'"))
+    return captions.confusion(_counted(spark, sf_dir, only="prompt_type like 'single%'"))
 
 
 @query
@@ -441,7 +459,7 @@ def g28_exact(spark, sf_dir):
 
 @query
 def g29_top_errors(spark, sf_dir):
-    return captions.top_errors(_long(spark, sf_dir).where("prompt_type = 'generic'"))
+    return captions.top_errors(_counted(spark, sf_dir, only="prompt_type = 'generic'"))
 
 
 # ---------------------------------------------------------------- pixels
@@ -517,9 +535,23 @@ def w10_deciles(spark, sf_dir):
 # ---------------------------------------------------------------- sampling and text
 
 
+def _resampled(spark, sf_dir, scheme):
+    train = _train(spark, sf_dir).select("lesion_id", "patient", *V.FACTS)
+    return sampling.weighted_resample(sampling.resample_weights(train, "patient", V.FACTS, scheme), "lesion_id")
+
+
 @query
 def r02_weighted_resample(spark, sf_dir):
-    return sampling.weighted_resample(A.lesions(spark, sf_dir).where("split = 'train'").select("lesion_id", "patient"), "patient", "lesion_id", 5000)
+    """As many draws as the training split has lesions, balanced over patients."""
+    return _resampled(spark, sf_dir, "patient")
+
+
+@query
+def r02_class_weights(spark, sf_dir):
+    """The other two schemes' weights."""
+    train = _train(spark, sf_dir).select("lesion_id", "patient", *V.FACTS)
+    one = lambda scheme: sampling.resample_weights(train, "patient", V.FACTS, scheme).select("lesion_id", F.lit(scheme).alias("scheme"), "weight")
+    return one("class").unionByName(one("combo"))
 
 
 @query
@@ -549,7 +581,7 @@ def g25_rouge_l(spark, sf_dir):
 
 @query
 def g26_bleu4(spark, sf_dir):
-    return text.bleu4(_caption_pairs(spark, sf_dir), "lesion_id")
+    return text.bleu4(_caption_pairs(spark, sf_dir))
 
 
 @query

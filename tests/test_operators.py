@@ -41,17 +41,26 @@ def test_hints_always_mislead(spark):
 
 def test_weighted_resample_follows_the_weights(spark):
     rows = spark.createDataFrame([(f"a{i}", "a") for i in range(100)] + [("b0", "b")], "k string, g string")
-    drawn = sampling.weighted_resample(rows, "g", "k", 4000).groupBy(F.substring("k", 1, 1).alias("g")).count().collect()
+    drawn = sampling.weighted_resample(sampling.resample_weights(rows, "g"), "k", draws=4000).groupBy(F.substring("k", 1, 1).alias("g")).count().collect()
     share = {r.g: r["count"] for r in drawn}
     assert sum(share.values()) == 4000 and 0.06 < share["b"] / 4000 < 0.13  # weights 100 / 10 to 1
 
 
 def test_weighted_resample_is_as_large_as_its_rows(spark):
     rows = spark.createDataFrame([("a" if i < 9 else "b", f"k{i}") for i in range(6007)], "g string, k string")
-    drawn = sampling.weighted_resample(rows, "g", "k")
+    drawn = sampling.weighted_resample(sampling.resample_weights(rows, "g"), "k")
     assert drawn.count() == drawn.select("draw").distinct().count() == 6007
     assert drawn.join(rows, "k", "left_semi").count() == 6007
-    assert sampling.weighted_resample(rows.limit(0), "g", "k").count() == 0
+    assert sampling.weighted_resample(sampling.resample_weights(rows.limit(0), "g"), "k").count() == 0
+
+
+def test_natural_order_and_patients(spark):
+    names = ["p10_2.png", "p9_10.png", "p9_2.png", "P9_02.png", "p9_1a.png", "q1.png", "007_x", "7_a", "12"]
+    key = lambda s: [(0, int(t)) if t.isdigit() else (1, t) for t in __import__("re").findall(r"\d+|\D+", s.lower())]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").withColumn("k", sampling.natural_key(F.col("n")))
+    got = [r.n for r in rows.orderBy("k", "n").collect()]
+    assert got == sorted(names, key=lambda n: (key(n), n))
+    assert [r.p for r in rows.orderBy("k", "n").select(sampling.patient_of(F.col("n")).alias("p")).collect()] == [n.split("_")[0] for n in got]
 
 
 def test_numbering_by_blocks_is_the_global_order(spark):
