@@ -73,12 +73,21 @@ def bleu4(pairs: DataFrame) -> DataFrame:
 
 
 def similarity(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, ratio): matching blocks of the two word sequences."""
+    """(key, matched, words, ratio): words in the matching blocks of the two word sequences, words of both, and twice the
+    one over the other (1 if both are empty). Equal pairs are compared once a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ratios = [SequenceMatcher(None, list(r), list(h)).ratio() for r, h in zip(batch["r"], batch["h"], strict=True)]
-            yield pd.DataFrame({key: batch[key], "ratio": np.array(ratios, dtype=float)})
+            known: dict[tuple, int] = {}
+            matched = []
+            for r, h in zip(batch["r"], batch["h"], strict=True):
+                pair = (tuple(r), tuple(h))
+                if pair not in known:
+                    known[pair] = sum(m.size for m in SequenceMatcher(None, *pair).get_matching_blocks())
+                matched.append(known[pair])
+            words = batch["r"].map(len) + batch["h"].map(len)
+            found = np.array(matched, dtype=np.int64)
+            yield pd.DataFrame({key: batch[key], "matched": found, "words": words, "ratio": np.where(words > 0, 2.0 * found / np.maximum(words, 1), 1.0)})
 
     kind = dict(pairs.dtypes)[key]
-    return pairs.select(key, words_of(F.col("ref")).alias("r"), words_of(F.col("hyp")).alias("h")).mapInPandas(run, f"{key} {kind}, ratio double")
+    return pairs.select(key, words_of(F.col("ref")).alias("r"), words_of(F.col("hyp")).alias("h")).mapInPandas(run, f"{key} {kind}, matched long, words long, ratio double")

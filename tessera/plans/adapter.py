@@ -117,3 +117,12 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.posexplode("embedding"))
     grey = F.floor(F.col("col").cast("double") * 400 + 128).cast("long")
     return long.select("id", "label", (F.col("pos") % 8).cast("long").alias("x"), F.floor(F.col("pos") / 8).cast("long").alias("y"), grey.alias("g")).withColumn("fg", F.col("g") > 128)
+
+
+def image_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, w, h, px, mask, x0, y0, x1, y1): each vector as an 8 x 8 grey image in one binary column, with its mask and a box."""
+    found = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 400 + 128).cast("int")).alias("g")).where("size(g) = 64")
+    packed = lambda of: F.unhex(F.array_join(F.transform("g", lambda g: F.lpad(F.hex(of(g)), 2, "0")), ""))
+    i, eight = F.col("id"), F.lit(8).cast("long")
+    x0, y0 = i % 3, i % 2
+    return found.select("id", eight.alias("w"), eight.alias("h"), packed(lambda g: F.least(F.greatest(g, F.lit(0)), F.lit(255))).alias("px"), packed(lambda g: (g > 128).cast("int")).alias("mask"), x0.alias("x0"), y0.alias("y0"), (x0 + 3 + i % 4).alias("x1"), (y0 + 4 + i % 3).alias("y1"))

@@ -375,3 +375,22 @@ _flip = lambda name, source: f"{name} AS (SELECT id, {_ORIENT} AS o FROM (SELECT
 SQL["r06_flips"] = f"""{_with(PIXELS)}, w AS (SELECT *, CAST({_hash("id", "flip:")} % 8 AS INTEGER) AS way FROM px), m AS (SELECT id, way, fg, CASE WHEN way >= 4 THEN 7 - x ELSE x END AS x, y FROM w),
 t AS (SELECT id, way, fg, CASE way % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 7 - x ELSE 7 - y END AS x, CASE way % 4 WHEN 0 THEN y WHEN 1 THEN 7 - x WHEN 2 THEN 7 - y ELSE x END AS y FROM m),
 {_flip("before_t", "px")}, {_flip("after_t", "t")} SELECT way % 2 AS odd_turn, b.o AS before, a.o AS after, count(*) AS n FROM before_t b JOIN after_t a USING (id) JOIN (SELECT DISTINCT id, way FROM w) USING (id) GROUP BY ALL"""
+
+_BOXED = "im AS (SELECT id, x, y, least(255, greatest(0, g)) AS g, fg, id % 3 AS x0, id % 2 AS y0, id % 3 + 3 + id % 4 AS x1, id % 2 + 4 + id % 3 AS y1 FROM px), bx AS (SELECT *, x >= x0 AND x < x1 AND y >= y0 AND y < y1 AS inside FROM im)"
+SQL["i01_box_intensity"] = f"""{_with(PIXELS, _BOXED)}, a AS (SELECT id, count(*) AS n, CAST(sum(g) AS BIGINT) AS s1, CAST(sum(g * g) AS BIGINT) AS s2, min(g)::DOUBLE AS min, max(g)::DOUBLE AS max, quantile_cont(g::DOUBLE, 0.25) AS q25, quantile_cont(g::DOUBLE, 0.5) AS median, quantile_cont(g::DOUBLE, 0.75) AS q75 FROM bx WHERE inside GROUP BY id),
+r AS (SELECT id, CAST(sum(g) AS BIGINT) / count(*)::DOUBLE AS ring FROM bx WHERE NOT inside AND x >= x0 - 2 AND x < x1 + 2 AND y >= y0 - 2 AND y < y1 + 2 GROUP BY id)
+SELECT id, s1 / n::DOUBLE AS mean, median, {_mill("sqrt((n * s2 - s1 * s1) / (n * n)::DOUBLE)")} AS std_millionths, min, max, q25, q75, ring AS surround, s1 / n::DOUBLE - ring AS difference, CASE WHEN ring > 0 THEN s1 / n::DOUBLE / ring ELSE 'nan'::DOUBLE END AS ratio FROM a JOIN r USING (id)"""
+SQL["i04_blob_boxes"] = f"WITH b AS ({SQL['i04_components']}) SELECT id, area, x0, y0, x1, y1, area < 20 AS unannotated FROM b"
+_hex = lambda g, where, order="y, x": f"coalesce(string_agg(printf('%02X', {g}), '' ORDER BY {order}) FILTER ({where}), '')"
+SQL["i06_crops"] = f"""{_with(PIXELS, _BOXED)}, w AS (SELECT *, greatest(0, CAST(floor(x0 - (x1 - x0) * 0.25::DOUBLE) AS BIGINT)) AS a0, greatest(0, CAST(floor(y0 - (y1 - y0) * 0.25::DOUBLE) AS BIGINT)) AS b0, least(8, CAST(ceil(x1 + (x1 - x0) * 0.25::DOUBLE) AS BIGINT)) AS a1, least(8, CAST(ceil(y1 + (y1 - y0) * 0.25::DOUBLE) AS BIGINT)) AS b1 FROM bx),
+p AS (SELECT *, x >= a0 AND x < a1 AND y >= b0 AND y < b1 AS wide FROM w),
+f AS (SELECT c.id, c.i, c.j, coalesce(im.g, 0) AS g FROM (SELECT DISTINCT id, (x0 + x1) // 2 - 5 AS l, (y0 + y1) // 2 - 5 AS t, i, j FROM im, (SELECT unnest(range(10)) AS i), (SELECT unnest(range(10)) AS j)) c LEFT JOIN im ON im.id = c.id AND im.x = c.l + c.i AND im.y = c.t + c.j),
+fw AS (SELECT id, string_agg(printf('%02X', g), '' ORDER BY j, i) AS "window" FROM f GROUP BY id)
+SELECT p.id, any_value(x1 - x0) AS exact_w, any_value(y1 - y0) AS exact_h, any_value(a1 - a0) AS padded_w, any_value(b1 - b0) AS padded_h, {_hex("g", "inside")} AS exact, {_hex("g", "wide")} AS padded,
+{_hex("CASE WHEN fg THEN g ELSE CAST(floor(g::FLOAT * 0.35::FLOAT) AS BIGINT) END", "wide")} AS highlighted, any_value(fw."window") AS "window" FROM p JOIN fw ON fw.id = p.id GROUP BY p.id"""
+SQL["i10_letterbox"] = f"{_with(PIXELS)} SELECT id, x + 1 AS x, y, g FROM px WHERE x < 5"
+SQL["s07_shards_last_wins"] = SQL["w06_last_wins"]
+SQL["s08_config"] = SQL["g01_thresholds"]
+SQL["s10_features_csv"] = f"{_with(LESIONS)} SELECT lesion_id, split, bbox_width, center_x_norm FROM les"
+SQL["s15_datasets"] = f"WITH w AS ({SQL['w02_unambiguous_prompts']}) SELECT 'size_region' AS prompt_group, split, count_if(shape <> 'tall')::BIGINT AS written, count_if(shape = 'tall')::BIGINT AS skipped, count_if(shape <> 'tall')::BIGINT AS read, count(DISTINCT prompt) FILTER (shape <> 'tall') AS prompts FROM w GROUP BY split"
+SQL["s02_negatives"] = f"{_with(IMAGES)} SELECT split, count(*) AS images, count_if(image NOT IN (SELECT l_orderkey FROM lineitem))::BIGINT AS negatives FROM images GROUP BY split"

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import boxes as B
 from tessera.functions import vocabulary as V
-from tessera.operators import augment, captions, detection, matching, models, pixels, prompts, sampling, text
+from tessera.operators import augment, captions, detection, matching, measures, models, pixels, prompts, sampling, text
 from tessera.operators.thresholds import distribution, fit_thresholds
 from tessera.plans import adapter as A
+from tessera.sources import images, records
 
 QUERIES = {}
 
@@ -532,6 +533,95 @@ def w10_deciles(spark, sf_dir):
     return fg.join(edge, "id").groupBy("id", tenth.alias("tenth")).agg((F.max("x") - F.min("x")).alias("width"), F.count("*").alias("n"))
 
 
+@query
+def i01_box_intensity(spark, sf_dir):
+    """Grey values of a box, against those of the box widened by two pixels."""
+    found = measures.intensities(A.image_rows(spark, sf_dir), margin=2)
+    return found.select("id", "mean", "median", B.millionths(F.col("std")).alias("std_millionths"), "min", "max", "q25", "q75", "surround", "difference", "ratio")
+
+
+@query
+def i03_box_texture(spark, sf_dir):
+    return measures.textures(A.image_rows(spark, sf_dir))
+
+
+@query
+def i05_lesion_measures(spark, sf_dir):
+    return measures.lesions_measured(A.image_rows(spark, sf_dir), ring_px=2)
+
+
+@query
+def i08_extra_measures(spark, sf_dir):
+    return measures.extra_measures(A.image_rows(spark, sf_dir))
+
+
+@query
+def i04_blob_boxes(spark, sf_dir):
+    """Components of each mask by union of runs, on binary images; the least ones are no annotation's."""
+    return measures.components_of(A.image_rows(spark, sf_dir)).drop("blob")
+
+
+@query
+def i06_crops(spark, sf_dir):
+    found = measures.cropped(A.image_rows(spark, sf_dir), pad=0.25, window=10)
+    return found.select("id", "exact_w", "exact_h", "padded_w", "padded_h", *(F.hex(c).alias(c) for c in ("exact", "padded", "highlighted", "window")))
+
+
+@query
+def i10_letterbox(spark, sf_dir):
+    """Images without their last three columns, centred in a square again."""
+    cut = A.pixels(spark, sf_dir).where("x < 5").select(F.col("id").alias("name"), "x", "y", "g")
+    sizes = cut.groupBy("name").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    return images.letterboxed(cut, sizes).withColumnRenamed("name", "id")
+
+
+# ---------------------------------------------------------------- sources and sinks, through files of the shared folder
+
+
+@query
+def s07_shards_last_wins(spark, sf_dir):
+    """Answers in three shard folders, read by one glob: of repeated ones the last shard's stands."""
+    folder = records.fresh_folder(spark, "shards")
+    rows = A.predictions(_test_rows(spark, sf_dir)).select("condition", "lesion_id", "pk")
+    for k in range(3):
+        records.write_lines(rows.where(F.col("pk") % 3 >= k).select("condition", "lesion_id", F.lit(k).alias("shard")), f"{folder}/answers_shard{k}")
+    found = records.read_lines(spark, f"{folder}/answers_shard*", "condition string, lesion_id string, shard int")
+    return matching.last_wins(found, ["condition", "lesion_id"], [F.desc("file")]).select("condition", "lesion_id", "shard")
+
+
+@query
+def s08_config(spark, sf_dir):
+    """Thresholds written as a configuration and read again."""
+    folder = records.fresh_folder(spark, "thresholds")
+    limits = g01_thresholds(spark, sf_dir)
+    records.write_config(limits, folder)
+    return records.read_config(spark, folder, ", ".join(f"{n} {k}" for n, k in limits.dtypes))
+
+
+@query
+def s10_features_csv(spark, sf_dir):
+    """The feature table as CSV with enough digits to come back whole, read again."""
+    folder = records.fresh_folder(spark, "features")
+    records.write_features(A.lesions(spark, sf_dir), folder, ["lesion_id", "split", "bbox_width", "center_x_norm"], digits=17)
+    return records.read_table(spark, folder, "lesion_id string, split string, bbox_width double, center_x_norm double")
+
+
+@query
+def s15_datasets(spark, sf_dir):
+    """Training rows as folders by group and split; those without a target are left out and counted."""
+    folder = records.fresh_folder(spark, "datasets")
+    rows = w02_unambiguous_prompts(spark, sf_dir).withColumns({"prompt_group": F.lit("size_region"), "image": F.concat("lesion_id", F.lit(".png")), "prefix": F.col("prompt"), "suffix": F.when(F.col("shape") != "tall", F.col("suffix")).otherwise("")})
+    counted = records.write_datasets(rows, folder)
+    back = spark.read.schema("prompt_group string, split string, image string, prefix string, suffix string").json(folder).groupBy("prompt_group", "split").agg(F.count("*").alias("read"), F.countDistinct("prefix").alias("prompts"))
+    return counted.join(back, ["prompt_group", "split"], "left")
+
+
+@query
+def s02_negatives(spark, sf_dir):
+    """Images without annotations, by split."""
+    return records.negatives(A.images(spark, sf_dir), A.annotations(spark, sf_dir), "image", "split")
+
+
 # ---------------------------------------------------------------- sampling and text
 
 
@@ -586,7 +676,9 @@ def g26_bleu4(spark, sf_dir):
 
 @query
 def g27_similarity(spark, sf_dir):
-    return text.similarity(_caption_pairs(spark, sf_dir), "lesion_id")
+    """Matching words of the matching blocks, and their share of all words in millionths."""
+    found = text.similarity(_caption_pairs(spark, sf_dir), "lesion_id")
+    return found.select("lesion_id", "matched", "words", B.millionths(F.col("ratio")).alias("ratio_millionths"))
 
 
 @query

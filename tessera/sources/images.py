@@ -13,12 +13,33 @@ from pyspark.sql import functions as F
 WEIGHTS = (1868, 9617, 4899)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(name, w, h, channels, data): data is row by row, blue first."""
-    found = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
     return found.select(F.element_at(F.split("origin", "/"), -1).alias("name"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data")
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(name, w, h, channels, data): data is row by row, blue first. Files that don't decode are in `unreadable`."""
+    return _decoded(spark, path).where("channels > 0")
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(name, error) of the files that don't decode."""
+    return _decoded(spark, path).where("channels <= 0").select("name", F.lit("unreadable_image").alias("error"))
+
+
+def same_channels(images: DataFrame) -> DataFrame:
+    """(name, channels, identical): whether all channels of an image hold the same values."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                raw = np.frombuffer(row.data, np.uint8).reshape(-1, row.channels)
+                yield pd.DataFrame({"name": [row.name], "channels": [row.channels], "identical": [bool((raw == raw[:, :1]).all())]})
+
+    return images.select("name", "channels", "data").mapInPandas(run, "name string, channels int, identical boolean")
+
+
 def image_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(name, w, h): write this once and join it, as decoding is not skipped by column pruning."""
     return read_images(spark, path).select("name", "w", "h")

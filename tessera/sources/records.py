@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,5 +83,25 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 
 def render_report(rows: DataFrame, limit: int = 1000) -> str:
-    """A small result as text: one JSON object a line."""
-    return "\n".join(json.dumps(r.asDict(recursive=True), default=str) for r in rows.limit(limit).collect())
+    """A small result as text: one JSON object a line. More than `limit` rows are an error; write_lines takes any number."""
+    found = rows.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} rows: write them with write_lines instead")
+    return "\n".join(json.dumps(r.asDict(recursive=True), default=str) for r in found)
+
+
+def negatives(images: DataFrame, annotations: DataFrame, on: str, *by: str) -> DataFrame:
+    """How many images there are and how many have no annotation, by the given columns."""
+    known = annotations.select(on).distinct().withColumn("_known", F.lit(True))
+    return images.join(known, on, "left").groupBy(*by).agg(F.count("*").alias("images"), F.count_if(F.col("_known").isNull()).alias("negatives"))
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; a temporary one in local sessions."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
