@@ -1,7 +1,9 @@
 """Licence scans: Dice coefficient over word bigrams, native DataFrame code throughout.
 
-A text is cut into segments at line ends and sentence ends, and once more at sentence ends and blank lines alone,
-for statements that are wrapped over lines. Segments and templates are normalised alike: lower case, everything but
+A text is cut into segments at line ends and sentence ends, and, where a sentence goes on over a line end, once more at
+sentence ends and blank lines alone, for statements that are wrapped over lines. A segment of several clauses (parts
+between commas, colons, semicolons, brackets or quotes) is compared whole and clause by clause, so a statement inside a
+longer sentence is found. Segments, clauses and templates are normalised alike: lower case, everything but
 letters and digits is a space. The coefficient of two sets of distinct bigrams of sizes a and b with c in common is
 2c / (a + b); at least `percent` of it asks for a size between percent / (200 - percent) of the template's and the
 inverse. So candidate templates come from an equi-join on size: each template is listed under every size within its
@@ -9,7 +11,9 @@ bounds. Before that, a segment must hold one of the template bigrams of which, b
 without all. A segment's characters have no upper bound: blanks, decoration and repetition add no bigrams. Nothing is
 shuffled but the matches.
 
-Null, empty and one-word texts match nothing (a template has at least one bigram). Repeated rows and lines count each.
+Null, empty and one-word texts match nothing (a template has at least one bigram). Repeated rows, lines and clauses
+count each; rows of one id, null included, count together. Templates of one word are ignored. An empty table gives no
+rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 PERCENT = 80
 _NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Every line end inside a sentence is found by the first; what the second parts are clauses.
+_WRAPPED, _CLAUSE = r"[^.!?\s]\s*\n\s*\S", r"[,;:()\[\]\"]+"
+_BLANK = " \t\n\x0b\f\r"
 _FINE, _COARSE = r"\n|(?<=[.!?])[ \t\r]+", r"(?<=[.!?])\s+|\n\s*\n"
 
 
@@ -82,17 +89,25 @@ def licence_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     lowest, highest = min(n for n, *_ in listed), max(n for n, *_ in listed)
 
     text = F.col("text")
-    wrapped = F.filter(F.split(text, _COARSE), lambda s: F.contains(s, F.lit("\n")))
+    wrapped = F.filter(F.split(text, _COARSE), lambda s: F.contains(F.btrim(s, F.lit(_BLANK)), F.lit("\n")))
+    wrapped = F.when(text.rlike(_WRAPPED), wrapped).otherwise(F.array().cast("array<string>"))
+    clauses = F.transform(F.split("segment", _CLAUSE), lambda c: bigrams(normal_words(c)))
+    clauses = F.when(F.col("segment").rlike(_CLAUSE), clauses).otherwise(F.array().cast("array<array<string>>"))
+    needed = F.arrays_overlap("found", F.array(*(F.lit(x) for x in sorted(needles))))
     segments = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where("text is not null")
         .select("id", F.explode(F.concat(F.split(text, _FINE), wrapped)).alias("segment"))
         .where(F.length("segment") >= 2 * lowest)
-        .select("id", normal_words(F.col("segment")).alias("words"))
+        .select("id", "segment", normal_words(F.col("segment")).alias("words"))
         .where(F.size("words") > lowest)
-        .select("id", bigrams(F.col("words")).alias("found"))
+        .select("id", "segment", bigrams(F.col("words")).alias("found"))
+        # a clause's bigrams are among its segment's
+        .where(F.size("found") >= lowest)
+        .where(needed)
+        .select("id", F.explode(F.concat(F.array("found"), clauses)).alias("found"))
         .where(F.size("found").between(lowest, highest))
-        .where(F.arrays_overlap("found", F.array(*(F.lit(x) for x in sorted(needles)))))
+        .where(needed)
         .withColumn("n", F.size("found"))
     )
     common = F.size(F.array_intersect("found", "model"))

@@ -60,8 +60,9 @@ OP4_SQL = f"""
 WITH t AS (SELECT k, licence, {_PAIRS} AS bi FROM (SELECT k, licence, {_NORMAL % "statement"} AS ws FROM (VALUES {_STATEMENTS}) AS v(k, licence, statement))),
 c AS (SELECT doc_id, unnest(list_concat(
         string_split(regexp_replace(text, '\\n|([.!?])[ \\t\\r]+', '\\1' || chr(1), 'g'), chr(1)),
-        list_filter(string_split(regexp_replace(text, '([.!?])\\s+|\\n\\s*\\n', '\\1' || chr(1), 'g'), chr(1)), lambda s: contains(s, chr(10))))) AS segment FROM documents),
-s AS (SELECT doc_id, {_PAIRS} AS bi FROM (SELECT doc_id, {_NORMAL % "segment"} AS ws FROM c)),
+        list_filter(string_split(regexp_replace(text, '([.!?])\\s+|\\n\\s*\\n', '\\1' || chr(1), 'g'), chr(1)), lambda s: contains(trim(s, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), chr(10))))) AS segment FROM documents),
+u AS (SELECT doc_id, unnest(list_concat([segment], CASE WHEN regexp_matches(segment, '[,;:()\\[\\]"]') THEN string_split_regex(segment, '[,;:()\\[\\]"]+') ELSE [] END)) AS unit FROM c),
+s AS (SELECT doc_id, {_PAIRS} AS bi FROM (SELECT doc_id, {_NORMAL % "unit"} AS ws FROM u)),
 m AS (SELECT s.doc_id, t.licence, len(list_intersect(s.bi, t.bi)) AS c, len(s.bi) AS n, len(t.bi) AS m FROM s JOIN t
       ON len(s.bi) * 200 >= {PERCENT} * (len(s.bi) + len(t.bi)) AND len(t.bi) * 200 >= {PERCENT} * (len(s.bi) + len(t.bi))
       WHERE len(list_intersect(s.bi, t.bi)) * 200 >= {PERCENT} * (len(s.bi) + len(t.bi)))

@@ -208,6 +208,50 @@ def test_long_lines_of_few_bigrams_match(table):
     assert got[(0, "MIT")] == (1, 1.0) and got[(1, "CC-BY-4.0")] == (1, 10 / 11)
 
 
+def test_statements_inside_longer_sentences(table):
+    docs = [(0, "Note that this program, Released under the MIT License, is provided to you, dear reader, as it stands."), (1, "The text (licensed under CC BY 4.0) and the pictures; all of them: nice."), (2, "We, released, under the, MIT, license."), (None, 'It says "Licensed under CC BY-NC 4.0" at the end'), (None, None), (3, "Licensed under the Apache License, Version 2.0.")]
+    got = {(r.doc_id, r.licence): (r.n_segments, r.dice) for r in licences.licence_scan(table(docs, "doc_id long, text string", ("licence", "segment", "found", "words"))).collect()}
+    assert got == {(0, "MIT"): (1, 1.0), (1, "CC-BY-4.0"): (1, 1.0), (2, "MIT"): (1, pytest.approx(got[(2, "MIT")][1])), (None, "CC-BY-NC-4.0"): (1, 1.0), (3, "Apache-2.0"): (1, 1.0)}
+
+
+def plain_licences(docs):
+    """{(document, licence): (matching units, best coefficient)} by brute force over all units and templates."""
+    def pairs(text):
+        ws = re.sub(r"[^\w]|_", " ", text.lower()).split()
+        return set(zip(ws, ws[1:], strict=False))
+
+    out = {}
+    for doc, text in docs:
+        for fine, coarse in ((re.split(r"\n|(?<=[.!?])[ \t\r]+", text or ""), [s for s in re.split(r"(?<=[.!?])\s+|\n\s*\n", text or "") if "\n" in s.strip()]),):
+            for segment in fine + coarse:
+                for unit in [segment, *(re.split(r"[,;:()\[\]\"]+", segment) if re.search(r"[,;:()\[\]\"]", segment) else [])]:
+                    own = pairs(unit)
+                    for licence, statement in licences.TEMPLATES:
+                        model = pairs(statement)
+                        if own and 200 * len(own & model) >= 80 * (len(own) + len(model)):
+                            n, best = out.get((doc, licence), (0, 0.0))
+                            out[doc, licence] = n + 1, max(best, 2 * len(own & model) / (len(own) + len(model)))
+    return out
+
+
+def test_licences_against_all_pairs(table):
+    draw = random.Random(14)
+    docs = []
+    for i in range(150):
+        parts = []
+        for _ in range(draw.randrange(1, 6)):
+            words_ = draw.choice(licences.TEMPLATES)[1].split() if draw.random() < 0.6 else prose(draw, draw.choice([3, 20])).split()
+            for _ in range(draw.choice([0, 0, 1, 4])):
+                words_[draw.randrange(len(words_))] = draw.choice(WORDS)
+            if draw.random() < 0.3:
+                words_[draw.randrange(len(words_))] += "\n"
+            parts.append(" ".join(words_) + draw.choice(["", ".", ", and so on.", ";"]))
+        docs.append((i, draw.choice([" ", "\n", "\n\n", " (see) "]).join(parts)))
+    docs += [(500, None), (501, ""), (502, "\nReleased under the MIT License."), (503, licences.TEMPLATES[4][1] + " - " * 9_000)]
+    got = {(r.doc_id, r.licence): (r.n_segments, r.dice) for r in licences.licence_scan(table(docs, "doc_id long, text string")).collect()}
+    assert got == plain_licences(docs) and len(got) > 60
+
+
 def test_size_bounds_never_lose_a_match():
     for size in range(1, 60):
         least, most = licences.bounds(size, 80)
