@@ -175,7 +175,7 @@ def _without(docs: DataFrame, items: list, text_col: str, percent: int, width: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([text for _, text in sent.value], percent, width)
-        for batch in batches:
+        for batch in W.runs(batches):
             clean = np.ones(batch.num_rows, dtype=bool)
             for lo, _, hashed, bounds in W.words(batch.column(place)):
                 for r, _, _ in index.search(hashed, bounds):

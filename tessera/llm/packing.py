@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import words as W
 from tessera.llm.tokens import encoder
 
 GROUP = 1 << 20
@@ -156,7 +157,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         held, tokens, first = [], 0, TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in W.runs(batches):
             held_type[0] = batch.schema.field(0).type
             for name, ids in zip(batch.column(0).to_pylist(), encode.rows(batch.column(1), end_id), strict=True):
                 held.append((name, ids))

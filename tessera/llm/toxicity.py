@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.runs(batches):
             evidence, passages = [], []
             for n, segments, starts, ends in row_segments(model, batch.column(1)):
                 evidence.append(model.evidence(segments, n))
@@ -281,7 +281,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.runs(batches):
             evidence = [model.evidence(segments, n) for n, segments, _, _ in row_segments(model, batch.column(place))]
             yield batch.filter(pa.array(model.probability(np.array(evidence, dtype=float)) < threshold))
 

@@ -57,26 +57,39 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string array; null counts as empty."""
+    """Bytes and row offsets of a string array, without a copy of the bytes; null counts as empty."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
-    if not pa.types.is_large_string(array.type):
+    if not (pa.types.is_string(array.type) or pa.types.is_large_string(array.type)):
         array = array.cast(pa.large_string())
     if array.null_count:
         array = array.fill_null("")
-    offsets = np.frombuffer(array.buffers()[1], dtype=np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(array.type) else np.int32
+    offsets = np.frombuffer(array.buffers()[1], dtype=kind)[array.offset : array.offset + len(array) + 1].astype(np.int64) if len(array) else np.zeros(1, np.int64)
     data = np.frombuffer(array.buffers()[2], dtype=np.uint8) if array.buffers()[2] else np.zeros(0, np.uint8)
     return data, offsets
 
 
+#: Rows whose offsets are looked at, and nulls filled, at once.
+SLICE_ROWS = 1024
+
+
 def slices(array: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) for runs of rows of about `most` bytes; a longer row comes alone."""
-    data, offsets = raw(array)
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
-        yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        lo = hi
+    for first in range(0, len(array), SLICE_ROWS):
+        data, offsets = raw(array.slice(first, SLICE_ROWS))
+        lo, n = 0, len(offsets) - 1
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1)
+            yield first + lo, first + hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE_ROWS rows, so that what is made of one stays small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(first, SLICE_ROWS)
 
 
 #: Also every ASCII byte that is neither a letter nor a digit parts words.
