@@ -155,7 +155,7 @@ def _pairs(docs: DataFrame, items: list, percent: int, width: int, kind: str) ->
                 names=["id", "key", "n_item", "n_shared"],
             )
 
-    return docs.mapInArrow(run, f"id {kind}, key long, n_item long, n_shared long")
+    return docs.mapInArrow(W.tidy(run), f"id {kind}, key long, n_item long, n_shared long")
 
 
 def contained_items(
@@ -182,7 +182,7 @@ def _without(docs: DataFrame, items: list, text_col: str, percent: int, width: i
                     clean[lo + r] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidy(run), docs.schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:

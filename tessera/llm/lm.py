@@ -344,7 +344,7 @@ def _summed(trained: DataFrame, tasks: int) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array([(total / weight).tobytes()], pa.binary()), pa.array([weight])], names=["x", "w"])
 
     if tasks > FAN:
-        trained = trained.repartition(FAN).mapInArrow(run, "x binary, w double")
+        trained = trained.repartition(FAN).mapInArrow(W.tidy(run), "x binary, w double")
     found = sorted((r.w, bytes(r.x)) for r in trained.collect())  # FAN at most
     weight = sum(w for w, _ in found)
     return sum(np.frombuffer(x, "<f8") * (w / weight) for w, x in found) if found else None
@@ -373,7 +373,7 @@ def train(chunks: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([trainer.model.flat().astype("<f8").tobytes()], pa.binary()), pa.array([float(seen)])], names=["x", "w"])
 
-        flat = _summed(chunks.select("chunk", "held", "bounds", "codes", "vocabulary", "shapes").mapInArrow(run, "x binary, w double"), tasks)
+        flat = _summed(chunks.select("chunk", "held", "bounds", "codes", "vocabulary", "shapes").mapInArrow(W.tidy(run), "x binary, w double"), tasks)
         if flat is not None:
             model = model.refilled(flat)
     return model
@@ -415,11 +415,11 @@ def _scored(model: Model, counts: Counts):
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chunks of tokens, as a table of the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held"))
-    return stored(rows.mapInArrow(_chunks, _CHUNK), "chunks")
+    return stored(rows.mapInArrow(W.tidy(_chunks), _CHUNK), "chunks")
 
 
 def _words_of(chunks: DataFrame, common: np.ndarray | None = None) -> DataFrame:
-    return chunks.select("chunk", "vocabulary", "counts", "shapes").mapInArrow(_listed(common), "chunk long, place int, word long, n long, shape int")
+    return chunks.select("chunk", "vocabulary", "counts", "shapes").mapInArrow(W.tidy(_listed(common)), "chunk long, place int, word long, n long, shape int")
 
 
 def scored(chunks: DataFrame, back: DataFrame, model: Model, counts: Counts) -> DataFrame:

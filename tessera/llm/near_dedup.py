@@ -113,7 +113,7 @@ def _sets_of(percent: int, width: int):
 
 def shingle_signatures(texts: DataFrame, percent: int, width: int = 5) -> DataFrame:
     """texts (id, text, hash) to (id, hash, n_shingles, h1, h2, signature)."""
-    return texts.mapInArrow(_sets_of(percent, width), _SETS)
+    return texts.mapInArrow(W.tidy(_sets_of(percent, width)), _SETS)
 
 
 def _bands_of(percent: int):
@@ -248,7 +248,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
     """Of pairs (a, b) of classes, those whose full shingle sets are similar."""
     own = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), classes, texts), "texts")
     joined = pairs.join(own.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInArrow(_exact(percent, width), "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(W.tidy(_exact(percent, width)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(full.groupBy("h1", "h2").agg(F.min(F.struct("id", "hash")).alias("first")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     reps = stored(full.join(classes, ["h1", "h2"]).where("id = first.id").groupBy("rep").agg(F.max("signature").alias("signature")), "reps")
 
-    banded = reps.mapInArrow(_bands_of(percent), "rep long, bucket long")
+    banded = reps.mapInArrow(W.tidy(_bands_of(percent)), "rep long, bucket long")
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(banded.join(shared, "bucket"), "members")
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = stored(leaders, "leaders")
     pairs = members.join(leaders, "bucket").where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     signed = pairs.join(reps.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-    tried = stored(signed.select("a", "b", "sa", "sb").mapInArrow(_pruned(percent), "a long, b long"), "survivors")
+    tried = stored(signed.select("a", "b", "sa", "sb").mapInArrow(W.tidy(_pruned(percent)), "a long, b long"), "survivors")
     # rows that share an id may stand in different classes; the least of them is linked with each other one
     places = full.join(classes, ["h1", "h2"]).select("id", "rep")
     spread = places.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("id", "b")
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     dealt = stored(dealt, "dealt")
     folder = fresh_path(docs.sparkSession, "sets")
-    places = texts_of(dealt.select("rep").distinct(), classes, texts).mapInArrow(_placed(folder, width), "rep long, file string, at long, n long")
+    places = texts_of(dealt.select("rep").distinct(), classes, texts).mapInArrow(W.tidy(_placed(folder, width)), "rep long, file string, at long, n long")
     own = stored(places.join(reps, "rep"), "compared")
     across = dealt.join(own, "rep").groupBy("bucket", "kind", "i", "j").applyInPandas(_across(percent, folder), "a long, b long")
     links = stored(links.unionByName(across), "links")

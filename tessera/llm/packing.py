@@ -176,4 +176,4 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = f"id {kind}, " + ", ".join(f"{c} long" for c in _FIELDS[1:7]) + ", ids binary" * with_ids
-    return narrow.mapInArrow(run, kinds).withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(W.tidy(run), kinds).withColumnRenamed("id", id_col)

@@ -39,6 +39,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import words as W
 from tessera.llm.store import fresh_path, stored
 from tessera.llm.tokens import encoder
 
@@ -234,7 +235,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             yield closed()
 
     order = ["id", "hash", "place"]
-    written = stored(narrow.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, _MANIFEST), "token-manifest")
+    written = stored(narrow.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(W.tidy(run), _MANIFEST), "token-manifest")
     totals = written.groupBy("task").agg(F.sum("tokens").alias("n")).orderBy("task").collect()  # MOST_TASKS at most
     starts = np.cumsum([0, *(r.n for r in totals)]).tolist()
     begun = spark.createDataFrame([(r.task, s) for r, s in zip(totals, starts, strict=False)], "task int, begin long")
@@ -262,7 +263,7 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         yield _batch(rows, names, kinds)
 
     tasks = min(MOST_TASKS, max(1, manifest.count()))
-    return manifest.repartitionByRange(tasks, "task", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return manifest.repartitionByRange(tasks, "task", "shard").mapInArrow(W.tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:

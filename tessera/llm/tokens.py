@@ -25,6 +25,8 @@ from tessera.llm import words as W
 #: Parts that a worker remembers; beyond it the memo starts anew. About 45 bytes each.
 MEMO = 1_500_000
 SLICE = 1 << 20
+#: Slices after which freed memory goes back to the system: the memo's copies break up the heap.
+TURNS = 32
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 13, 32]] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -87,6 +89,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cuttable = settings_digest(path) in CUTTABLE
+        self.turns = 0
         self._forget()
 
     def _forget(self) -> None:
@@ -116,6 +119,9 @@ class Encoder:
     def slices(self, array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids, bounds of the rows in ids); null counts as empty."""
         for lo, hi, data, offsets in W.slices(array, SLICE):
+            self.turns += 1
+            if self.turns % TURNS == 0:
+                W.release()
             if self.cuttable:
                 ids, bounds, mistaken = self._slice(data, offsets)
                 odd = np.union1d(_odd_rows(data, offsets), mistaken)

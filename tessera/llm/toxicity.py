@@ -178,7 +178,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     """(id, text, y): at most `rows` labelled ids with a text each, copies once."""
     chosen = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y")).where("id is not null and y in (0, 1)").orderBy(F.xxhash64("id"), "id").limit(rows)
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    keyed = stored(narrow.join(F.broadcast(chosen), "id").select("id", "text", "y").mapInArrow(_digested, "id long, text string, y int, h1 long, h2 long"), "toxicity-rows")
+    keyed = stored(narrow.join(F.broadcast(chosen), "id").select("id", "text", "y").mapInArrow(W.tidy(_digested), "id long, text string, y int, h1 long, h2 long"), "toxicity-rows")
     one_text = keyed.groupBy("id").agg(F.min(F.struct("h1", "h2", "y")).alias("d"))
     once = one_text.groupBy("d").agg(F.min("id").alias("id")).select("id", "d.*")  # at most `rows`
     return keyed.join(F.broadcast(once), ["id", "h1", "h2", "y"], "left_semi").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): the caller leaves out what must not be learnt from."""
     train = stored(training_rows(docs, labels, rows), "toxicity-train")
     counts = stored(
-        train.mapInArrow(_counted, "feature long, y long, tokens long, docs long")
+        train.mapInArrow(W.tidy(_counted), "feature long, y long, tokens long, docs long")
         .groupBy("feature")
         .agg(*[F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for c in ("tokens", "docs") for y in (0, 1)])
         .where(f"docs1 >= {LEAST_DOCS} or feature = 0"),
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             found = [(n, sum(s for _, _, s in segments)) for n, segments, _, _ in row_segments(Model(sent.features, sent.weights, 0.0), batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()), batch.column("y")], names=["n", "s", "y"])
 
-    clean = train.mapInArrow(sums, "n long, s double, y int").where("y = 0").agg(F.sum("s"), F.sum("n")).first()
+    clean = train.mapInArrow(W.tidy(sums), "n long, s double, y int").where("y = 0").agg(F.sum("s"), F.sum("n")).first()
     model.drift = max(0.02, 4 * (clean[0] or 0.0) / max(clean[1] or 1, 1))
 
     def measured(of) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                 found = [(n, of(segments, n)) for n, segments, _, _ in row_segments(sent, batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()), batch.column("y")], names=["n", "x", "y"])
 
-        rows_ = train.mapInArrow(run, "n long, x double, y int").toPandas()  # three numbers a training row
+        rows_ = train.mapInArrow(W.tidy(run), "n long, x double, y int").toPandas()  # three numbers a training row
         return np.maximum(rows_["n"].to_numpy(), 1), rows_["x"].to_numpy(), rows_["y"].to_numpy()
 
     n, top, y = measured(lambda segments, _: max((s for _, _, s in segments), default=0.0))
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.probability(np.array(evidence, dtype=float))), pa.array(passages, pa.list_(passage))], names=["id", "score", "passages"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, score double, passages array<struct<start: long, end: long, score: double>>").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(W.tidy(run), f"id {kind}, score double, passages array<struct<start: long, end: long, score: double>>").withColumnRenamed("id", id_col)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -285,7 +285,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_c
             evidence = [model.evidence(segments, n) for n, segments, _, _ in row_segments(model, batch.column(place))]
             yield batch.filter(pa.array(model.probability(np.array(evidence, dtype=float)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.tidy(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
