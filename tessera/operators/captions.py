@@ -37,6 +37,11 @@ def answer_counts(answers: DataFrame, *keys: str) -> DataFrame:
     return answers.groupBy("prompt_type", "facts", *V.FACTS, "pred", *keys).agg(F.count("*").alias("weight"))
 
 
+def weighted(rows: DataFrame) -> DataFrame:
+    """rows with a weight: 1 where they have none."""
+    return rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1).cast("long"))
+
+
 def _n():
     return F.sum("weight")
 
@@ -47,8 +52,7 @@ def _n_if(condition):
 
 def facts_long(answers: DataFrame) -> DataFrame:
     """One row per answer and fact asked for: truth, got (null if not stated), ok, and weight (1 if answers have none)."""
-    if "weight" not in answers.columns:
-        answers = answers.withColumn("weight", F.lit(1).cast("long"))
+    answers = weighted(answers)
     said = V.parsed(V.clean(F.col("pred")))
     every = F.array(*(F.struct(F.lit(f).alias("fact"), F.col(f).alias("truth"), said[f].alias("got")) for f in V.FACTS))
     asked = F.filter(every, lambda e: F.array_contains(F.col("facts"), e["fact"]))
@@ -59,14 +63,14 @@ def facts_long(answers: DataFrame) -> DataFrame:
 def fact_accuracy(long: DataFrame, best: DataFrame, classes: DataFrame) -> DataFrame:
     """(prompt_type, fact, n, accuracy, stated, baseline, chance); best and classes have one row per fact."""
     n = _n()
-    joined = long.join(F.broadcast(best.select("fact", F.col("label").alias("major"))), "fact").join(F.broadcast(classes), "fact")
+    joined = weighted(long).join(F.broadcast(best.select("fact", F.col("label").alias("major"))), "fact").join(F.broadcast(classes), "fact")
     share = lambda c: _n_if(c) / n
     return joined.groupBy("prompt_type", "fact").agg(n.alias("n"), share(F.col("ok")).alias("accuracy"), share(F.col("got").isNotNull()).alias("stated"), share(F.col("truth") == F.col("major")).alias("baseline"), (F.lit(1.0) / F.max("classes")).alias("chance"))
 
 
 def balanced_accuracy(long: DataFrame) -> DataFrame:
     """(prompt_type, fact, balanced): mean over the true classes of their recall."""
-    per_class = long.groupBy("prompt_type", "fact", "truth").agg((_n_if(F.col("ok")) / _n()).alias("recall"))
+    per_class = weighted(long).groupBy("prompt_type", "fact", "truth").agg((_n_if(F.col("ok")) / _n()).alias("recall"))
     return per_class.groupBy("prompt_type", "fact").agg((F.sum(F.floor(F.col("recall") * 1e6 + 0.5).cast("long")) / (F.count("*") * 1e6)).alias("balanced"))
 
 
@@ -81,14 +85,14 @@ def _rank(fact, label):
 def ordinal_stats(long: DataFrame) -> DataFrame:
     """(prompt_type, fact, n, within_one, level_error) of the pairs where both sides have a place in the order."""
     gap = F.abs(_rank(F.col("fact"), F.col("truth")) - _rank(F.col("fact"), F.col("got")))
-    ranked = long.withColumn("gap", gap).where("gap is not null")
+    ranked = weighted(long).withColumn("gap", gap).where("gap is not null")
     return ranked.groupBy("prompt_type", "fact").agg(_n().alias("n"), (_n_if(F.col("gap") <= 1) / _n()).alias("within_one"), (F.sum(F.col("gap") * F.col("weight")) / _n()).alias("level_error"))
 
 
 def confusion(long: DataFrame) -> DataFrame:
     """(fact, truth, one column per possible answer), zero-filled."""
     answers = ["low", "mid", "high", "vertical", "diagonal", "horizontal", "none", NONE]
-    answered = long.select("fact", "truth", F.coalesce("got", F.lit(NONE)).alias("answered"), "weight")
+    answered = weighted(long).select("fact", "truth", F.coalesce("got", F.lit(NONE)).alias("answered"), "weight")
     wide = answered.groupBy("fact", "truth").pivot("answered", answers).agg(_n()).na.fill(0)
     return wide.withColumnRenamed(NONE, "none_stated").withColumnRenamed("none", "no_axis")
 
@@ -114,7 +118,7 @@ def exact_rates(answers: DataFrame) -> DataFrame:
 
 def top_errors(long: DataFrame, k: int = 4) -> DataFrame:
     """(fact, truth, answered, n, place) of the k most frequent wrong answers of each fact."""
-    wrong = long.where("not ok").groupBy("fact", "truth", F.coalesce("got", F.lit(NONE)).alias("answered")).agg(_n().alias("n"))
+    wrong = weighted(long).where("not ok").groupBy("fact", "truth", F.coalesce("got", F.lit(NONE)).alias("answered")).agg(_n().alias("n"))
     return wrong.withColumn("place", F.row_number().over(Win.partitionBy("fact").orderBy(F.desc("n"), "truth", "answered"))).where(F.col("place") <= k)
 
 
@@ -123,7 +127,7 @@ def bootstrap_interval(long: DataFrame, replicates: int = 500) -> DataFrame:
 
     Draw i of replicate r is patient number hash(r, i) mod patients. Rows are first summed per patient and fact.
     """
-    per = long.groupBy("patient", "fact").agg(_n_if(F.col("ok")).alias("right"), _n().alias("n"))
+    per = weighted(long).groupBy("patient", "fact").agg(_n_if(F.col("ok")).alias("right"), _n().alias("n"))
     patients = per.select("patient").distinct()
     numbered = sampling.numbered(patients, ["patient"], F.substring("patient", 1, 2)).withColumnRenamed("idx", "number")
     draws = patients.sparkSession.range(replicates).select(F.col("id").alias("r"))
