@@ -155,3 +155,32 @@ def claimed(prompts: DataFrame) -> DataFrame:
     every = F.array(*(F.struct(F.lit(k).alias("kind"), said[k].alias("claimed"), derived[k].alias("derived")) for k in derived))
     each = boxed.where(F.size("boxes") == 1).withColumn("c", F.explode(every))
     return each.select("*", "c.*").drop("c").where("claimed is not null")
+
+
+def _problems(rows: DataFrame, found: dict[str, Column], detail: dict[str, Column]) -> DataFrame:
+    each = F.array(*(F.when(when, F.struct(F.lit(kind).alias("problem"), detail.get(kind, F.col("suffix")).alias("detail"))) for kind, when in found.items()))
+    kept = rows.withColumn("p", F.explode(F.filter(each, lambda p: p.isNotNull())))
+    return kept.select("prompt_group", "split", "name", "p.problem", "p.detail")
+
+
+def feature_problems(prompts: DataFrame, baseline: DataFrame, uniform: str) -> DataFrame:
+    """(prompt_group, split, name, problem, detail) of rows (prompt_group, split, name, prompt, suffix, w, h and size limits):
+    box_count (no further check then), no_end, not_in_baseline, negative, features (of the uniform group, which states size,
+    shape and region), and claim_ with the kind of a claim that the target box contradicts."""
+    known = baseline.select("split", "name", F.explode(F.array_distinct(F.regexp_extract_all("suffix", F.lit(r"((?:<loc\d{4}>){4})"), F.lit(1)))).alias("first_loc")).distinct().withColumn("known", F.lit(True))
+    rows = prompts.withColumn("first_loc", F.regexp_extract("suffix", r"((?:<loc\d{4}>){4})", 1)).join(known, ["split", "name", "first_loc"], "left")
+    one = F.size(B.decoded(F.col("suffix"), F.col("w"), F.col("h"))) == 1
+    said = V.claims(F.col("prompt"))
+    stated = F.array_compact(F.array(*(F.when(c.isNotNull(), F.lit(k)) for k, c in said.items())))
+    whole = {"box_count": ~one, "no_end": one & ~F.col("suffix").endswith("<eos>"), "not_in_baseline": one & F.col("known").isNull(), "negative": ~F.col("suffix").contains("<loc")}
+    whole["features"] = (F.col("prompt_group") == uniform) & (F.array_sort(stated) != F.array(*map(F.lit, ("region", "shape", "size"))))
+    wrong = claimed(prompts).where(F.col("claimed") != F.col("derived"))
+    claims = wrong.select("prompt_group", "split", "name", F.concat(F.lit("claim_"), "kind").alias("problem"), F.concat_ws(" / ", "claimed", "derived").alias("detail"))
+    return _problems(rows, whole, {"not_in_baseline": F.col("first_loc"), "features": F.col("prompt")}).unionByName(claims)
+
+
+def baseline_problems(rows: DataFrame, prompt: str) -> DataFrame:
+    """Like feature_problems, of baseline rows: negative_target (none but the end mark), prompt_text, no_end."""
+    suffix = F.col("suffix")
+    found = {"negative_target": ~suffix.contains("<loc") & (suffix != "<eos>"), "prompt_text": F.col("prompt") != prompt, "no_end": ~suffix.endswith("<eos>")}
+    return _problems(rows, found, {"prompt_text": F.col("prompt")})

@@ -26,6 +26,16 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, side.alias("side")).where("side is not null")
 
 
+def reconcile_files(pictures: DataFrame, masks: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """(key, kind): pictures, masks and listed names held against each other; a name may have several kinds. One shuffle."""
+    tagged = lambda rows, n: rows.select(key, *(F.lit(i == n).alias(c) for i, c in enumerate("pml")))
+    every = tagged(pictures, 0).unionByName(tagged(masks, 1)).unionByName(tagged(listed, 2))
+    p, m, named = (F.col(c) for c in "pml")
+    kinds = {"png_without_mask": p & ~m, "mask_without_png": m & ~p, "coco_entry_without_file": named & ~(p & m), "png_not_in_any_coco_split": p & ~named}
+    found = F.filter(F.array(*(F.when(when, F.lit(kind)) for kind, when in kinds.items())), lambda k: k.isNotNull())
+    return every.groupBy(key).agg(*(F.bool_or(c).alias(c) for c in "pml")).select(key, F.explode(found).alias("kind"))
+
+
 def best_blob(annotations: DataFrame, blobs: DataFrame, flag_below: float = 0.9) -> DataFrame:
     """Each annotation with the blob of its image of greatest overlap (lesser blob number on ties) and a status:
     no_overlap, already_claimed (by a lesser annotation), weak_overlap or ok. Candidates never leave their image."""

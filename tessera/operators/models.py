@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import boxes as B
 from tessera.functions import vocabulary as V
 
-_METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+_METRICS: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {}
 
 
 def predict(rows: DataFrame, answer: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
@@ -36,9 +37,20 @@ def majority_answers(rows: DataFrame, best: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(labels)).withColumn("pred", V.answer(F.col("facts"), {f: F.col(f"major.{f}") for f in V.FACTS})).drop("major")
 
 
-def register_metric(name: str, metric: Callable[[DataFrame], DataFrame]) -> None:
-    _METRICS[name] = metric
+def prior_answers(rows: DataFrame, label: str = "lesion") -> DataFrame:
+    """Answers with the prior box (of detection.with_prior) as coordinate tokens."""
+    corners = (F.col(f"prior.{c}") for c in ("x0", "y0", "x1", "y1"))
+    said = F.concat(B.tokens(*corners, F.col("w"), F.col("h")), F.lit(f" {label}"))
+    return rows.withColumn("pred", F.coalesce(said, F.lit("none")))
+
+
+def register_metric(name: str, metric: Callable[[DataFrame], DataFrame], description: str = "") -> None:
+    _METRICS[name] = metric, description
+
+
+def describe_metrics() -> dict[str, str]:
+    return {name: description for name, (_, description) in _METRICS.items()}
 
 
 def measure(name: str, rows: DataFrame) -> DataFrame:
-    return _METRICS[name](rows)
+    return _METRICS[name][0](rows)

@@ -394,3 +394,37 @@ SQL["s08_config"] = SQL["g01_thresholds"]
 SQL["s10_features_csv"] = f"{_with(LESIONS)} SELECT lesion_id, split, bbox_width, center_x_norm FROM les"
 SQL["s15_datasets"] = f"WITH w AS ({SQL['w02_unambiguous_prompts']}) SELECT 'size_region' AS prompt_group, split, count_if(shape <> 'tall')::BIGINT AS written, count_if(shape = 'tall')::BIGINT AS skipped, count_if(shape <> 'tall')::BIGINT AS read, count(DISTINCT prompt) FILTER (shape <> 'tall') AS prompts FROM w GROUP BY split"
 SQL["s02_negatives"] = f"{_with(IMAGES)} SELECT split, count(*) AS images, count_if(image NOT IN (SELECT l_orderkey FROM lineitem))::BIGINT AS negatives FROM images GROUP BY split"
+SQL["s01_coco"] = f"{_with(LESIONS)} SELECT split, CASE WHEN image % 11 <> 0 THEN name END AS name, image * 1000 + ord AS ann_id, ord, x0, y0, x1, y1 FROM les"
+SQL["s03_listing"] = f"{_with(IMAGES)} SELECT DISTINCT split, true AS filled FROM images"
+SQL["s11_report"] = SQL["p06_shape"]
+SQL["s13_records"] = f"{_with(LESIONS)} SELECT split, lesion_id, bbox_area_ratio, aspect_ratio, center_x_norm FROM les"
+SQL["s14_error_report"] = SQL["p02_bbox_errors"]
+SQL["s18_markdown"] = f"WITH c AS ({SQL['g03_counts']}) SELECT printf('| %s | %d | %d | %d |', region, train, valid, test) AS line FROM c"
+SQL["s20_resumed_answers"] = f"{_with(LABELLED, _SCORED)} SELECT condition, lesion_id, CASE WHEN len(locs) = 0 THEN 'none' ELSE array_to_string(list_transform(locs, lambda l: l || ' lesion'), ' ; ') END AS pred FROM answers"
+SQL["s22_epoch_metrics"] = f"{_with(FACTS)} SELECT CAST(pk % 3 AS INTEGER) AS epoch, shape, count(*) AS n FROM facts GROUP BY ALL"
+SQL["p30_rate"] = f"{_with(IMAGES)} SELECT image, {_mill('CASE WHEN image < 200 THEN (image + 1) / 200.0::DOUBLE ELSE 0.01::DOUBLE + (1.0::DOUBLE - 0.01::DOUBLE) / 2 * (1.0::DOUBLE + cos(least(1.0::DOUBLE, (image - 200) / 39800.0::DOUBLE) * pi())) END')} AS rate_millionths FROM images"
+SQL["p31_wrapped"] = f"""{_with(LABELLED, _prompts(['size_shape_region']))}, p AS (SELECT prompt, count(*) AS n FROM prompts GROUP BY prompt)
+SELECT prompt, n, list_reduce(string_split(prompt, ' '), lambda ls, w: ls || CASE WHEN length(string_split(ls, chr(10))[-1]) + 1 + length(w) <= 24 THEN ' ' ELSE chr(10) END || w) AS lines FROM p"""
+SQL["j03_three_lists"] = f"""{_with(IMAGES)}, f AS (SELECT name, image % 3 <> 0 AS p, image % 5 <> 0 AS m, image % 7 <> 0 AS l FROM images)
+SELECT name, 'png_without_mask' AS kind FROM f WHERE p AND NOT m UNION ALL SELECT name, 'mask_without_png' FROM f WHERE m AND NOT p
+UNION ALL SELECT name, 'coco_entry_without_file' FROM f WHERE l AND NOT (p AND m) UNION ALL SELECT name, 'png_not_in_any_coco_split' FROM f WHERE p AND NOT l"""
+_PLAIN = _quote(V.PROMPTS["baseline"].format(cls=V.CLS))
+_PROBLEMS = f"""feat AS (SELECT * EXCLUDE (prompt, loc), CASE WHEN pk % 43 = 0 AND prompt_group = 'size_shape_region' THEN {_PLAIN} ELSE prompt END AS prompt, CASE WHEN pk % 41 = 0 THEN '<loc0000><loc0000><loc0300><loc0300>' ELSE loc END AS loc FROM prompts WHERE n_same = 1),
+tgt AS (SELECT *, CASE WHEN pk % 23 = 0 THEN loc || ' lesion' WHEN pk % 31 = 0 THEN loc || ' lesion ; ' || loc || ' lesion<eos>' WHEN pk % 37 = 0 THEN '<eos>' ELSE loc || ' lesion<eos>' END AS suffix FROM feat),
+{_AUDIT.replace("FROM prompts WHERE n_same = 1", "FROM tgt WHERE len(regexp_extract_all(suffix, '<loc[0-9]+>')) = 4").replace("SELECT prompt_group,", "SELECT prompt_group, split, name,")},
+base AS (SELECT split, name, any_value(image) AS image, coalesce(string_agg(loc || ' lesion', ' ; ' ORDER BY ord) FILTER (pk % 9 <> 0), '') || CASE WHEN any_value(image) % 19 = 0 THEN '' ELSE '<eos>' END AS suffix FROM images LEFT JOIN labelled USING (image, name, split) GROUP BY split, name),
+problems AS (SELECT prompt_group, split, name, 'box_count' AS problem, suffix AS detail FROM tgt WHERE len(regexp_extract_all(suffix, '<loc[0-9]+>')) <> 4
+UNION ALL SELECT prompt_group, split, name, 'no_end', suffix FROM tgt WHERE len(regexp_extract_all(suffix, '<loc[0-9]+>')) = 4 AND NOT suffix LIKE '%<eos>'
+UNION ALL SELECT prompt_group, split, name, 'not_in_baseline', loc FROM tgt t WHERE len(regexp_extract_all(suffix, '<loc[0-9]+>')) = 4 AND NOT EXISTS (SELECT 1 FROM labelled b WHERE b.name = t.name AND b.split = t.split AND b.loc = t.loc AND b.pk % 9 <> 0)
+UNION ALL SELECT prompt_group, split, name, 'negative', suffix FROM tgt WHERE NOT contains(suffix, '<loc')
+UNION ALL SELECT prompt_group, split, name, 'features', prompt FROM tgt WHERE prompt_group = 'size_shape_region' AND pk % 43 = 0
+UNION ALL SELECT prompt_group, split, name, 'claim_' || kind, claimed || ' / ' || derived FROM claimed WHERE claimed <> derived
+UNION ALL SELECT 'baseline', split, name, 'negative_target', suffix FROM base WHERE NOT contains(suffix, '<loc') AND suffix <> '<eos>'
+UNION ALL SELECT 'baseline', split, name, 'prompt_text', 'detect a lesion' FROM base WHERE image % 27 = 0
+UNION ALL SELECT 'baseline', split, name, 'no_end', suffix FROM base WHERE NOT suffix LIKE '%<eos>')"""
+SQL["g23_problems"] = f"{_with(LABELLED, _prompts(_FEATURE_GROUPS), _PROBLEMS)} SELECT prompt_group, problem, count(*) AS n FROM problems GROUP BY ALL"
+SQL["g23_first_problems"] = f"{_with(LABELLED, _prompts(_FEATURE_GROUPS), _PROBLEMS)} SELECT * FROM problems ORDER BY prompt_group, split, name, problem, detail LIMIT 15"
+SQL["g24_crops"] = f"WITH c AS ({SQL['i06_crops']}) SELECT count(*) AS n, count_if(least(exact_w, exact_h) < 4)::BIGINT AS exact_small, count_if(least(padded_w, padded_h) < 6)::BIGINT AS padded_small, count_if(greatest(exact_w, exact_h) > 4)::BIGINT AS over_window FROM c"
+SQL["n01_predict"] = f"{_with(LABELLED, _prompts(['size_region']))} SELECT lesion_id, replace(prompt, 'detect', 'found') AS pred FROM prompts WHERE n_same = 1 AND split = 'test'"
+SQL["n02_prior_box"] = f"{_with(LABELLED, _PRIOR)} SELECT lesion_id, {_tokens('p_x0', 'p_y0', 'p_x1', 'p_y1')} || ' lesion' AS pred FROM withprior"
+SQL["n05_metric"] = f"{_with(LABELLED)} SELECT size, count(*) AS n, 'lesions by size' AS description FROM labelled GROUP BY size"

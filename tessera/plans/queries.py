@@ -7,6 +7,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes as B
+from tessera.functions import scalars
 from tessera.functions import vocabulary as V
 from tessera.operators import augment, captions, detection, matching, measures, models, pixels, prompts, sampling, text
 from tessera.operators.thresholds import distribution, fit_thresholds
@@ -622,6 +623,162 @@ def s02_negatives(spark, sf_dir):
     return records.negatives(A.images(spark, sf_dir), A.annotations(spark, sf_dir), "image", "split")
 
 
+@query
+def s01_coco(spark, sf_dir):
+    """Annotation documents written and read again: each annotation with its image and place there; those of images that no
+    document lists have no name."""
+    folder = records.fresh_folder(spark, "coco")
+    names = A.images(spark, sf_dir).withColumnRenamed("image", "image_id")
+    boxes = A.annotations(spark, sf_dir).withColumnRenamed("image", "image_id").join(names.select("image_id", "split"), "image_id")
+    records.write_coco(names.where("image_id % 11 <> 0"), boxes.withColumns({"ann_id": F.col("image_id") * 1000 + F.col("ord"), "category_id": F.lit(1)}), folder)
+    found = None
+    for split in ("train", "valid", "test"):
+        listed, annotated = records.read_coco(spark, f"{folder}/split={split}", split)
+        place = F.row_number().over(Win.partitionBy("image_id").orderBy("ann_id"))
+        one = annotated.join(listed.select("image_id", "name"), "image_id", "left").select(F.lit(split).alias("split"), "name", "ann_id", place.alias("ord"), "x0", "y0", "x1", "y1")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query
+def s03_listing(spark, sf_dir):
+    """Files listed without reading them, by the folder they are in."""
+    folder = records.fresh_folder(spark, "listed")
+    records.write_lines(A.images(spark, sf_dir).select("split", "name"), folder, ["split"])
+    found = records.list_files(spark, folder, "*.json").select(F.regexp_extract("path", r"split=(\w+)", 1).alias("split"), "length")
+    return found.groupBy("split").agg((F.min("length") > 0).alias("filled"))
+
+
+@query
+def s11_report(spark, sf_dir):
+    """Counts written as lines of a text report and found again by a pattern."""
+    folder = records.fresh_folder(spark, "report")
+    p06_shape(spark, sf_dir).select(F.format_string("%s: %d lesions are %s and %s", "split", "n", "size", "shape")).write.text(folder)
+    return records.read_report(spark, folder, r"(\w+): (\d+) lesions are (\w+) and (\S+)", ["split", "n", "size", "shape"]).withColumn("n", F.col("n").cast("long"))
+
+
+@query
+def s13_records(spark, sf_dir):
+    """The feature table as JSON lines by split, read again."""
+    folder = records.fresh_folder(spark, "records")
+    rows = A.lesions(spark, sf_dir).select("split", "lesion_id", "bbox_area_ratio", "aspect_ratio", "center_x_norm")
+    records.write_lines(rows, folder, ["split"])
+    return records.read_lines(spark, folder, "lesion_id string, bbox_area_ratio double, aspect_ratio double, center_x_norm double, split string").drop("file")
+
+
+@query
+def s14_error_report(spark, sf_dir):
+    """Invalid boxes as a CSV report, read again."""
+    folder = records.fresh_folder(spark, "errors")
+    records.write_features(p02_bbox_errors(spark, sf_dir), folder, ["split", "name", "lesion_id", "error"])
+    return records.read_table(spark, folder, "split string, name string, lesion_id string, error string")
+
+
+@query
+def s18_markdown(spark, sf_dir):
+    """Statistics as lines of a markdown table, through a file."""
+    folder = records.fresh_folder(spark, "statistics")
+    records.markdown(g03_counts(spark, sf_dir), ["region", "train", "valid", "test"]).write.text(folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+@query
+def s20_resumed_answers(spark, sf_dir):
+    """A third of the answers, then, as after a break, those that the file doesn't hold yet."""
+    folder = records.fresh_folder(spark, "answers")
+    kind = "condition string, lesion_id string, pred string"
+    rows = A.predictions(_test_rows(spark, sf_dir)).select("condition", "lesion_id", "pred", "pk")
+    records.append_rows(rows.where("pk % 3 = 0").drop("pk"), folder)
+    records.append_rows(records.unanswered(rows, spark.read.schema(kind).json(folder), ["condition", "lesion_id"]).drop("pk"), folder)
+    return spark.read.schema(kind).json(folder)
+
+
+@query
+def s22_epoch_metrics(spark, sf_dir):
+    """Metrics appended epoch by epoch."""
+    folder = records.fresh_folder(spark, "epochs")
+    rows = A.fact_rows(spark, sf_dir)
+    for epoch in range(3):
+        records.append_rows(rows.where(F.col("pk") % 3 == epoch).groupBy("shape").agg(F.count("*").alias("n")).withColumn("epoch", F.lit(epoch)), folder)
+    return spark.read.schema("epoch int, shape string, n long").json(folder)
+
+
+@query
+def p30_rate(spark, sf_dir):
+    """The learning rate's share at steps numbered like images."""
+    steps = F.col("image")
+    return A.images(spark, sf_dir).select("image", B.millionths(scalars.rate_factor(steps, warmup=200, total=40_000)).alias("rate_millionths"))
+
+
+@query
+def p31_wrapped(spark, sf_dir):
+    """Prompts in lines of 24 characters."""
+    rows = prompts.lesion_prompts(A.labelled(spark, sf_dir), ["size_shape_region"])
+    return rows.groupBy("prompt").agg(F.count("*").alias("n")).select("prompt", "n", F.array_join(scalars.wrapped(F.col("prompt"), 24), "\n").alias("lines"))
+
+
+@query
+def j03_three_lists(spark, sf_dir):
+    """Pictures, masks and listed names, each lacking some."""
+    names = A.images(spark, sf_dir).select("image", "name")
+    return matching.reconcile_files(names.where("image % 3 <> 0"), names.where("image % 5 <> 0"), names.where("image % 7 <> 0"), "name")
+
+
+def _audited(spark, sf_dir):
+    """Prompts with faults put in by rule, and the baseline rows beside them."""
+    rows = A.labelled(spark, sf_dir)
+    plain, pk = V.PROMPTS["baseline"].format(cls=V.CLS), F.col("pk")
+    every = {"prompt": F.when(F.col("image") % 27 == 0, F.lit("detect a lesion")).otherwise(F.col("prompt")), "suffix": F.when(F.col("image") % 19 == 0, F.regexp_replace("suffix", "<eos>$", "")).otherwise(F.col("suffix"))}
+    base = prompts.baseline_prompts(A.images(spark, sf_dir), rows.where("pk % 9 <> 0")).withColumns(every)
+    target = F.concat(F.when(pk % 41 == 0, F.lit("<loc0000><loc0000><loc0300><loc0300>")).otherwise(F.col("loc")), F.lit(" lesion"))
+    suffix = F.when(pk % 23 == 0, target).when(pk % 31 == 0, F.concat(target, F.lit(" ; "), target, F.lit("<eos>"))).when(pk % 37 == 0, F.lit("<eos>")).otherwise(F.concat(target, F.lit("<eos>")))
+    prompt = F.when((pk % 43 == 0) & (F.col("prompt_group") == prompts.UNIFORM), F.lit(plain)).otherwise(F.col("prompt"))
+    feature = prompts.unambiguous(prompts.lesion_prompts(rows, prompts.FEATURE_GROUPS)).withColumns({"suffix": suffix, "prompt": prompt})
+    return detection.feature_problems(feature, base, prompts.UNIFORM).unionByName(detection.baseline_problems(base, plain))
+
+
+@query
+def g23_problems(spark, sf_dir):
+    """How often the audit finds each kind of problem."""
+    return _audited(spark, sf_dir).groupBy("prompt_group", "problem").agg(F.count("*").alias("n"))
+
+
+@query
+def g23_first_problems(spark, sf_dir):
+    """The report's first 15 problems."""
+    return _audited(spark, sf_dir).orderBy("prompt_group", "split", "name", "problem", "detail").limit(15)
+
+
+@query
+def g24_crops(spark, sf_dir):
+    """How many crops are too small, and lesions too large for the fixed window."""
+    found = measures.cropped(A.image_rows(spark, sf_dir), pad=0.25, window=10)
+    least = lambda of, n: F.count_if(F.least(f"{of}_w", f"{of}_h") < n)
+    return found.agg(F.count("*").alias("n"), least("exact", 4).alias("exact_small"), least("padded", 6).alias("padded_small"), F.count_if(F.greatest("exact_w", "exact_h") > 4).alias("over_window"))
+
+
+@query
+def n01_predict(spark, sf_dir):
+    """A predictor over batches of rows."""
+    rows = prompts.unambiguous(prompts.lesion_prompts(_test_rows(spark, sf_dir), ["size_region"])).select("lesion_id", "prompt")
+    return models.predict(rows, lambda batch: batch["prompt"].str.replace("detect", "found")).select("lesion_id", "pred")
+
+
+@query
+def n02_prior_box(spark, sf_dir):
+    """The prior box as an answer."""
+    rows = A.labelled(spark, sf_dir)
+    priors = detection.prior_boxes(rows.where("split = 'train'"))
+    return models.prior_answers(detection.with_prior(rows.where("split = 'test'"), priors)).select("lesion_id", "pred")
+
+
+@query
+def n05_metric(spark, sf_dir):
+    """A metric registered by name, with its description."""
+    models.register_metric("size_counts", lambda rows: rows.groupBy("size").agg(F.count("*").alias("n")), "lesions by size")
+    return models.measure("size_counts", A.labelled(spark, sf_dir)).withColumn("description", F.lit(models.describe_metrics()["size_counts"]))
+
+
 # ---------------------------------------------------------------- sampling and text
 
 

@@ -25,6 +25,18 @@ def read_coco(spark: SparkSession, path: str, split: str) -> tuple[DataFrame, Da
     return images, found.select("ann_id", "image_id", "category_id", x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
 
 
+def write_coco(images: DataFrame, annotations: DataFrame, path: str, images_a_document: int = 16_384) -> None:
+    """Annotation documents by split, as split=/part=/ folders with one document each, of a bounded range of image ids:
+    images (split, image_id, name, w, h), annotations (split, image_id, ann_id, category_id, x, y, width, height)."""
+    part = F.floor(F.col("image_id") / images_a_document).alias("part")
+    of = lambda rows, name, *fields: rows.groupBy("split", part).agg(F.collect_list(F.struct(*fields)).alias(name))
+    listed = of(images, "images", F.col("image_id").alias("id"), F.col("name").alias("file_name"), F.col("w").cast("int").alias("width"), F.col("h").cast("int").alias("height"))
+    boxed = of(annotations, "annotations", F.col("ann_id").alias("id"), "image_id", F.array("x", "y", "width", "height").alias("bbox"), "category_id")
+    none = lambda name: F.coalesce(name, F.array()).alias(name)
+    whole = listed.join(boxed, ["split", "part"], "full_outer").select("split", "part", none("images"), none("annotations"))
+    write_lines(whole, path, ["split", "part"])
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; path may be a glob over shards. Adds the file, so that a later shard can win."""
     return spark.read.schema(schema).json(path).withColumn("file", F.input_file_name())
@@ -82,6 +94,30 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def unanswered(rows: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that a run resumed has still to answer."""
+    return rows.join(answers.select(*keys).distinct(), keys, "left_anti")
+
+
+def markdown(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): every row as a line of a markdown table; nulls are empty cells. heading() gives the two lines before them."""
+    cells = F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    return rows.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+
+
+def heading(columns: list[str]) -> str:
+    return f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}"
+
+
+def settings(text: str, **given) -> dict:
+    """A configuration from YAML (of which JSON is a part), without a YAML library from JSON; what is given and not None wins."""
+    try:
+        from yaml import safe_load
+    except ImportError:
+        safe_load = json.loads
+    return (safe_load(text) or {}) | {k: v for k, v in given.items() if v is not None}
+
+
 def render_report(rows: DataFrame, limit: int = 1000) -> str:
     """A small result as text: one JSON object a line. More than `limit` rows are an error; write_lines takes any number."""
     found = rows.limit(limit + 1).collect()
