@@ -89,3 +89,27 @@ def test_prompt_words_are_claims(spark):
 def test_brightness_of_odd_values(spark):
     rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (1.0,), (-1.5,), (2.0,), (None,)], "z double")
     assert [r[0] for r in rows.select(V.brightness(F.col("z"))).collect()] == ["similar", "similar", "similar", "darker", "brighter", "similar"]
+
+
+def test_lines_are_as_full_as_they_get(spark):
+    import textwrap
+
+    from tessera.functions import scalars
+
+    texts = ["", "one", "a bb ccc dddd", "anextremelylongword a b", "x  y", "aaaa bbbb cccc dddd eeee", "ab " * 40]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for width in (1, 5, 9, 14):
+        got = {r.t: r.lines for r in rows.select("t", scalars.wrapped(F.col("t"), width).alias("lines")).collect()}
+        assert got == {t: textwrap.wrap(" ".join(t.split()), width, break_long_words=False) or [""] for t in texts}
+
+
+def test_the_rate_rises_then_falls_to_its_floor(spark):
+    import math
+
+    from tessera.functions import scalars
+
+    got = [r.f for r in spark.range(0, 160).select(scalars.rate_factor(F.col("id"), 10, 110, 0.05).alias("f")).orderBy("id").collect()]
+    assert got[0] == 0.1 and got[9] == 1.0 and got[10] == 1.0
+    assert all(a >= b for a, b in zip(got[10:], got[11:], strict=False)) and set(got[110:]) == {got[110]} and math.isclose(got[110], 0.05)
+    assert math.isclose(got[60], 0.05 + 0.95 * 0.5)
+    assert [r.f for r in spark.range(3).select(scalars.rate_factor(F.col("id"), 0, 0).alias("f")).collect()][1:] == [0.01, 0.01]

@@ -190,3 +190,31 @@ def test_bootstrap_holds_the_mean(spark):
     rows = spark.createDataFrame([(f"p{i % 20}", "shape", bool(draw.random() < 0.8)) for i in range(400)], "patient string, fact string, ok boolean")
     got, mean = captions.bootstrap_interval(rows, 100).first(), rows.agg(F.avg(F.col("ok").cast("int"))).first()[0]
     assert got.lo_millionths / 1e6 < mean < got.hi_millionths / 1e6
+
+
+def test_given_settings_win(spark):
+    assert records.settings("epochs: 3\nvariant: full\n", epochs=5, variant=None) == {"epochs": 5, "variant": "full"}
+    assert records.settings('{"a": [1, 2]}', b=0) == {"a": [1, 2], "b": 0} and records.settings("") == {}
+
+
+def test_annotation_documents_of_a_bounded_size(spark, tmp_path):
+    names = spark.createDataFrame([("train", 1, "a.png", 5, 6), ("train", 9, "b.png", 5, 6), ("test", 2, "c.png", 7, 7)], "split string, image_id long, name string, w int, h int")
+    boxes = spark.createDataFrame([("train", 1, 11, 1, 0.0, 1.0, 2.0, 3.0), ("train", 30, 12, 1, 0.0, 0.0, 1.0, 1.0)], "split string, image_id long, ann_id long, category_id int, x double, y double, width double, height double")
+    records.write_coco(names, boxes, str(tmp_path / "c"), images_a_document=8)
+    assert sorted(p.parent.name for p in (tmp_path / "c/split=train").glob("*/*.json")) == ["part=0", "part=1", "part=3"]
+    found, back = records.read_coco(spark, str(tmp_path / "c/split=train"), "train")
+    assert sorted(tuple(r) for r in found.collect()) == [("train", 1, "a.png", 5, 6), ("train", 9, "b.png", 5, 6)]
+    assert sorted(tuple(r) for r in back.collect()) == [(11, 1, 1, 0.0, 1.0, 2.0, 4.0), (12, 30, 1, 0.0, 0.0, 1.0, 1.0)]
+
+
+def test_markdown_lines_with_nulls(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2)], "k string, n long")
+    assert [r.line for r in records.markdown(rows, ["k", "n"]).orderBy("line").collect()] == ["|  | 2 |", "| a | 1 |"]
+    assert records.heading(["k", "n"]) == "| k | n |\n|---|---|"
+
+
+def test_every_kind_of_problem_is_found(spark):
+    from tessera.plans import queries
+
+    found = {r.problem for r in queries.g23_problems(spark, SF).collect()}
+    assert found == {"box_count", "no_end", "not_in_baseline", "negative", "features", "negative_target", "prompt_text", *(f"claim_{k}" for k in ("size", "h", "v", "shape", "region"))}
