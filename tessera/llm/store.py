@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Bytes of keys up to which a key set is broadcast, and what a row of up to three numbers takes as a hashed relation.
 BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 64
+#: The setting for how many bytes of rows go to a worker at once, and the bound that bounded_batches sets.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 _written: dict[str, list[str]] = {}
 
 
@@ -52,6 +55,13 @@ def discard(spark: SparkSession) -> int:
     return len(paths)
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the batches that go to workers by bytes, for the session, unless it has a bound of its own. Spark's default
+    bounds rows, so that executor and worker each hold a batch as large as its texts are long."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(most))
+
+
 def is_small(keys: DataFrame) -> bool:
     """Whether a table of up to three numbers a row, as a stage table, is small enough to be broadcast."""
     return keys.count() * ROW_BYTES <= BROADCAST_BYTES

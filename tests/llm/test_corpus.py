@@ -621,3 +621,19 @@ def test_pipeline_drops_near_copies_just_above_four_fifths(spark):
     assert 0.8 < alike[0] < 0.85 and alike[1] < 0.8
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
+def test_batches_are_bounded_unless_the_session_bounds_them(spark):
+    from tessera.llm import store
+
+    before = spark.conf.get(store.BATCH_SETTING, None)
+    try:
+        spark.conf.unset(store.BATCH_SETTING)
+        store.bounded_batches(spark)
+        assert spark.conf.get(store.BATCH_SETTING) == str(store.BATCH_BYTES)
+        store.bounded_batches(spark, 1)
+        assert spark.conf.get(store.BATCH_SETTING) == str(store.BATCH_BYTES)
+        sizes = spark.range(0, 64, numPartitions=1).selectExpr("repeat('x', 1 << 20) t").mapInArrow(lambda bs: (b.select(["t"]).slice(0, 1) for b in bs), "t string")
+        assert sizes.count() >= 8  # one row a batch: a batch holds a few rows of a megabyte
+    finally:
+        spark.conf.unset(store.BATCH_SETTING) if before is None else spark.conf.set(store.BATCH_SETTING, before)
