@@ -122,20 +122,31 @@ def top_errors(long: DataFrame, k: int = 4) -> DataFrame:
     return wrong.withColumn("place", F.row_number().over(Win.partitionBy("fact").orderBy(F.desc("n"), "truth", "answered"))).where(F.col("place") <= k)
 
 
+#: Tasks that lay out a bootstrap's draws, and draws in a run.
+DRAW_TASKS, DRAW_RUN = 96, 1 << 16
+
+
 def bootstrap_interval(long: DataFrame, replicates: int = 500) -> DataFrame:
     """(fact, lo_millionths, hi_millionths): percentiles 2.5 and 97.5 of the accuracy over patients drawn with replacement.
 
     Draw i of replicate r is patient number hash(r, i) mod patients. Rows are first summed per patient and fact.
     """
-    per = weighted(long).groupBy("patient", "fact").agg(_n_if(F.col("ok")).alias("right"), _n().alias("n"))
-    patients = per.select("patient").distinct()
-    numbered = sampling.numbered(patients, ["patient"], F.substring("patient", 1, 2)).withColumnRenamed("idx", "number")
-    draws = patients.sparkSession.range(replicates).select(F.col("id").alias("r"))
-    count = patients.agg(F.count("*").alias("patients"))
-    drawn = draws.crossJoin(F.broadcast(count)).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("patients"))))
+    n_if = lambda when: F.coalesce(_n_if(when), F.lit(0))
+    counts = [c for k, f in enumerate(V.FACTS) for c in (n_if((F.col("fact") == f) & F.col("ok")).alias(f"right{k}"), n_if(F.col("fact") == f).alias(f"n{k}"))]
+    per = weighted(long).groupBy("patient").agg(*counts)
+    numbered = sampling.numbered(per, ["patient"], F.substring("patient", 1, 2)).drop("patient")
+    draws = long.sparkSession.range(0, replicates, 1, min(replicates, DRAW_TASKS)).select(F.col("id").alias("r"))
+    count = per.agg(F.count("*").alias("patients"))
+    # a replicate's draws are laid out by runs, so that no array holds them all
+    run, last = F.lit(DRAW_RUN).cast("long"), F.col("patients")
+    runs = draws.crossJoin(F.broadcast(count)).where("patients > 0").withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), last, run)))
+    drawn = runs.withColumn("i", F.explode(F.sequence("from", F.least(F.col("from") + run - 1, last))))
     number = F.conv(F.substring(F.sha1(F.concat_ws(":", F.lit("boot"), "r", "i")), 1, 8), 16, 10).cast("long") % F.col("patients")
-    weights = drawn.withColumn("number", number).groupBy("r", "number").agg(F.count("*").alias("times")).join(numbered, "number").select("r", "patient", "times")
-    means = weights.join(per, "patient").groupBy("r", "fact").agg((F.sum(F.col("right") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
+    # each draw meets its patient's row once, in no order; neither side is sent to the driver
+    met = drawn.select("r", number.alias("idx")).join(numbered.hint("shuffle_hash"), "idx")
+    sums = met.groupBy("r").agg(*(F.sum(f"{c}{k}").alias(f"{c}{k}") for k in range(len(V.FACTS)) for c in ("right", "n")))
+    each = F.array(*(F.struct(F.lit(f).alias("fact"), F.try_divide(f"right{k}", f"n{k}").alias("mean"), F.col(f"n{k}").alias("n")) for k, f in enumerate(V.FACTS)))
+    means = sums.select("r", F.inline(each)).where("n > 0")
     return means.groupBy("fact").agg(*(millionths(F.percentile("mean", F.lit(q))).alias(f"{side}_millionths") for side, q in (("lo", 0.025), ("hi", 0.975))))
 
 
