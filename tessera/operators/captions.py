@@ -34,7 +34,7 @@ def majority(train: DataFrame, order: str) -> DataFrame:
 def answer_counts(answers: DataFrame, *keys: str) -> DataFrame:
     """Equal answers to equal questions about equal labels (and equal keys) once, with their number as weight: there are
     few distinct texts, and reading one takes dozens of patterns."""
-    return answers.groupBy("prompt_type", "facts", *V.FACTS, "pred", *keys).agg(F.count("*").alias("weight"))
+    return weighted(answers).groupBy("prompt_type", "facts", *V.FACTS, "pred", *keys).agg(_n().alias("weight"))
 
 
 def weighted(rows: DataFrame) -> DataFrame:
@@ -97,9 +97,9 @@ def confusion(long: DataFrame) -> DataFrame:
     return wide.withColumnRenamed(NONE, "none_stated").withColumnRenamed("none", "no_axis")
 
 
-def right_histogram(long: DataFrame, key: str) -> DataFrame:
-    """(facts_right 0..5, n), zero-filled."""
-    per_row = long.groupBy(key).agg(F.count_if("ok").alias("facts_right")).groupBy("facts_right").agg(F.count("*").alias("n"))
+def right_histogram(long: DataFrame, *keys: str) -> DataFrame:
+    """(facts_right 0..5, n), zero-filled; keys tell answers (each as often as its weight) apart."""
+    per_row = weighted(long).groupBy(*keys).agg(F.count_if("ok").alias("facts_right"), F.max("weight").alias("weight")).groupBy("facts_right").agg(_n().alias("n"))
     every = long.sparkSession.range(len(V.FACTS) + 1).select(F.col("id").alias("facts_right"))
     return every.join(F.broadcast(per_row), "facts_right", "left").select("facts_right", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -150,17 +150,18 @@ def bootstrap_interval(long: DataFrame, replicates: int = 500) -> DataFrame:
     return means.groupBy("fact").agg(*(millionths(F.percentile("mean", F.lit(q))).alias(f"{side}_millionths") for side, q in (("lo", 0.025), ("hi", 0.975))))
 
 
-def batch_means(answers: DataFrame, key: str) -> DataFrame:
-    """(prompt_type, n, feat_acc, rouge_l): means over answers of the share of the asked facts that are right, and of
-    ROUGE-L against the reference caption, to the millionth."""
+def batch_means(answers: DataFrame) -> DataFrame:
+    """(prompt_type, n, feat_acc, rouge_l): means over answers (each as often as its weight) of the share of the asked facts
+    that are right, and of ROUGE-L against the reference caption, to the millionth."""
     from tessera.operators.text import rouge_l
 
+    answers = weighted(answers)
     answers = answers.withColumns({f"_said_{f}": c for f, c in V.parsed(V.clean(F.col("pred"))).items() if f in V.FACTS})
     said = {f: F.col(f"_said_{f}") for f in V.FACTS}
     right = sum((F.when(F.array_contains("facts", f) & F.coalesce(said[f] == F.col(f), F.lit(False)), 1).otherwise(0) for f in V.FACTS[1:]), F.when(F.array_contains("facts", V.FACTS[0]) & F.coalesce(said[V.FACTS[0]] == F.col(V.FACTS[0]), F.lit(False)), 1).otherwise(0))
-    pairs = answers.select(key, "prompt_type", (right / F.size("facts")).alias("accuracy"), V.answer(F.col("facts"), {f: F.col(f) for f in V.FACTS}).alias("ref"), F.col("pred").alias("hyp"))
-    mean = lambda c: F.sum(millionths(F.col(c))) / (F.count("*") * 1e6)
-    return rouge_l(pairs).groupBy("prompt_type").agg(F.count("*").alias("n"), mean("accuracy").alias("feat_acc"), mean("rouge_l").alias("rouge_l"))
+    pairs = answers.select("weight", "prompt_type", (right / F.size("facts")).alias("accuracy"), V.answer(F.col("facts"), {f: F.col(f) for f in V.FACTS}).alias("ref"), F.col("pred").alias("hyp"))
+    mean = lambda c: F.sum(millionths(F.col(c)) * F.col("weight")) / (_n() * 1e6)
+    return rouge_l(pairs).groupBy("prompt_type").agg(_n().alias("n"), mean("accuracy").alias("feat_acc"), mean("rouge_l").alias("rouge_l"))
 
 
 def marked(answers: DataFrame, key: str) -> DataFrame:

@@ -18,3 +18,14 @@ def test_bootstrap_draws_come_in_runs(spark, monkeypatch):
     whole = captions.bootstrap_interval(long, 20).collect()
     monkeypatch.setattr(captions, "DRAW_RUN", 7)
     assert captions.bootstrap_interval(long, 20).collect() == whole and len(whole) == 1
+
+
+def test_weighted_answers_count_as_often_as_they_stand_for(spark):
+    answers = queries._answers(queries._asked(spark, SF))
+    counted = queries._counted_answers(spark, SF)
+    assert counted.count() < answers.count() == counted.agg(F.sum("weight")).first()[0]
+    order = ["prompt_type"]
+    assert captions.batch_means(answers).orderBy(order).collect() == captions.batch_means(counted).orderBy(order).collect()
+    one = answers.where("prompt_type = 'generic'")
+    long, few = captions.facts_long(one), captions.facts_long(captions.answer_counts(one))
+    assert captions.right_histogram(long, "lesion_id").orderBy("facts_right").collect() == captions.right_histogram(few, "shape", "orientation", "outline", "intensity", "variation", "pred").orderBy("facts_right").collect()
