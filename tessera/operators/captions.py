@@ -27,7 +27,9 @@ def prompt_types(rows: DataFrame) -> DataFrame:
 def majority(train: DataFrame, order: str) -> DataFrame:
     """(fact, label): the most frequent training label; the first seen (least order) wins ties."""
     long = train.select(order, *[F.col(f) for f in V.FACTS]).select(order, F.explode(F.array(*(F.struct(F.lit(f).alias("fact"), F.col(f).alias("label")) for f in V.FACTS))).alias("e")).select(order, "e.*")
-    counted = long.groupBy("fact", "label").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    # a least text alone makes Spark sort all rows; beside an aggregate that is an object (of one number here) it is hashed
+    least = F.when(F.size(F.collect_set(F.lit(0))) > 0, F.min(order))
+    counted = long.groupBy("fact", "label").agg(F.count("*").alias("n"), least.alias("first"))
     return counted.withColumn("r", F.row_number().over(Win.partitionBy("fact").orderBy(F.desc("n"), "first"))).where("r = 1").select("fact", "label", "n")
 
 

@@ -29,3 +29,8 @@ def test_weighted_answers_count_as_often_as_they_stand_for(spark):
     one = answers.where("prompt_type = 'generic'")
     long, few = captions.facts_long(one), captions.facts_long(captions.answer_counts(one))
     assert captions.right_histogram(long, "lesion_id").orderBy("facts_right").collect() == captions.right_histogram(few, "shape", "orientation", "outline", "intensity", "variation", "pred").orderBy("facts_right").collect()
+
+
+def test_majority_sorts_no_rows(spark):
+    found = captions.majority(A.fact_rows(spark, SF), "lesion_id")
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
