@@ -7,6 +7,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from tessera.functions import vocabulary as V
+from tessera.operators import sampling
 
 FEATURE_GROUPS = ["size", "horizontal", "vertical", "region", "size_region", "shape", "size_shape_region"]
 UNIFORM = "size_shape_region"
@@ -62,25 +63,22 @@ def mismatched(rows: DataFrame, key: str = "lesion_id", parts: int = 16) -> Data
 
     A row's candidates depend on its (size, region) cell alone, so no pairs are formed: the number of rows in every
     cell (and part of it, by hash) is a small table, a hash picks a place in the complement, and one equi-join on (cell,
-    part, rank) fetches the row there.
+    part, rank) fetches the row there. The numbers are the greatest ranks, so that rows are ranked from one shuffle.
     """
     part = V.hashed_choice(F.col(key), parts, "part:")
     ranked = rows.withColumn("part", part).withColumn("rank", F.row_number().over(Win.partitionBy("size", "region", "part").orderBy(key)).cast("long"))
-    counted = ranked.groupBy("size", "region", "part").agg(F.count("*").alias("n"))
-    cells = counted.select("size", "region").distinct()
-    other = counted.select(F.col("size").alias("o_size"), F.col("region").alias("o_region"), F.col("part").alias("o_part"), "n")
-    pairs = cells.join(other, F.col("region") != F.col("o_region"))  # at most 27 cells and 27 * parts entries
+    counted = ranked.groupBy("size", "region", "part").agg(F.max("rank").alias("n"))
+    every = counted.agg(F.collect_list(F.struct(F.col("size").alias("o_size"), F.col("region").alias("o_region"), F.col("part").alias("o_part"), "n")).alias("all"))
+    cells = every.select("all", F.explode(F.array_distinct(F.transform("all", lambda o: F.struct(o["o_size"].alias("size"), o["o_region"].alias("region"))))).alias("c"))
+    pairs = cells.select("c.*", F.inline("all")).where(F.col("region") != F.col("o_region"))  # at most 27 cells and 27 * parts entries
     strict = F.col("size") != F.col("o_size")
     pairs = pairs.withColumn("has", F.max(strict.cast("int")).over(Win.partitionBy("size", "region"))).where(strict | (F.col("has") == 0))
     along = Win.partitionBy("size", "region").orderBy("o_size", "o_region", "o_part")
-    pairs = pairs.withColumn("upto", F.sum("n").over(along))
-    lists = pairs.groupBy("size", "region").agg(F.max("upto").alias("total"), F.array_sort(F.collect_list(F.struct("upto", "n", "o_size", "o_region", "o_part"))).alias("options"))
-    draw = F.conv(F.substring(F.sha1(F.concat(F.lit("hint:"), F.col(key))), 1, 8), 16, 10).cast("long") % F.col("total")
-    placed = ranked.join(F.broadcast(lists), ["size", "region"]).withColumn("draw", draw)
-    hit = placed.withColumn("o", F.element_at(F.filter("options", lambda o: o["upto"] > F.col("draw")), 1))
-    hit = hit.withColumn("o_rank", F.col("draw") - (F.col("o.upto") - F.col("o.n")) + 1)
+    options = pairs.withColumn("_hi", F.sum("n").over(along)).withColumn("_lo", F.col("_hi") - F.col("n")).select("size", "region", "_lo", "_hi", "o_size", "o_region", "o_part")
+    draw = F.conv(F.substring(F.sha1(F.concat(F.lit("hint:"), F.col(key))), 1, 8), 16, 10).cast("long") % F.col("_total")
+    hit = sampling.in_interval(ranked.drop("part", "rank"), options, ["size", "region"], draw).withColumn("o_rank", F.col("_v") - F.col("_lo") + 1)
     target = ranked.select(F.col("size").alias("t_size"), F.col("region").alias("t_region"), F.col("part").alias("t_part"), F.col("rank").alias("t_rank"), F.col(key).alias("hint_from"))
-    on = (F.col("o.o_size") == F.col("t_size")) & (F.col("o.o_region") == F.col("t_region")) & (F.col("o.o_part") == F.col("t_part")) & (F.col("o_rank") == F.col("t_rank"))
+    on = (F.col("o_size") == F.col("t_size")) & (F.col("o_region") == F.col("t_region")) & (F.col("o_part") == F.col("t_part")) & (F.col("o_rank") == F.col("t_rank"))
     return hit.join(target, on).select(*rows.columns, "hint_from", F.col("t_size").alias("hint_size"), F.col("t_region").alias("hint_region"))
 
 

@@ -63,6 +63,17 @@ def resample_weights(rows: DataFrame, patient: str, facts: list[str] = (), schem
     return found.select(*rows.columns, F.floor(1e6 * weight + 0.5).cast("long").alias("weight"))
 
 
+def in_interval(rows: DataFrame, intervals: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Each row with its value (_v; of its columns and _total, the end of its keys' last interval) and the interval (keys,
+    _lo, _hi and more; from 0 without gaps; a short list) that holds it. The range is cut into as many equal bins as there
+    are intervals, so that a row meets those of its bin alone."""
+    ends = intervals.groupBy(*keys).agg(F.max("_hi").alias("_total"), F.greatest(F.ceil(F.max("_hi") / F.count("*")), F.lit(1)).cast("long").alias("_width"))
+    beside = lambda some: some.join(F.broadcast(ends), keys) if keys else some.crossJoin(F.broadcast(ends))
+    binned = beside(intervals.where("_hi > _lo")).withColumn("_bin", F.explode(F.expr("sequence(_lo div _width, (_hi - 1) div _width)"))).drop("_total", "_width")
+    valued = beside(rows).withColumn("_v", value).withColumn("_bin", F.expr("_v div _width")).drop("_total", "_width")
+    return valued.join(F.broadcast(binned), [*keys, "_bin"]).where("_v >= _lo and _v < _hi").drop("_bin")
+
+
 #: Rows that a part of a resample is meant to hold; parts are 64 at least and PARTS at most.
 PART_ROWS, PARTS, GROUPED = 50_000, 1 << 16, 256
 

@@ -46,3 +46,12 @@ def test_slice_captions_are_counted_before_they_are_read(spark):
 
 def test_lesion_captions_are_counted_before_they_are_read(spark):
     assert "weight" in plan(queries.p19_parse_roundtrip(spark, SF))
+
+
+def test_rows_meet_the_interval_that_holds_their_value(spark):
+    ends = {"a": [3, 3, 4, 1000], "b": [1, 2]}
+    listed = [(k, lo, hi, i) for k, his in ends.items() for i, (lo, hi) in enumerate(zip([0, *his], his))]
+    rows = [(k, v) for k, his in ends.items() for v in range(his[-1])]
+    got = sampling.in_interval(spark.createDataFrame(rows, "k string, v long"), spark.createDataFrame(listed, "k string, _lo long, _hi long, which int"), ["k"], F.col("v"))
+    assert {(r.k, r.v, r.which) for r in got.collect()} == {(k, v, i) for k, v in rows for kk, lo, hi, i in listed if kk == k and lo <= v < hi}
+    assert got.count() == len(rows)
