@@ -75,31 +75,29 @@ def in_interval(rows: DataFrame, intervals: DataFrame, keys: list[str], value: C
 
 
 #: Rows that a part of a resample is meant to hold; parts are 64 at least and PARTS at most.
-PART_ROWS, PARTS, GROUPED = 50_000, 1 << 16, 256
+PART_ROWS, PARTS = 50_000, 1 << 16
 
 
 def weighted_resample(rows: DataFrame, key: str, weight: str = "weight", draws: int | None = None) -> DataFrame:
     """draws rows (as many as there are, if not given) with replacement by a column of whole weights.
 
     Cumulative weights go by part (hash of the key; their number grows with the rows): a draw falls into a part by the
-    totals of the groups of parts and then of a group's parts, two short lists, and meets the row whose interval holds
-    it among the rows of that part. No draw is compared with all rows.
+    list of the parts' totals, and meets the row whose interval holds it among the rows of that part. No draw is compared
+    with all rows or parts.
     """
     n = rows.count()
     parts = min(PARTS, max(64, n // PART_ROWS))
     weighted = rows.withColumn("_w", F.col(weight)).withColumn("_p", (hashed(F.col(key), salt="part") % parts).cast("int"))
     along = Win.partitionBy("_p").orderBy(key).rowsBetween(Win.unboundedPreceding, 0)
-    placed = weighted.withColumn("_hi", F.sum("_w").over(along))
-    totals = placed.groupBy("_p").agg(F.sum("_w").alias("_t"))
+    placed = weighted.select(key, "_w", "_p").withColumn("_hi", F.sum("_w").over(along))
+    # a part's total is its last sum, from the same shuffle; listed in one row, it is found once
+    totals = placed.groupBy("_p").agg(F.max("_hi").alias("_t")).agg(F.collect_list(F.struct("_p", "_t")).alias("_e")).select(F.inline("_e"))
     upto = Win.orderBy("_p").rowsBetween(Win.unboundedPreceding, 0)  # parts rows
-    groups = totals.withColumn("_upto", F.sum("_t").over(upto)).groupBy(F.floor(F.col("_p") / GROUPED).alias("_group")).agg(F.max("_upto").alias("_upto"), F.array_sort(F.collect_list(F.struct("_upto", "_t", "_p"))).alias("_own"))
-    listed = groups.agg(F.array_sort(F.collect_list(F.struct("_upto", "_own"))).alias("_groups"), F.max("_upto").alias("_all"))
-    drawn = rows.sparkSession.range(n if draws is None else draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(listed))
+    own = totals.withColumn("_hi", F.sum("_t").over(upto)).select("_p", (F.col("_hi") - F.col("_t")).alias("_lo"), "_hi")
+    drawn = rows.sparkSession.range(n if draws is None else draws).select(F.col("id").alias("draw"))
     # two hashes make 62 bits, so that the modulus is even
-    value = (hashed(F.col("draw"), salt="a") * F.lit(1 << 30) + hashed(F.col("draw"), salt="b") % (1 << 30)) % F.col("_all")
-    first = lambda list_: F.element_at(F.filter(list_, lambda o: o["_upto"] > F.col("_v")), 1)
-    drawn = drawn.withColumn("_v", value).withColumn("_o", first(first(F.col("_groups"))["_own"]))
-    drawn = drawn.select("draw", F.col("_o._p").alias("_p"), (F.col("_v") - (F.col("_o._upto") - F.col("_o._t"))).alias("_at"))
+    value = (hashed(F.col("draw"), salt="a") * F.lit(1 << 30) + hashed(F.col("draw"), salt="b") % (1 << 30)) % F.col("_total")
+    drawn = in_interval(drawn, own, [], value).select("draw", "_p", (F.col("_v") - F.col("_lo")).alias("_at"))
     # the row whose interval holds the draw: draws and interval ends merged in one falling order, each draw takes the last row
     both = placed.select("_p", F.col("_hi").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("draw"), F.col(key).alias("_key")).unionByName(drawn.select("_p", (F.col("_at") + 1).alias("_x"), F.lit(0).alias("_kind"), "draw", F.lit(None).cast(dict(rows.dtypes)[key]).alias("_key")))
     behind = Win.partitionBy("_p").orderBy(F.desc("_x"), F.desc("_kind")).rowsBetween(Win.unboundedPreceding, 0)

@@ -55,3 +55,9 @@ def test_rows_meet_the_interval_that_holds_their_value(spark):
     got = sampling.in_interval(spark.createDataFrame(rows, "k string, v long"), spark.createDataFrame(listed, "k string, _lo long, _hi long, which int"), ["k"], F.col("v"))
     assert {(r.k, r.v, r.which) for r in got.collect()} == {(k, v, i) for k, v in rows for kk, lo, hi, i in listed if kk == k and lo <= v < hi}
     assert got.count() == len(rows)
+
+
+def test_draws_meet_no_list_of_all_parts(spark):
+    rows = spark.range(500).select(F.col("id").cast("string").alias("k"), (F.col("id") % 5 + 1).alias("weight"))
+    got = sampling.weighted_resample(rows, "k")
+    assert got.count() == 500 and "lambdafunction" not in plan(got).lower()
