@@ -43,24 +43,30 @@ def shard(indexed: DataFrame, shards: int) -> DataFrame:
     return indexed.withColumn("shard", (F.col("idx") % shards).cast("int"))
 
 
-def resample_weights(rows: DataFrame, patient: str, facts: list[str] = (), scheme: str = "patient", patient_power: float = 0.5, combo_power: float = 0.5) -> DataFrame:
+def resample_weights(rows: DataFrame, patient: str, facts: list[str] = (), scheme: str | list[str] = "patient", patient_power: float = 0.5, combo_power: float = 0.5) -> DataFrame:
     """Adds weight, in whole millionths: patient count to -patient_power, times, for the scheme "combo", the count of the
-    facts' combination to -combo_power, or, for "class", the mean over facts of rows / (levels * rows of the level)."""
+    facts' combination to -combo_power, or, for "class", the mean over facts of rows / (levels * rows of the level).
+    Several schemes make a column each, named as they are."""
     power = lambda n, by: F.pow(n.cast("double"), F.lit(-by))
-    found = rows.join(rows.groupBy(patient).agg(F.count("*").alias("_g")), patient)
-    weight = power(F.col("_g"), patient_power)
-    if scheme == "combo":
-        found = found.join(rows.groupBy(*facts).agg(F.count("*").alias("_c")), list(facts))
-        weight = weight * power(F.col("_c"), combo_power)
-    elif scheme == "class":
-        counts = rows.groupBy(F.lit(1).alias("_one")).agg(F.count("*").alias("_n"), *(F.countDistinct(f).alias(f"_k_{f}") for f in facts))
-        found = found.crossJoin(F.broadcast(counts))
-        for f in facts:
-            found = found.join(rows.groupBy(f).agg(F.count("*").alias(f"_f_{f}")), f)
-        weight = weight * sum((F.col("_n") / (F.col(f"_k_{f}") * F.col(f"_f_{f}")) for f in facts), F.lit(0.0)) / len(facts)
-    elif scheme != "patient":
-        raise ValueError(f"no scheme {scheme}: patient, combo or class")
-    return found.select(*rows.columns, F.floor(1e6 * weight + 0.5).cast("long").alias("weight"))
+    schemes = {"weight": scheme} if isinstance(scheme, str) else {s: s for s in scheme}
+    if unknown := set(schemes.values()) - {"patient", "combo", "class"}:
+        raise ValueError(f"no scheme {', '.join(unknown)}: patient, combo or class")
+    found = rows.withColumn("_g", F.count("*").over(Win.partitionBy(patient))).where(F.col(patient).isNotNull())
+    weights = {"patient": (one := power(F.col("_g"), patient_power))}
+    if set(schemes.values()) - {"patient"}:
+        found = found.join(F.broadcast(_combinations(rows, facts)), list(facts))
+        shares = sum((F.col("_n") / (F.col(f"_k_{f}") * F.col(f"_f_{f}")) for f in facts), F.lit(0.0))
+        weights |= {"combo": one * power(F.col("_c"), combo_power), "class": one * shares / len(facts)}
+    return found.select(*rows.columns, *(F.floor(1e6 * weights[s] + 0.5).cast("long").alias(name) for name, s in schemes.items()))
+
+
+def _combinations(rows: DataFrame, facts: list[str]) -> DataFrame:
+    """(facts, _c rows of the combination, _n rows, and of each fact _k_ levels and _f_ rows of the level): one counting of the
+    rows; combinations are few, by vocabulary."""
+    counted = rows.groupBy(*facts).agg(F.count("*").alias("_c"))
+    whole = Win.partitionBy()
+    of = {"_n": F.sum("_c").over(whole)} | {f"_k_{f}": F.size(F.collect_set(f).over(whole)).cast("long") for f in facts} | {f"_f_{f}": F.sum("_c").over(Win.partitionBy(f)) for f in facts}
+    return counted.withColumns(of)
 
 
 def in_interval(rows: DataFrame, intervals: DataFrame, keys: list[str], value: Column) -> DataFrame:

@@ -61,3 +61,11 @@ def test_draws_meet_no_list_of_all_parts(spark):
     rows = spark.range(500).select(F.col("id").cast("string").alias("k"), (F.col("id") % 5 + 1).alias("weight"))
     got = sampling.weighted_resample(rows, "k")
     assert got.count() == 500 and "lambdafunction" not in plan(got).lower()
+
+
+def test_several_schemes_in_one_pass(spark):
+    rows = A.fact_rows(spark, SF).select("lesion_id", "patient", "shape", "outline")
+    both = sampling.resample_weights(rows, "patient", ["shape", "outline"], ["class", "combo"])
+    for scheme in ("class", "combo"):
+        one = sampling.resample_weights(rows, "patient", ["shape", "outline"], scheme)
+        assert sorted(map(tuple, one.select("lesion_id", "weight").collect())) == sorted(map(tuple, both.select("lesion_id", scheme).collect()))
