@@ -81,7 +81,7 @@ def bin_of(value: Column, size: Column) -> Column:
 def tokens(x0: Column, y0: Column, x1: Column, y1: Column, w: Column, h: Column) -> Column:
     """The four coordinate tokens, y before x."""
     bins = [bin_of(y0, h), bin_of(x0, w), bin_of(y1, h), bin_of(x1, w)]
-    return F.concat(*(F.format_string("<loc%04d>", b) for b in bins))
+    return F.concat(*(part for b in bins for part in (F.lit("<loc"), F.lpad(b.cast("string"), 4, "0"), F.lit(">"))))  # bins have four digits at most
 
 
 def target_text(parts: Column, eos: bool = True) -> Column:
@@ -92,10 +92,9 @@ def target_text(parts: Column, eos: bool = True) -> Column:
 def decoded(text: Column, w: Column, h: Column, label: str | None = None) -> Column:
     """The boxes (array of structs) that a text states; label: only those followed by it."""
     pattern = TOKEN_GROUP + (rf"\s+({label})" if label else "")
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (2, 1, 4, 3)]
-    zipped = F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "abcd", strict=True)))
-    pixel = lambda bins, size: bins.cast("double") / BINS * size
-    found = F.transform(zipped, lambda z: F.struct(pixel(z["a"], w).alias("x0"), pixel(z["b"], h).alias("y0"), pixel(z["c"], w).alias("x1"), pixel(z["d"], h).alias("y1")))
+    # one pattern finds a box; its tokens are of equal length, so the bins stand at fixed places
+    pixel = lambda m, k, size: F.substring(m, 5 + 9 * k, 4).cast("double") / BINS * size
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(pixel(m, 1, w).alias("x0"), pixel(m, 0, h).alias("y0"), pixel(m, 3, w).alias("x1"), pixel(m, 2, h).alias("y1")))
     return F.coalesce(found, F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
 
 

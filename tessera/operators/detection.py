@@ -102,36 +102,48 @@ def seen_flag(rows: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
 LEVELS = [50 + 5 * k for k in range(10)]
 
 
-def average_precision(rows: DataFrame, order: list[str], first_only: bool = False, per: int = 1024) -> DataFrame:
-    """(condition, level, ap): average precision at overlap levels .50 to .95, 101 points, for rows of one target each.
+def average_precisions(rows: DataFrame, order: list[str], per: int = 1024) -> DataFrame:
+    """(condition, boxes, level, ap): average precision at overlap levels .50 to .95, 101 points, for rows of one target each;
+    boxes: of all that an answer states, or the first alone.
 
     All confidences are 1, so answers rank by `order` (its first column a number) and ordinal. Within a row a box counts
     if it is the first that reaches the level. Running counts go by blocks of `per` keys: totals per block are summed
     along the blocks, and each block is summed on its own, so no window holds more than a block or the list of blocks.
+    A box is one row in that window, whatever the levels: it holds how many its row had reached before it and with it.
     """
-    each = rows.select("condition", *order, F.posexplode(F.slice("boxes", 1, 1) if first_only else F.col("boxes")).alias("place", "b"), *B.box().values())
-    each = each.withColumn("overlap", B.iou(F.col("b"), B.box()))
-    each = each.withColumn("before", F.coalesce(F.max("overlap").over(Win.partitionBy("condition", *order).orderBy("place").rowsBetween(Win.unboundedPreceding, -1)), F.lit(-1.0)))
-    at = each.withColumn("level", F.explode(F.array(*(F.lit(n) for n in LEVELS))))
-    hit = ((F.col("overlap") >= F.col("level") / 100) & (F.col("before") < F.col("level") / 100)).cast("long")
-    at = at.select("condition", "level", *order, "place", hit.alias("hit"), F.floor(F.col(order[0]) / per).alias("block"))
-    blocks = at.groupBy("condition", "level", "block").agg(F.sum("hit").alias("hits"), F.count("*").alias("all"))
-    along = Win.partitionBy("condition", "level").orderBy("block").rowsBetween(Win.unboundedPreceding, -1)
-    blocks = blocks.select("condition", "level", "block", F.coalesce(F.sum("hits").over(along), F.lit(0)).alias("hits0"), F.coalesce(F.sum("all").over(along), F.lit(0)).alias("all0"))
-    inside = Win.partitionBy("condition", "level", "block").orderBy(*order, "place").rowsBetween(Win.unboundedPreceding, 0)
-    run = at.withColumn("tp", F.sum("hit").over(inside)).withColumn("seen", F.count("*").over(inside)).join(blocks, ["condition", "level", "block"])
-    targets = rows.groupBy("condition").agg(F.count("*").alias("targets"))
-    run = run.join(F.broadcast(targets), "condition").select("condition", "level", (F.col("tp") + F.col("hits0")).alias("tp"), (F.col("seen") + F.col("all0")).alias("seen"), "targets")
-    points = run.groupBy("condition", "level", F.floor(F.col("tp") * 100 / F.col("targets")).alias("recall")).agg(F.max(F.col("tp") / F.col("seen")).alias("precision"))
+    reached = lambda overlap: F.size(F.filter(F.array(*(F.lit(n) for n in LEVELS)), lambda n: overlap >= n / 100))
+    overlaps = F.transform("boxes", lambda b: B.iou(b, B.box()))
+    each = rows.select("condition", *order, overlaps.alias("overlaps")).withColumn("upto", F.transform("overlaps", reached))
+    each = each.select("condition", *order, "upto", F.posexplode_outer("upto").alias("place", "to"))  # a row without boxes stays as a target
+    before = F.when(F.col("place") > 0, F.array_max(F.slice("upto", 1, F.greatest("place", F.lit(1))))).otherwise(0)
+    at = each.select("condition", *order, "place", before.alias("had"), F.greatest("to", before).alias("has"), F.floor(F.col(order[0]) / per).alias("block"))
+    kinds = {"all": F.col("place").isNotNull(), "first": F.col("place") == 0}
+    hits = {f"{kind}{k}": which & (F.col("had") <= k) & (F.col("has") > k) for kind, which in kinds.items() for k in range(len(LEVELS))}
+    sums = hits | {f"{kind}_seen": which for kind, which in kinds.items()} | {"targets": F.coalesce(F.col("place"), F.lit(0)) == 0}
+    inside = Win.partitionBy("condition", "block").orderBy(*order, F.asc_nulls_first("place")).rowsBetween(Win.unboundedPreceding, 0)
+    run = at.withColumns({name: F.sum(when.cast("long")).over(inside) if name == "targets" else F.sum(F.coalesce(when, F.lit(False)).cast("long")).over(inside) for name, when in sums.items()})
+    # a block's totals are its greatest sums, from the same shuffle
+    along = Win.partitionBy("condition").orderBy("block").rowsBetween(Win.unboundedPreceding, -1)
+    totals = run.groupBy("condition", "block").agg(*(F.max(name).alias(name) for name in sums))
+    starts = totals.select("condition", "block", *(F.coalesce(F.sum(name).over(along), F.lit(0)).alias(f"{name}0") for name in sums if name != "targets"), F.sum("targets").over(Win.partitionBy("condition")).alias("all_targets"))
+    met = run.where("place is not null").join(starts, ["condition", "block"])
+    at_level = F.array(*(F.struct(F.lit(kind).alias("boxes"), F.lit(level).alias("level"), (F.col(f"{kind}{k}") + F.col(f"{kind}{k}0")).alias("tp"), (F.col(f"{kind}_seen") + F.col(f"{kind}_seen0")).alias("seen"), which.alias("own")) for kind, which in kinds.items() for k, level in enumerate(LEVELS)))
+    run = met.select("condition", F.col("all_targets").alias("targets"), at_level.alias("_e")).select("condition", "targets", F.inline("_e")).where("own")
+    points = run.groupBy("condition", "boxes", "level", F.floor(F.col("tp") * 100 / F.col("targets")).alias("recall")).agg(F.max(F.col("tp") / F.col("seen")).alias("precision"))
     # the envelope at recall r is the best precision at r or beyond; at most 101 rows a window
-    beyond = Win.partitionBy("condition", "level").orderBy("recall")
-    steps = points.select("condition", "level", "recall", F.max("precision").over(beyond.rowsBetween(0, Win.unboundedFollowing)).alias("precision"), F.coalesce(F.lag("recall").over(beyond), F.lit(-1)).alias("previous"))
-    return steps.groupBy("condition", "level").agg((F.sum(B.millionths(F.col("precision")) * (F.col("recall") - F.col("previous"))) / (101 * 1e6)).alias("ap"))
+    beyond = Win.partitionBy("condition", "boxes", "level").orderBy("recall")
+    steps = points.select("condition", "boxes", "level", "recall", F.max("precision").over(beyond.rowsBetween(0, Win.unboundedFollowing)).alias("precision"), F.coalesce(F.lag("recall").over(beyond), F.lit(-1)).alias("previous"))
+    return steps.groupBy("condition", "boxes", "level").agg((F.sum(B.millionths(F.col("precision")) * (F.col("recall") - F.col("previous"))) / (101 * 1e6)).alias("ap"))
+
+
+def average_precision(rows: DataFrame, order: list[str], first_only: bool = False, per: int = 1024) -> DataFrame:
+    """(condition, level, ap): average_precisions of all boxes, or of the first alone."""
+    return average_precisions(rows, order, per).where(F.col("boxes") == ("first" if first_only else "all")).drop("boxes")
 
 
-def mean_average_precision(levels: DataFrame) -> DataFrame:
+def mean_average_precision(levels: DataFrame, *keys: str) -> DataFrame:
     at = lambda n: F.max(F.when(F.col("level") == n, F.col("ap")))
-    return levels.groupBy("condition").agg(at(50).alias("map50"), at(75).alias("map75"), (F.sum(B.millionths(F.col("ap"))) / (len(LEVELS) * 1e6)).alias("map50_95"))
+    return levels.groupBy("condition", *keys).agg(at(50).alias("map50"), at(75).alias("map75"), (F.sum(B.millionths(F.col("ap"))) / (len(LEVELS) * 1e6)).alias("map50_95"))
 
 
 def best_target(rows: DataFrame, boxes: Column, targets: Column) -> DataFrame:

@@ -55,7 +55,7 @@ def lesions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lesion with its image, box and box features."""
     joined = annotations(spark, sf_dir).join(images(spark, sf_dir), "image")
     boxed = joined.withColumn("box", B.corners(F.col("x"), F.col("y"), F.col("width"), F.col("height"))).select("*", "box.*")
-    named = boxed.withColumn("lesion_id", F.concat("name", F.format_string("_box%02d", "ord")))
+    named = boxed.withColumn("lesion_id", F.concat("name", F.when(F.col("ord") < 10, "_box0").otherwise("_box"), F.col("ord").cast("string")))
     return named.select("*", *(c.alias(n) for n, c in B.box_features(*B.box().values(), F.col("w"), F.col("h")).items())).drop("x", "y", "width", "height", "box")
 
 

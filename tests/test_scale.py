@@ -69,3 +69,10 @@ def test_several_schemes_in_one_pass(spark):
     for scheme in ("class", "combo"):
         one = sampling.resample_weights(rows, "patient", ["shape", "outline"], scheme)
         assert sorted(map(tuple, one.select("lesion_id", "weight").collect())) == sorted(map(tuple, both.select("lesion_id", scheme).collect()))
+
+
+def test_a_box_is_one_row_whatever_the_levels(spark):
+    rows = detection.scored(A.predictions(A.labelled(spark, SF).where("split = 'test'")))
+    both = detection.average_precisions(rows, ["image", "ord"], per=64)
+    assert both.count() == 2 * 3 * len(detection.LEVELS)
+    assert both.where("condition = 'oracle' and level = 50 and ap < 1").count() == 0
