@@ -76,3 +76,11 @@ def test_a_box_is_one_row_whatever_the_levels(spark):
     both = detection.average_precisions(rows, ["image", "ord"], per=64)
     assert both.count() == 2 * 3 * len(detection.LEVELS)
     assert both.where("condition = 'oracle' and level = 50 and ap < 1").count() == 0
+
+
+def test_prompts_are_counted_before_rows_are_multiplied(spark):
+    found = prompts.lesion_prompts(A.labelled(spark, SF), prompts.FEATURE_GROUPS)
+    shown = plan(found)
+    assert shown.index("Generate explode") < shown.index("collect_list")
+    again = found.groupBy("image", "prompt_group", "prompt").agg(F.count("*").alias("n"), F.min("n_same").alias("lo"), F.max("n_same").alias("hi"))
+    assert again.where("n <> lo or n <> hi").count() == 0
