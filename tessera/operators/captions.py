@@ -15,10 +15,11 @@ ORDER = {"shape": ("low", "mid", "high"), "outline": ("low", "mid", "high"), "in
 NONE = "none stated"
 
 
-def prompt_types(rows: DataFrame) -> DataFrame:
-    """rows x (generic, explicit_full and one prompt per fact), with the facts each asks for."""
+def prompt_types(rows: DataFrame, only: str | None = None) -> DataFrame:
+    """rows x (generic, explicit_full and one prompt per fact), or one of these alone, with the facts each asks for."""
     facts = lambda names: F.array(*(F.lit(n) for n in names))
     listed = [("generic", V.FACTS), ("explicit_full", V.FACTS), *((f"single_{f}", [f]) for f in V.FACTS)]
+    listed = [(n, f) for n, f in listed if only in (None, n)]
     every = F.array(*(F.struct(F.lit(n).alias("prompt_type"), facts(f).alias("facts")) for n, f in listed))
     each = rows.withColumn("t", F.explode(every)).select("*", "t.*").drop("t")
     return each.withColumn("prompt", F.when(F.col("prompt_type") == "explicit_full", V.explicit_question()).otherwise(V.question(F.col("facts"))))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import vocabulary as V
 from tessera.operators import captions, detection, prompts, sampling
 from tessera.plans import adapter as A
 from tessera.plans import queries
@@ -84,3 +85,17 @@ def test_prompts_are_counted_before_rows_are_multiplied(spark):
     assert shown.index("Generate explode") < shown.index("collect_list")
     again = found.groupBy("image", "prompt_group", "prompt").agg(F.count("*").alias("n"), F.min("n_same").alias("lo"), F.max("n_same").alias("hi"))
     assert again.where("n <> lo or n <> hi").count() == 0
+
+
+def test_a_pattern_runs_once_a_text_however_many_words_it_reads(spark):
+    texts = [(None,), ("",), ("is highly elongated, has no dominant axis and shows low intensity variation",), ("A compact region with a vertical main axis, moderate outline regularity, high overall intensity",), ("large, middle-left, relatively darker; moderate edge complexity and low texture complexity",), ("elongated small upper-center similar in brightness, no overall intensity",)]
+    rows = spark.createDataFrame(texts, "t string")
+    for field, (pattern, words) in V.READ.items():
+        got, once = V.label_of(F.col("t"), pattern, words), V.worded(V.found(F.col("t"), pattern), words)
+        assert rows.where(~got.eqNullSafe(once)).count() == 0, field
+        assert plan(rows.select(got.alias("got"))).count("regexp_extract") <= 2 - bool(words), field
+
+
+def test_clauses_are_marked_in_one_reading(spark):
+    shown = plan(queries.p32_marked_clauses(spark, SF))
+    assert shown.count("regexp_extract") == 5 and "explicit_full" not in shown and shown.count("lambda") < 20
