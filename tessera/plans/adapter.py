@@ -74,10 +74,19 @@ def describe(found: DataFrame) -> DataFrame:
         B.horizontal(F.col("center_x_norm")).alias("horizontal"),
         B.vertical(F.col("center_y_norm")).alias("vertical"),
         B.region(F.col("center_x_norm"), F.col("center_y_norm")).alias("region"),
-        B.tokens(*B.box().values(), F.col("w"), F.col("h")).alias("loc"),
+        _loc(),
     )
 
 
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lesions with their coordinate tokens alone: all that predictions() needs, without a pass that fits bands."""
+    return lesions(spark, sf_dir).select("*", _loc())
+
+
+def _loc():
+    return B.tokens(*B.box().values(), F.col("w"), F.col("h")).alias("loc")
+
+
 def _shifted(dx, dy, keep) -> list:
     x0, x1 = F.greatest(F.lit(0.0), F.col("x0") + dx), F.least(F.col("w"), F.col("x1") + dx)
     y0, y1 = F.greatest(F.lit(0.0), F.col("y0") + dy), F.least(F.col("h"), F.col("y1") + dy)

@@ -64,9 +64,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.png") -> Data
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
-def write_lines(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
+def write_lines(rows: DataFrame, path: str, by: list[str] | None = None, compression: str | None = None) -> None:
     writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).json(path)
+    (writer.partitionBy(*by) if by else writer).json(path, compression=compression)
 
 
 def write_datasets(rows: DataFrame, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from tessera.functions import vocabulary as V
 from tessera.operators import captions, detection, prompts, sampling
 from tessera.plans import adapter as A
 from tessera.plans import queries
+from tessera.sources import records
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,3 +100,20 @@ def test_a_pattern_runs_once_a_text_however_many_words_it_reads(spark):
 def test_clauses_are_marked_in_one_reading(spark):
     shown = plan(queries.p32_marked_clauses(spark, SF))
     assert shown.count("regexp_extract") == 5 and "explicit_full" not in shown and shown.count("lambda") < 20
+
+
+def test_shards_are_written_from_one_pass_over_the_rows(spark, monkeypatch):
+    written, write = [], records.write_lines
+    monkeypatch.setattr(records, "write_lines", lambda rows, *a, **b: (written.append(plan(rows)), write(rows, *a, **b)))
+    found = queries.s07_shards_last_wins(spark, SF)
+    assert len(written) == 1 and written[0].count("Relation [l_") == 1
+    rows = A.predictions(A.labelled(spark, SF).where("split = 'test'")).select("condition", "lesion_id", (F.col("pk") % 3).alias("shard"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
+    files = found.inputFiles()
+    assert {f.split("answers_shard=")[1][0] for f in files if f.endswith(".gz")} == set("012")
+
+
+def test_shards_without_any_row_are_read_as_none(spark, tmp_path):
+    spark.read.parquet(f"{SF}/orders.parquet").where("o_custkey % 79 < 55").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert queries.s07_shards_last_wins(spark, str(tmp_path)).count() == 0
